@@ -57,7 +57,7 @@ def discard(*dfs: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
-def small_join(left: DataFrame, small: DataFrame, on: list[str], how: str = "left", max_rows: int = 50_000, salts: int = 64) -> DataFrame:
+def small_join(left: DataFrame, small: DataFrame, on: list[str], how: str = "left", max_rows: int = 50_000, salts: int = 16) -> DataFrame:
     """Join a table to one of group results, whatever its size.
 
     ``small`` must be cheap to count (a materialized table).  Up to ``max_rows`` rows it is broadcast;
