@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weirflow.llm import quality
+from weirflow.llm import lines, mixing, packing, quality, simhash
 
-MODULES = (quality,)
+MODULES = (mixing, quality, simhash, packing, lines)
 
 
 def queries() -> dict:
