@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from weirflow.llm import lines, mixing, packing, quality, simhash
+from weirflow.llm import language_model, licences, lines, mixing, neighbours, packing, quality, simhash, toxicity, warc
 
-MODULES = (mixing, quality, simhash, packing, lines)
+MODULES = (warc, mixing, licences, quality, simhash, neighbours, toxicity, language_model, packing, lines)
 
 
 def queries() -> dict:
