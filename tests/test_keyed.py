@@ -1,0 +1,114 @@
+"""Closed-form cases of the keyed operators."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from weirflow.operators import keyed, partitioning
+from weirflow.session import ConfigError, validate
+
+PAIR = "k long, v long"
+
+
+def halves(spark, n=5000):
+    return spark.range(n).select(F.floor(F.col("id") / 2).alias("k"), F.col("id").alias("v"))
+
+
+def test_reduce_takes_the_larger_of_two(spark):
+    got = keyed.reduce_by_key(halves(spark), ["k"], v=F.max("v")).collect()
+    assert len(got) == 2500 and all(r.v == 2 * r.k + 1 for r in got)
+
+
+def test_group_and_cogroup(spark):
+    got = keyed.group_by_key(halves(spark), "k", "v").collect()
+    assert len(got) == 2500 and all(r["values"] == [2 * r.k, 2 * r.k + 1] for r in got)
+    both = keyed.cogroup(halves(spark, 1000), halves(spark, 1000), "k", "v", "v").collect()
+    assert len(both) == 500 and all(r.left_values == r.right_values == [2 * r.k, 2 * r.k + 1] for r in both)
+
+
+def test_cogroup_with_missing_sides(spark):
+    left = spark.createDataFrame([(i, i) for i in range(1, 5)], PAIR)
+    right = spark.createDataFrame([(i % 2, i) for i in range(1, 5)], PAIR)
+    got = {r.k: (r.left_values, r.right_values) for r in keyed.cogroup(left, right, "k", "v", "v").collect()}
+    assert got == {0: ([], [2, 4]), 1: ([1], [1, 3]), 2: ([2], []), 3: ([3], []), 4: ([4], [])}
+
+
+def test_null_keys_are_one_key_and_null_values_stay(spark):
+    rows = spark.createDataFrame([(1, 5), (2, 6), (3, 7), (4, None), (None, 8), (None, None)], PAIR)
+    got = {r.k: r["values"] for r in keyed.group_by_key(rows, "k", "v").collect()}
+    assert got == {1: [5], 2: [6], 3: [7], 4: [None], None: [None, 8]}
+    both = {r.k: (r.left_values, r.right_values) for r in keyed.cogroup(rows, rows, "k", "v", "v").collect()}
+    assert both[None] == ([None, 8], [None, 8])
+    assert {r.partition_id: r.n_rows for r in partitioning.partition_counts(partitioning.hash_partition(rows, "k", 3)).collect()} == {0: 3, 1: 2, 2: 1}
+
+
+def test_combine_by_key(spark):
+    rows = spark.createDataFrame([(1, 10), (2, 20), (3, 30), (1, 100), (2, 200), (1, 1000)], PAIR)
+    got = keyed.combine_by_key(rows, "k", "v", lambda v: F.array(v), F.array_append, lambda a, b: F.concat(a, b), pieces=2).collect()
+    assert {r.k: sorted(r.combined) for r in got} == {1: [10, 100, 1000], 2: [20, 200], 3: [30]}
+
+
+def test_sums_by_remainder(spark):
+    rows = spark.range(1000).select(F.floor(F.col("id") / 4).alias("k"), F.col("id").alias("v"))
+    dealt = partitioning.hash_partition(rows, "k", 3)
+    assert dealt.filter(F.spark_partition_id() != F.pmod("k", F.lit(3))).count() == 0
+    sums = {r.k: r.s for r in keyed.reduce_by_key(dealt, ["k"], s=F.sum("v")).collect()}
+    assert sums == {k: 16 * k + 6 for k in range(250)}
+
+
+def test_empty_partitions_and_a_hot_one(spark):
+    rows = spark.createDataFrame([(1, 1), (5, 5)] + [(2, 2)] * 1000, PAIR)
+    assert {r.partition_id: r.n_rows for r in partitioning.partition_counts(partitioning.hash_partition(rows, "k", 7)).collect()} == {1: 1, 2: 1000, 5: 1}
+
+
+def test_equal_hash_codes_never_merge(spark):
+    rows = spark.createDataFrame([(str(i), str(i)) for i in range(1, 1001)] + [(a, b) for p in ("Aa", "x", "") for a, b in ((p + "Aa", p + "BB"), (p + "BB", p + "Aa"))], "k string, v string")
+    got = keyed.group_by_key(rows, "k", "v").collect()
+    assert len(got) == 1006 and all(len(r["values"]) == 1 for r in got)
+
+
+def test_empty_input(spark):
+    none = spark.createDataFrame([], PAIR)
+    assert keyed.reduce_by_key(none, ["k"], s=F.sum("v")).count() == 0
+    assert keyed.group_by_key(none, "k", "v").count() == 0
+    assert keyed.cogroup(none, none, "k", "v", "v").count() == 0
+    assert partitioning.sort_positions(none, "k").count() == 0
+
+
+@pytest.mark.parametrize(("n", "before", "after"), [(100, 10, 20), (20, 30, 40), (100_000, 3, 2)])
+def test_repartition_keeps_the_rows(spark, n, before, after):
+    got = partitioning.round_robin(spark.range(n).repartition(before), after)
+    assert got.rdd.getNumPartitions() == after
+    assert got.agg(F.count("*"), F.sum("id"), F.countDistinct("id")).first() == (n, n * (n - 1) // 2, n)
+
+
+def test_sort_by_key_and_positions(spark):
+    values = [0] * 250 + list(range(250, 500))
+    random.Random(7).shuffle(values)
+    rows = spark.createDataFrame([(v,) for v in values], "v long").repartition(13)
+    assert [r.v for r in keyed.sort_by_key(rows, "v").collect()] == sorted(values)
+    placed = partitioning.sort_positions(rows, "v", n=5).collect()
+    assert [r.v for r in sorted(placed, key=lambda r: r.position)] == sorted(values)
+    assert sorted(r.position for r in placed) == list(range(1, 501))
+
+
+def test_plans(spark, sf_dir):
+    """The exchange that each operator asks for, and partial aggregates below it."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    text = lambda df: df._jdf.queryExecution().toString()
+    assert "RoundRobinPartitioning" in text(partitioning.round_robin(rows, 5))
+    assert "rangepartitioning" in text(keyed.sort_by_key(rows, "l_orderkey"))
+    assert "shufflepartitionidpassthrough" in text(partitioning.hash_partition(rows, "l_suppkey", 5)).lower()
+    reduced = text(keyed.reduce_by_key(rows, ["l_orderkey"], s=F.sum("l_quantity")))
+    assert "partial_sum" in reduced and "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in reduced
+
+
+def test_validation():
+    validate({"spark.checkpoint.dir": "x"})
+    with pytest.raises(ConfigError):
+        validate({"spark.checkpoint.dir": "x", "spark.shuffle.service.enabled": "true"})
+    with pytest.raises(ConfigError):
+        validate({"spark.checkpoint.dir": "x", "spark.shuffle.useOldFetchProtocol": "true"})
+    with pytest.raises(ConfigError):
+        validate({"spark.shuffle.sort.bypassMergeThreshold": "-2"})

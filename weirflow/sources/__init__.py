@@ -1,0 +1,12 @@
+"""Tables by name below a folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A Parquet table; filters and columns reach its scan."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
