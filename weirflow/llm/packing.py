@@ -65,7 +65,7 @@ class WordEncoder:
             if len(known) > CACHE_WORDS:
                 known.clear()
                 known[""] = b""
-            self.learn(list(set(words) - known.keys()))
+            self.learn([w for w in set(words) if w not in known])
             return b"".join(map(known.__getitem__, words))
 
 
