@@ -71,9 +71,9 @@ def small_join(left: DataFrame, small: DataFrame, on: list[str], how: str = "lef
     drop = [f"__k{i}" for i in range(len(on))]
     if small.count() <= max_rows:
         return left.join(F.broadcast(right), cond, how).drop(*drop)
-    left = left.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
-    right = right.withColumn("__rsalt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    cond = F.col("__salt") == F.col("__rsalt")
+    left = left.withColumn("__weir_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    right = right.withColumn("__weir_rsalt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    cond = F.col("__weir_salt") == F.col("__weir_rsalt")
     for i, c in enumerate(on):
         cond = cond & left[c].eqNullSafe(right[f"__k{i}"])
-    return left.join(right, cond, how).drop(*drop, "__salt", "__rsalt")
+    return left.join(right, cond, how).drop(*drop, "__weir_salt", "__weir_rsalt")

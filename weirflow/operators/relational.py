@@ -11,9 +11,9 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
 
     The right side is repeated ``salts`` times; ``how`` is inner, left, left_semi or left_anti.
     """
-    a = left.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    b = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return a.join(b, [key, "__salt"], how).drop("__salt")
+    a = left.withColumn("__weir_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    b = right.withColumn("__weir_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return a.join(b, [key, "__weir_salt"], how).drop("__weir_salt")
 
 
 def range_join(points: DataFrame, ranges: DataFrame, at: str, start: str, end: str, width: int) -> DataFrame:
