@@ -131,9 +131,12 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     fields = {}
     for line in data[at:stop].split(CRLF)[1:]:
         name, colon, value = line.partition(b":")
-        if not colon:
-            raise Bad("header line without a colon")
-        fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        if not colon or min(line) < 32 and min(line.replace(b"\t", b" ")) < 32:
+            raise Bad("header line without a colon or with control characters")
+        name = name.strip().lower().decode("latin-1")
+        if name in fields and name != "warc-concurrent-to":  # a cut header that runs into the next one
+            raise Bad("header field twice")
+        fields[name] = value.strip().decode("utf-8", "replace")
     try:
         size = int(fields["content-length"])
     except (KeyError, ValueError):
