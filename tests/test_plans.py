@@ -134,3 +134,37 @@ def test_stream_gives_the_closed_windows(spark, sf_dir, tmp_path):
     batch = {tuple(r) for r in events.tumbling(spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))).collect()}
     closed = {tuple(r) for r in spark.table("closed").collect()}
     assert closed and closed <= batch
+
+
+def test_reads_cut_and_join_blocks(spark):
+    """42 blocks of 15 KiB: a first read of 10 KiB, then 20 KiB each as 5 + 15, 15 + 5 and so on."""
+    rows = spark.createDataFrame([(m, 0, 15 << 10) for m in range(42)], BLOCK)
+    got = {}
+    for r in fetchplan.pack_reads(rows, 10 << 10, 20 << 10).orderBy("read_id", "map_id").collect():
+        got.setdefault(r.read_id, []).append((r.map_id, r.block_offset >> 10, r.length >> 10))
+    assert got[0] == [(0, 0, 10)] and got[1] == [(0, 10, 5), (1, 0, 15)] and got[2] == [(2, 0, 15), (3, 0, 5)]
+    assert sum(n for x in got.values() for _, _, n in x) == 42 * 15
+
+
+def test_chunks(spark):
+    got = sizing.chunks(spark.createDataFrame([(0, 0, 25), (0, 1, 0), (0, 2, 10)], BLOCK), 10).collect()
+    assert [(r.reduce_id, r.chunk, r.chunk_offset, r.chunk_length, r.is_full) for r in got] == [(0, 0, 0, 10, True), (0, 1, 10, 10, True), (0, 2, 20, 5, False), (2, 0, 0, 10, True)]
+
+
+def test_eviction_stops_at_the_target(spark):
+    rows = spark.createDataFrame([("t", 1, 50), ("t", 2, 30), ("t", 3, 30), ("t", 4, 5)], "task string, partition_id int, est_bytes long")
+    got = sizing.evict_largest(rows, F.lit(75), "task").collect()
+    assert [(r.partition_id, r.freed_before) for r in sorted(got, key=lambda r: r.freed_before)] == [(1, 0), (2, 50)]
+
+
+def test_extrapolation(spark):
+    rows = spark.createDataFrame([("b", 1, 100), ("b", 2, 300), ("b", 4, 200)], "b string, n_updates long, bytes long")
+    got = [(r.per_update, r.projected) for r in sizing.extrapolate(rows, "b").orderBy("n_updates").collect()]
+    assert got == [(0.0, 100), (200.0, 700), (0.0, 200)]
+
+
+def test_orphans_and_complete_reads(spark):
+    out = spark.createDataFrame([(1, 1), (2, 1)], "shuffle_id int, map_id int")
+    assert [r.shuffle_id for r in mapoutput.orphans(out, spark.createDataFrame([(2,)], "shuffle_id int")).collect()] == [1]
+    read = spark.createDataFrame([(1, True, 100, 100), (1, True, 0, 0), (2, False, 100, 100), (3, True, 100, 111)], "reader int, done boolean, stated long, length long")
+    assert sorted(map(tuple, mapoutput.read_complete(read).collect())) == [(1, True, True), (2, False, True), (3, True, False)]

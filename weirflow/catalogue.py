@@ -233,6 +233,37 @@ def spill_batches(spark, sf):
     return sizing.spill_batches(counts)
 
 
+@query(f"""WITH {BLOCKS}, c AS (SELECT *, unnest(range(0, (length + 2499) // 2500)) AS i FROM blocks WHERE length > 0)
+SELECT map_id, reduce_id, i::INTEGER AS chunk, (i * 2500)::BIGINT AS chunk_offset, least(2500, length - i * 2500)::BIGINT AS chunk_length, length - i * 2500 >= 2500 AS is_full FROM c""")
+def buffer_chunks(spark, sf):
+    return sizing.chunks(_blocks(spark, sf), 2500).select("map_id", "reduce_id", "chunk", "chunk_offset", "chunk_length", "is_full")
+
+
+@query(f"""WITH {BLOCKS}, s AS (SELECT *, (sum(length) OVER (PARTITION BY reduce_id ORDER BY map_id))::BIGINT AS e FROM blocks WHERE length > 0),
+r AS (SELECT *, e - length AS b, CASE WHEN e - length < 10000 THEN 0 ELSE (e - length - 10000) // 20000 + 1 END AS r0, CASE WHEN e - 1 < 10000 THEN 0 ELSE (e - 1 - 10000) // 20000 + 1 END AS r1 FROM s),
+x AS (SELECT *, unnest(range(r0, r1 + 1)) AS read_id FROM r),
+y AS (SELECT *, greatest(b, CASE WHEN read_id = 0 THEN 0 ELSE 10000 + (read_id - 1) * 20000 END) AS lo, least(e, 10000 + read_id * 20000) AS hi FROM x)
+SELECT reduce_id, read_id, map_id, (lo - b)::BIGINT AS block_offset, (hi - lo)::BIGINT AS length FROM y""")
+def pack_reads(spark, sf):
+    return fetchplan.pack_reads(_blocks(spark, sf), 10_000, 20_000)
+
+
+@query(f"""WITH {BLOCKS}, e AS (SELECT *, CASE WHEN length <= 0 THEN 0 WHEN length <= 1 THEN 1 ELSE least(255, ceil(ln(length::DOUBLE) / ln(1.1::DOUBLE))) END::INTEGER AS code FROM blocks),
+d AS (SELECT reduce_id AS reader, length, (CASE WHEN code = 0 THEN 0 ELSE floor(pow(1.1::DOUBLE, code)) END)::BIGINT AS stated, (map_id + reduce_id) % 257 <> 0 AS done FROM e)
+SELECT reader, bool_and(done) AS all_read, NOT bool_or(stated * 1.1::DOUBLE < length) AS sizes_fit FROM d GROUP BY reader""")
+def read_validation(spark, sf):
+    """Whether each reader got all its parts, and none longer by a tenth than its coded size."""
+    rows = _blocks(spark, sf).withColumn("stated", sizing.decode_size(sizing.encode_size(F.col("length"))))
+    return mapoutput.read_complete(rows.select(F.col("reduce_id").alias("reader"), "length", "stated", (F.pmod(F.col("map_id") + F.col("reduce_id"), F.lit(257)) != 0).alias("done")))
+
+
+@query("""SELECT s_suppkey, (1073741824 * (1 + s_suppkey % 4))::BIGINT AS memory, (floor(((1073741824 * (1 + s_suppkey % 4)) - 314572800) * 0.5::DOUBLE * 1 / 4 * 0.1::DOUBLE))::BIGINT AS watermark FROM supplier""")
+def low_grant_watermark(spark, sf):
+    """The grant below which memory counts as low, for executors of one to four GiB."""
+    rows = table(spark, sf, "supplier").select("s_suppkey", (F.lit(1 << 30) * (1 + F.pmod("s_suppkey", F.lit(4)))).cast("long").alias("memory"))
+    return rows.withColumn("watermark", sizing.grant_watermark(F.col("memory"), F.lit(0.5), F.lit(1), F.lit(4), F.lit(0.1)))
+
+
 @query(f"""WITH {BLOCKS}, a AS (SELECT *, (sum(length) OVER () // ({MAPS} * {REDUCES}))::BIGINT AS average FROM blocks)
 SELECT map_id, reduce_id, length, (SELECT min(k) FROM range(1, 200) t(k) WHERE (average + 100) * k * (k + 1) // 2 > length)::BIGINT AS rounds FROM a""")
 def probe_read_rounds(spark, sf):

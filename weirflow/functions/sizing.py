@@ -24,6 +24,14 @@ def spill_batches(counts: DataFrame, size: int = 10_000) -> DataFrame:
     return rows.select("map_id", "batch", F.least(F.lit(size), F.col("n") - first).cast("long").alias("n_records"), first.alias("first_record"))
 
 
+def chunks(blocks: DataFrame, size: int) -> DataFrame:
+    """Blocks cut at a buffer's size: one row per chunk with its offset in the block, and whether it is full."""
+    rows = blocks.filter("length > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / size).cast("int"))))
+    at = F.col("chunk").cast("long") * size
+    part = F.least(F.lit(size), F.col("length") - at).cast("long")
+    return rows.withColumns({"chunk_offset": at, "chunk_length": part, "is_full": part == size})
+
+
 def probe_rounds(length: Column, average: Column, slack: int = 100) -> Column:
     """Requests until a block of unknown size is read: the k-th asks for k * (average + slack) bytes, and a
     short answer ends it; so the least k whose first k requests ask for more than the length."""

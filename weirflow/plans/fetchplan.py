@@ -65,3 +65,19 @@ def waves(requests: DataFrame, max_bytes: int, max_requests: int, reader: str =
         return F.struct(wave.alias("wave"), F.when(fits, s["bytes"] + x["bytes"]).otherwise(x["bytes"]).alias("bytes"), F.when(fits, s["n"] + 1).otherwise(F.lit(1)).alias("n"), F.array_append(s["out"], F.struct(x["req_id"].alias("req_id"), x["bytes"].alias("bytes"), wave.alias("wave"))).alias("out"))
 
     return lists.select(reader, F.inline(F.aggregate("rs", first, step, lambda s: s["out"])))
+
+
+def pack_reads(blocks: DataFrame, first: int, limit: int) -> DataFrame:
+    """(reduce_id, read_id, map_id, block_offset, length): a reduce partition's blocks as one stream of bytes.
+
+    The first read asks for ``first`` bytes, later ones for ``limit``; a read holds the ends and beginnings
+    of as many blocks as it reaches, and a large block spans several reads.
+    """
+    line = W.partitionBy("reduce_id").orderBy("map_id")
+    rows = blocks.filter("length > 0").withColumn("end", F.sum("length").over(line)).withColumn("start", F.col("end") - F.col("length"))
+    read = lambda x: F.when(x < first, F.lit(0)).otherwise(F.floor((x - first) / limit) + 1).cast("long")
+    rows = rows.withColumn("read_id", F.explode(F.sequence(read(F.col("start")), read(F.col("end") - 1))))
+    from_ = F.when(F.col("read_id") == 0, 0).otherwise(first + (F.col("read_id") - 1) * limit)
+    to = F.when(F.col("read_id") == 0, first).otherwise(first + F.col("read_id") * limit)
+    at = F.greatest(from_, F.col("start"))
+    return rows.select("reduce_id", "read_id", "map_id", (at - F.col("start")).cast("long").alias("block_offset"), (F.least(to, F.col("end")) - at).cast("long").alias("length"))
