@@ -27,8 +27,8 @@ WINDOW = 8
 #: Ratio (numerator, denominator, margin in parts per 10,000).
 RULES = {
     "symbols": ("__q_n_symbols", "__q_word_chars", 800),
-    "dup_lines": ("__q_n_dup_lines", "__q_n_lines", 3000),
-    "repeats": ("__q_n_repeat_words", "__q_n_words", 1500),
+    "dup_lines": ("__q_n_dup_lines", "__q_n_lines", 5000),
+    "repeats": ("__q_n_repeat_words", "__q_n_words", 3000),
     "capitals": ("__q_n_capitals", "__q_word_chars", 3000),
 }
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -169,7 +169,7 @@ q AS (
 f AS (
   SELECT lvl, lang, source, r, max(n) AS n, min(b) FILTER (WHERE 4 * k >= n) AS q1, min(b) FILTER (WHERE 4 * k >= 3 * n) AS q3
   FROM q GROUP BY lvl, lang, source, r),
-fence AS (SELECT lvl, lang, source, r, n, q3 + 3 * (q3 - q1) + CASE r WHEN 1 THEN 800 WHEN 3 THEN 1500 ELSE 3000 END AS y FROM f),
+fence AS (SELECT lvl, lang, source, r, n, q3 + 3 * (q3 - q1) + CASE r WHEN 1 THEN 800 WHEN 2 THEN 5000 ELSE 3000 END AS y FROM f),
 lim AS (
   SELECT a.lang, a.source, a.r, CASE WHEN a.n >= 100 THEN a.y WHEN b.n >= 100 THEN b.y ELSE c.y END AS y
   FROM (SELECT * FROM fence WHERE lvl = 2) a
