@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weirflow.durable import row_salt
+
 
 def reduce_by_key(df: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
     """One row per key; partial aggregates run before the exchange."""
@@ -29,11 +31,11 @@ def group_by_key(df: DataFrame, key: str, value: str, out: str = "values") -> Da
 def combine_by_key(df: DataFrame, key: str, value: str, create: Callable[[Column], Column], merge_value: Callable[[Column, Column], Column], merge_combiners: Callable[[Column, Column], Column], out: str = "combined", pieces: int = 64) -> DataFrame:
     """The combiner triple as column functions.
 
-    Values of a key are folded in up to ``pieces`` lists, then their combiners are merged, so a hot key's
-    values never meet in one row.  ``merge_combiners`` must not depend on order, as in any shuffle.
+    Values of a key are folded in up to ``pieces`` lists, dealt by the rows' content, then their combiners are
+    merged, so a hot key's different rows never meet in one list.  ``merge_combiners`` must not depend on order, as in any shuffle.
     """
     fold = lambda xs, first, step: F.aggregate(F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), first(F.get(xs, 0)), step)
-    dealt = df.withColumn("__piece", F.pmod(F.monotonically_increasing_id(), F.lit(pieces)))
+    dealt = df.withColumn("__piece", row_salt(df, pieces))
     lists = dealt.groupBy(key, "__piece").agg(F.collect_list(F.struct(F.col(value).alias("v"))).alias("__vs"))
     part = fold(F.col("__vs"), lambda x: create(x["v"]), lambda c, x: merge_value(c, x["v"]))
     parts = lists.select(key, part.alias("__c")).groupBy(key).agg(F.collect_list("__c").alias("__cs"))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weirflow.durable import row_salt
+
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", salts: int = 16) -> DataFrame:
     """An equi-join whose hot keys on the left are dealt over ``salts`` tasks.
 
     The right side is repeated ``salts`` times; ``how`` is inner, left, left_semi or left_anti.
     """
-    a = left.withColumn("__weir_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    a = left.withColumn("__weir_salt", row_salt(left, salts))
     b = right.withColumn("__weir_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return a.join(b, [key, "__weir_salt"], how).drop("__weir_salt")
 
