@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weirflow.operators import keyed, partitioning
-from weirflow.session import ConfigError, validate
+from weirflow.session import ConfigError, Exchange, validate
 
 PAIR = "k long, v long"
 
@@ -112,3 +112,11 @@ def test_validation():
         validate({"spark.checkpoint.dir": "x", "spark.shuffle.useOldFetchProtocol": "true"})
     with pytest.raises(ConfigError):
         validate({"spark.shuffle.sort.bypassMergeThreshold": "-2"})
+
+
+def test_exchange_settings():
+    conf = Exchange(shared_dir="hdfs://x/y", replication=2, bypass_threshold=200, fallback_path="s3://z/").conf()
+    assert conf["spark.checkpoint.dir"] == "hdfs://x/y" and conf["spark.hadoop.dfs.replication"] == "2" and conf["spark.shuffle.sort.bypassMergeThreshold"] == "200" and conf["spark.decommission.enabled"] == "true"
+    for bad in (Exchange(spill_batch=0), Exchange(replication=0), Exchange(bypass_threshold=-5)):
+        with pytest.raises(ConfigError):
+            bad.conf()

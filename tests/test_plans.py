@@ -1,11 +1,12 @@
 """Closed-form cases of indexes, fetch plans, commits, sizes and names."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from weirflow.durable import materialize, small_join
 from weirflow.functions import naming, sizing
-from weirflow.operators import relational
-from weirflow.plans import fetchplan, mapoutput
+from weirflow.operators import partitioning, relational
+from weirflow.plans import fetchplan, mapoutput, metrics
 from weirflow.streaming import events
 
 BLOCK = "map_id long, reduce_id int, length long"
@@ -168,3 +169,21 @@ def test_orphans_and_complete_reads(spark):
     assert [r.shuffle_id for r in mapoutput.orphans(out, spark.createDataFrame([(2,)], "shuffle_id int")).collect()] == [1]
     read = spark.createDataFrame([(1, True, 100, 100), (1, True, 0, 0), (2, False, 100, 100), (3, True, 100, 111)], "reader int, done boolean, stated long, length long")
     assert sorted(map(tuple, mapoutput.read_complete(read).collect())) == [(1, True, True), (2, False, True), (3, True, False)]
+
+
+def test_empty_blocks_are_refused(spark):
+    fine = blocks(spark, [[1, 2]])
+    assert fetchplan.require_sizes(fine).agg(F.sum("length")).first()[0] == 3
+    with pytest.raises(Exception, match="block without bytes: map 0, reduce 1"):
+        fetchplan.require_sizes(blocks(spark, [[1, 0]])).collect()
+
+
+def test_observed_counts(spark):
+    rows, seen = metrics.observed(spark.range(10), "test_observed", total=F.sum("id"))
+    rows.repartition(3).collect()
+    assert seen.get == {"records": 10, "total": 45}
+
+
+def test_hashes_and_slack(spark):
+    got = spark.createDataFrame([(None,), ("a",)], "k string").select(partitioning.null_safe_hash("k").alias("h"), F.hash("k").alias("s"), sizing.with_slack(F.lit(101)).alias("n")).collect()
+    assert got[0].h == 0 and got[1].h == got[1].s and got[0].n == 112

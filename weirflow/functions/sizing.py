@@ -17,6 +17,11 @@ def decode_size(code: Column) -> Column:
     return F.when(code == 0, 0).otherwise(F.floor(F.pow(F.lit(1.1), code))).cast("long")
 
 
+def with_slack(size: Column, tenths: int = 1) -> Column:
+    """A buffer's size with so many tenths more, rounded up."""
+    return F.ceil(size * (10 + tenths) / 10).cast("long")
+
+
 def spill_batches(counts: DataFrame, size: int = 10_000) -> DataFrame:
     """(map_id, batch, n_records, first_record) from (map_id, n): a spill is written in batches."""
     rows = counts.filter("n > 0").withColumn("batch", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / size).cast("int"))))

@@ -18,6 +18,12 @@ def partition_of(key: Column | str, n: int) -> Column:
     return F.coalesce(F.pmod(_c(key), F.lit(n)), F.lit(0)).cast("int")
 
 
+def null_safe_hash(*keys: Column | str) -> Column:
+    """Spark's hash of the keys; a single null key counts as 0."""
+    cols = [_c(k) for k in keys]
+    return F.when(cols[0].isNull(), F.lit(0)).otherwise(F.hash(cols[0])) if len(cols) == 1 else F.hash(*cols)
+
+
 def hash_partition(df: DataFrame, key: Column | str, n: int) -> DataFrame:
     """Deal rows so that partition p holds exactly the keys with partition_of(key) = p."""
     return df.repartitionById(n, partition_of(key, n))

@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 _STATE = "struct<req:int,bytes:bigint,n:int,out:array<struct<req_id:int,n_blocks:int,bytes:bigint>>>"
 
 
+def require_sizes(blocks: DataFrame) -> DataFrame:
+    """The blocks, which must all have a positive length; a reader may not ask for empty or negative ones."""
+    bad = F.raise_error(F.concat(F.lit("block without bytes: map "), F.col("map_id").cast("string"), F.lit(", reduce "), F.col("reduce_id").cast("string")))
+    return blocks.withColumn("length", F.when(F.col("length") > 0, F.col("length")).otherwise(bad.cast("long")))
+
+
 def merge_runs(blocks: DataFrame, group: str = "reader") -> DataFrame:
     """Merge consecutive blocks of one map in a reader's list to [start_reduce, end_reduce).
 

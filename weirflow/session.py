@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import SparkSession
 
 #: Settings of every session; sizes are left to the cluster.
@@ -36,6 +38,55 @@ def validate(conf: dict[str, str]) -> dict[str, str]:
     return conf
 
 
+@dataclass(frozen=True)
+class Exchange:
+    """Typed settings of the exchange; ``conf()`` gives Spark's own keys, checked."""
+
+    shared_dir: str | None = None
+    replication: int | None = None
+    bypass_threshold: int = -1
+    max_bytes_in_flight: str = "48m"
+    max_requests_in_flight: int = 2**31 - 1
+    max_blocks_per_address: int = 2**31 - 1
+    detect_corrupt: bool = True
+    extra_memory_for_corrupt: bool = False
+    compress: bool = True
+    codec: str = "lz4"
+    file_buffer: str = "32k"
+    spill_batch: int = 10_000
+    radix_sort: bool = True
+    fast_merge: bool = True
+    fallback_path: str | None = None
+
+    def conf(self) -> dict[str, str]:
+        if min(self.max_requests_in_flight, self.max_blocks_per_address, self.spill_batch) < 1:
+            raise ConfigError("requests in flight, blocks per address and the spill batch are at least 1")
+        if self.replication is not None and self.replication < 1:
+            raise ConfigError("the replication is at least 1")
+        text = lambda x: str(x).lower()
+        found = {
+            "spark.shuffle.sort.bypassMergeThreshold": text(self.bypass_threshold),
+            "spark.reducer.maxSizeInFlight": self.max_bytes_in_flight,
+            "spark.reducer.maxReqsInFlight": text(self.max_requests_in_flight),
+            "spark.reducer.maxBlocksInFlightPerAddress": text(self.max_blocks_per_address),
+            "spark.shuffle.detectCorrupt": text(self.detect_corrupt),
+            "spark.shuffle.detectCorrupt.useExtraMemory": text(self.extra_memory_for_corrupt),
+            "spark.shuffle.compress": text(self.compress),
+            "spark.io.compression.codec": self.codec,
+            "spark.shuffle.file.buffer": self.file_buffer,
+            "spark.shuffle.spill.batchSize": text(self.spill_batch),
+            "spark.shuffle.sort.useRadixSort": text(self.radix_sort),
+            "spark.shuffle.unsafe.fastMergeEnabled": text(self.fast_merge),
+        }
+        if self.shared_dir:
+            found["spark.checkpoint.dir"] = self.shared_dir
+        if self.replication:
+            found["spark.hadoop.dfs.replication"] = text(self.replication)
+        if self.fallback_path:
+            found |= {"spark.storage.decommission.fallbackStorage.path": self.fallback_path, "spark.decommission.enabled": "true", "spark.storage.decommission.enabled": "true", "spark.storage.decommission.shuffleBlocks.enabled": "true"}
+        return validate(found)
+
+
 def session(name: str = "weirflow", **conf: str) -> SparkSession:
     """A session with DEFAULTS and the given settings (dots as double underscores)."""
     settings = DEFAULTS | {k.replace("__", "."): v for k, v in conf.items()}
