@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 from pyspark.sql import DataFrame
 
@@ -28,6 +30,7 @@ LIMIT = 4096
 END_ID = 2
 RUN_TOKENS = 4_000_000
 CACHE_WORDS = 1_000_000
+TEXTS = 128
 LINEAR, QUADRATIC = 2048.0, 1.0
 LOOK = 8
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -36,13 +39,19 @@ _encoders: dict[str, WordEncoder] = {}
 
 
 class WordEncoder:
-    """Little-endian unsigned 32-bit ids of texts, with a bounded cache by chunk."""
+    """Little-endian unsigned 32-bit ids of texts, with a bounded cache by chunk.
+
+    The tokenizer splits at every change between letters and other characters, so a chunk of letters with
+    a full stop or comma behind it is the letters' ids and the mark's.  ASCII letters need neither
+    normalization nor split and go straight to its model.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.marks = {mark: self.direct([mark])[0] for mark in ".,"}
 
     @classmethod
     def at(cls, path: str) -> WordEncoder:
@@ -50,23 +59,38 @@ class WordEncoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def learn(self, chunks: list[str]) -> None:
-        import numpy as np
-
-        for chunk, got in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
-            self.known[chunk] = np.array(got.ids, dtype="<u4").tobytes()
+    def direct(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", got.ids).tobytes() for got in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
+    def learn(self, chunks: list[str]) -> None:
+        """Add the ids of new chunks to the cache."""
+        known, tokenize, marks = self.known, self.tokenizer.model.tokenize, self.marks
+        rest: dict[str, list[str]] = {}
+        for chunk in chunks:
+            core = chunk[:-1] if chunk[-1] in marks else chunk
+            if core.isascii() and core.isalpha():
+                low = core.lower()
+                if low not in known:
+                    known[low] = array("I", [t.id for t in tokenize(low)]).tobytes()
+                known[chunk] = known[low] + marks[chunk[-1]] if core is not chunk else known[low]
+            elif core is not chunk and core.isalpha() and core.lower().isalpha() and is_normalized("NFC", core):
+                rest.setdefault(core, []).append(chunk)
+            else:
+                rest.setdefault(chunk, [])
+        new = [x for x in rest if x not in known]
+        known.update(zip(new, self.direct(new), strict=True))
+        for core, longer in rest.items():
+            for chunk in longer:
+                known[chunk] = known[core] + marks[chunk[-1]]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        words = [text.replace("\n", " ").split(" ") for text in texts]
         known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                known[""] = b""
-            self.learn([w for w in set(words) if w not in known])
-            return b"".join(map(known.__getitem__, words))
+        if len(known) > CACHE_WORDS:
+            known.clear()
+            known[""] = b""
+        self.learn([w for w in set().union(*words) if w not in known])
+        return [b"".join(map(known.__getitem__, x)) for x in words]
 
 
 def pack(lengths: list[int], limit: int = LIMIT, linear: float = LINEAR, quadratic: float = QUADRATIC) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -139,12 +163,15 @@ def packer(path: str, limit: int = LIMIT, run_tokens: int = RUN_TOKENS):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows[i : i + 50_000], strict=True), types, strict=True)], names=[x for x, _ in types])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids.append(doc_id)
-                coded.append(encoder.encode(text.as_py() or "") + end)
-                held += len(coded[-1]) // 4
-                if held >= run_tokens:
-                    yield from flush()
+            for at in range(0, len(batch), TEXTS):
+                part = batch.slice(at, TEXTS)
+                texts = [x or "" for x in part.column(1).to_pylist()]
+                for doc_id, got in zip(part.column(0).to_pylist(), encoder.encode(texts), strict=True):
+                    ids.append(doc_id)
+                    coded.append(got + end)
+                    held += len(coded[-1]) // 4
+                    if held >= run_tokens:
+                        yield from flush()
         if ids:
             yield from flush()
 
