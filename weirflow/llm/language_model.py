@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 
 from weirflow.durable import materialize
 
-HEAD, OWN, ENDINGS = 150_000, 32, 31
+HEAD, OWN, ENDINGS = 100_000, 32, 31
 CONTEXTS = OWN + ENDINGS + 1
 START = CONTEXTS - 1
 SWEEPS, BURN, SEED = 4, 1, 5
 STRENGTH = 1.0
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Of the base measure: the share of words never seen.
 UNSEEN = 0.5
 WORD_SEED = 42
@@ -81,15 +81,26 @@ def _count_words(batches: Iterator) -> Iterator:
 
 
 class Coder:
-    """Dish and context of words, with a bounded cache; code = dish * CONTEXTS + context for what follows."""
+    """Dish and context of words, with a bounded cache; code = dish * CONTEXTS + context for what follows.
 
-    def __init__(self, head: dict[int, int]):
-        self.head, self.codes = head, {}
+    ``head``: the hashes of the head in ascending order, and the dish of each.
+    """
+
+    def __init__(self, head):
+        (self.hashes, self.dishes), self.codes = head, {}
 
-    def code(self, word: bytes) -> int:
-        dish = self.head.get(word_hash(word), len(self.head))
-        context = dish if dish < min(OWN, len(self.head)) else OWN + zlib.crc32(word[-2:]) % ENDINGS
-        return dish * CONTEXTS + context
+    def learn(self, words: list[bytes]) -> None:
+        import numpy as np
+
+        n = len(self.hashes)
+        hashes = np.fromiter(map(word_hash, words), np.int64, len(words))
+        dish = np.full(len(words), n)
+        if n:
+            at = np.minimum(np.searchsorted(self.hashes, hashes), n - 1)
+            dish = np.where(self.hashes[at] == hashes, self.dishes[at], n)
+        own = min(OWN, n)
+        for w, d in zip(words, dish.tolist(), strict=True):
+            self.codes[w] = d * CONTEXTS + (d if d < own else OWN + zlib.crc32(w[-2:]) % ENDINGS)
 
     def cells(self, words: list[bytes]):
         """Dishes and contexts of the tokens of a text."""
@@ -98,9 +109,8 @@ class Coder:
         codes = self.codes
         if len(codes) > CACHE_WORDS:
             codes.clear()
-        for w in set(words):
-            if w not in codes:
-                codes[w] = self.code(w)
+        if new := [w for w in set(words) if w not in codes]:
+            self.learn(new)
         x = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
         context = np.empty_like(x)
         context[0] = START
@@ -113,7 +123,7 @@ def _count_cells(head):
         import numpy as np
         import pyarrow as pa
 
-        coder, n = Coder(head.value), len(head.value) + 1
+        coder, n = Coder(head.value), len(head.value[0]) + 1
         held, size = [], 0
 
         def out():
@@ -222,19 +232,19 @@ def _score(head, base, table):
         import pyarrow as pa
 
         coder, logs, bases = Coder(head.value), table.value, base.value
-        n = len(head.value)
+        n = len(head.value[0])
         names = ["uid", "doc_id", "held_out", "n_tokens", "h_known", "h_base", "h_score", "rest"]
-        for batch in batches:
-            rows = []
-            for x in batch.column(3):
-                words = words_of(x.as_py())
-                dish, context = coder.cells(words)
-                known = dish < n
-                rest = [word_hash(words[i]) for i in np.flatnonzero(~known)]
-                rows.append((len(words), int(known.sum()), float(bases[dish[known]].sum()), float(logs[context, dish].sum(dtype=np.float64)), rest))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=names)
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                batch, rows = whole.slice(at, 1000), []
+                for x in batch.column(3):
+                    words = words_of(x.as_py())
+                    dish, context = coder.cells(words)
+                    known = dish < n
+                    rest = [word_hash(words[i]) for i in np.flatnonzero(~known)]
+                    rows.append((len(words), int(known.sum()), float(bases[dish[known]].sum()), float(logs[context, dish].sum(dtype=np.float64)), rest))
+                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=names)
 
     return run
 
@@ -251,7 +261,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     n, v = facts.n or 0, facts.v
     top = vocab.orderBy(F.desc("c"), "w").limit(HEAD).toPandas()
     words, counts = top["w"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
-    head = send({int(w): k for k, w in enumerate(words)})
+    by_hash = np.argsort(words)
+    head = send((words[by_hash], by_hash))
     h = len(words)
 
     # Contexts: counts of (context, dish), one row of blobs per context.
