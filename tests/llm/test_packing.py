@@ -57,6 +57,27 @@ def test_odd_texts(spark, direct):
     check(rows, texts, direct)
 
 
+def test_chunks_by_hypothesis(direct):
+    """Any text over scripts, marks, spaces and special strings encodes as the tokenizer does it."""
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    encoder = packing.WordEncoder.at(packing.tokenizer_path())
+    letters = st.text("aZsStTeéÉüßİıΣσςЖжʼnªºāĀ\u0301\u0345\u0958ǅ中½²٣19_'’.,!*%<|>@\x1c\x85\u00a0\u2003\t\n \r", max_size=30)
+    special = st.sampled_from(["<|endoftext|>", "it's", "we'RE", "don't.", "word***", "ΑΣ.", "e\u0301,", "ﬁn", "Å", "Å."])
+
+    @settings(max_examples=1500, deadline=None)
+    @given(st.lists(st.one_of(letters, special, st.text(max_size=8)), max_size=6).map("".join))
+    def run(text):
+        try:
+            text.encode()
+        except UnicodeEncodeError:
+            return
+        assert list(np.frombuffer(encoder.encode([text])[0], "<u4")) == direct.encode(text, add_special_tokens=False).ids
+
+    run()
+
+
 def test_nulls_and_repeats(spark):
     rows = packing.pack_documents(spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b")], "doc_id long, text string").coalesce(1)).collect()
     assert sorted((r.doc_id or 0, r.length) for r in rows) == [(0, 1), (0, 2), (1, 3), (1, 3)] or sum(r.length for r in rows) == 9
