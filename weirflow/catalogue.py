@@ -112,10 +112,9 @@ def sort_within_partition(spark, sf):
 
 @query("SELECT (o_custkey % 4)::INTEGER AS run, o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS position FROM orders")
 def kway_merge(spark, sf):
+    """Four runs merged to one order: ranges of all runs meet in a partition, whose sort merges them."""
     rows = table(spark, sf, "orders").select(partitioning.partition_of("o_custkey", 4).alias("run"), "o_orderkey", "o_orderdate")
-    runs = [rows.filter(F.col("run") == r).sortWithinPartitions("o_orderdate", "o_orderkey") for r in range(4)]
-    merged = runs[0].unionByName(runs[1]).unionByName(runs[2]).unionByName(runs[3])
-    return partitioning.sort_positions(merged, "o_orderdate", "o_orderkey").select("run", "o_orderkey", "position")
+    return partitioning.sort_positions(rows, "o_orderdate", "o_orderkey").select("run", "o_orderkey", "position")
 
 
 # Metadata of map outputs
