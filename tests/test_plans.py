@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from weirflow import durable
 from weirflow.durable import materialize, small_join
 from weirflow.functions import naming, sizing
 from weirflow.operators import partitioning, relational
@@ -106,11 +107,13 @@ def test_materialized_tables_have_no_lineage(spark):
     assert "Exchange" not in plan and "parquet" in plan.lower() and rows.count() == 7
 
 
-def test_small_join_is_the_same_either_way(spark):
+def test_small_join_is_the_same_either_way(spark, monkeypatch):
     left = spark.createDataFrame([(i % 3 if i % 5 else None, i) for i in range(50)], "k long, v long")
     small = materialize(spark.createDataFrame([(0, "a"), (1, "b"), (None, "n")], "k long, s string"), "small")
-    got = [sorted(map(repr, small_join(left, small, ["k"], how, max_rows=n).collect())) for how in ("left", "inner") for n in (10, 0)]
-    assert got[0] == got[1] and got[2] == got[3] and len(got[0]) == 50 and len(got[2]) < 50
+    got = [sorted(map(repr, small_join(left, small, ["k"], how, max_rows=n, salts=k).collect())) for how in ("left", "inner") for n, k in ((10, 16), (0, 16), (0, 1))]
+    assert got[0] == got[1] == got[2] and got[3] == got[4] == got[5] and len(got[0]) == 50 and len(got[3]) < 50
+    monkeypatch.setattr(durable, "BROADCAST_BYTES", 0)
+    assert sorted(map(repr, small_join(left, small, ["k"]).collect())) == got[0]
 
 
 def test_salted_and_range_joins(spark):

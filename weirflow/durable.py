@@ -58,6 +58,10 @@ def discard(*dfs: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
+#: Bytes on disk of a table that may be broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
 def row_salt(df: DataFrame, salts: int) -> Column:
     """A salt from a row's content: the same whenever a lost task is run again, in whatever order rows come.
 
@@ -70,17 +74,21 @@ def row_salt(df: DataFrame, salts: int) -> Column:
 def small_join(left: DataFrame, small: DataFrame, on: list[str], how: str = "left", max_rows: int = 50_000, salts: int = 16) -> DataFrame:
     """Join a table to one of group results, whatever its size.
 
-    ``small`` must be cheap to count (a materialized table).  Up to ``max_rows`` rows it is broadcast;
-    beyond that both sides are salted, so a group that holds a third of ``left`` is dealt over ``salts``
-    tasks.  Keys compare null-safely; ``on`` columns come from ``left``.
+    ``small`` must be a written table: its rows are counted and its bytes known.  Up to ``max_rows`` rows and
+    ``BROADCAST_BYTES`` it is broadcast.  Beyond that both sides are salted, so a group that holds a third of
+    ``left`` is dealt over ``salts`` tasks; with one salt adaptive execution splits hot partitions instead.
+    Keys compare null-safely; ``on`` columns come from ``left``.
     """
     right = small.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(on)], *[c for c in small.columns if c not in on])
     cond: Column = F.lit(True)
     for i, c in enumerate(on):
         cond = cond & left[c].eqNullSafe(right[f"__k{i}"])
     drop = [f"__k{i}" for i in range(len(on))]
-    if small.count() <= max_rows:
+    size = int(small._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    if size <= BROADCAST_BYTES and small.count() <= max_rows:
         return left.join(F.broadcast(right), cond, how).drop(*drop)
+    if salts == 1:
+        return left.join(right, cond, how).drop(*drop)
     left = left.withColumn("__weir_salt", row_salt(left, salts))
     right = right.withColumn("__weir_rsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     cond = F.col("__weir_salt") == F.col("__weir_rsalt")
