@@ -19,6 +19,7 @@ columns are ignored.  ``sequence_id`` is unique in the result (task number and a
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -38,12 +39,23 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _encoders: dict[str, WordEncoder] = {}
 
 
+#: A chunk of letters with ASCII marks behind them.
+LETTERS = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
+
+
+def byte_letters() -> dict[int, int]:
+    """The printable characters that stand for bytes in a byte-level vocabulary: themselves where printable, else from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
+
+
 class WordEncoder:
     """Little-endian unsigned 32-bit ids of texts, with a bounded cache by chunk.
 
     The tokenizer splits at every change between letters and other characters, so a chunk of letters with
-    a full stop or comma behind it is the letters' ids and the mark's.  ASCII letters need neither
-    normalization nor split and go straight to its model.
+    marks behind it is the letters' ids and the marks'.  Letters of the older scripts (below U+0530) that
+    are normalized need no split: lower-cased, their bytes go straight to its model.
     """
 
     def __init__(self, path: str):
@@ -51,7 +63,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
-        self.marks = {mark: self.direct([mark])[0] for mark in ".,"}
+        self.marks: dict[str, bytes] = {"": b""}
+        self.letters = byte_letters()
 
     @classmethod
     def at(cls, path: str) -> WordEncoder:
@@ -64,24 +77,32 @@ class WordEncoder:
 
     def learn(self, chunks: list[str]) -> None:
         """Add the ids of new chunks to the cache."""
-        known, tokenize, marks = self.known, self.tokenizer.model.tokenize, self.marks
-        rest: dict[str, list[str]] = {}
+        known, tokenize, marks, whole = self.known, self.tokenizer.model.tokenize, self.marks, []
         for chunk in chunks:
-            core = chunk[:-1] if chunk[-1] in marks else chunk
-            if core.isascii() and core.isalpha():
-                low = core.lower()
-                if low not in known:
-                    known[low] = array("I", [t.id for t in tokenize(low)]).tobytes()
-                known[chunk] = known[low] + marks[chunk[-1]] if core is not chunk else known[low]
-            elif core is not chunk and core.isalpha() and core.lower().isalpha() and is_normalized("NFC", core):
-                rest.setdefault(core, []).append(chunk)
+            found = LETTERS.fullmatch(chunk)
+            if not found:
+                whole.append(chunk)
+                continue
+            core, tail = found.groups()
+            if core.isascii():
+                low = bytes_ = core.lower()
+            elif max(core) < "\u0530" and is_normalized("NFC", core):
+                low = "".join([c.lower() for c in core])
+                bytes_ = low.encode().decode("latin-1").translate(self.letters)
             else:
-                rest.setdefault(chunk, [])
-        new = [x for x in rest if x not in known]
-        known.update(zip(new, self.direct(new), strict=True))
-        for core, longer in rest.items():
-            for chunk in longer:
-                known[chunk] = known[core] + marks[chunk[-1]]
+                low = ""
+            if not low.isalpha() or not core.isalpha():
+                whole.append(chunk)
+                continue
+            if low not in known:
+                known[low] = array("I", [t.id for t in tokenize(bytes_)]).tobytes()
+            if tail not in marks:
+                marks[tail] = self.direct([tail])[0]
+            if chunk is not low:
+                known[chunk] = known[low] + marks[tail]
+        known.update(zip(whole, self.direct(whole), strict=True))
+        if len(marks) > 10_000:
+            self.marks = {"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [text.replace("\n", " ").split(" ") for text in texts]
