@@ -84,7 +84,7 @@ def small_join(left: DataFrame, small: DataFrame, on: list[str], how: str = "lef
     for i, c in enumerate(on):
         cond = cond & left[c].eqNullSafe(right[f"__k{i}"])
     drop = [f"__k{i}" for i in range(len(on))]
-    size = int(small._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(small._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size <= BROADCAST_BYTES and small.count() <= max_rows:
         return left.join(F.broadcast(right), cond, how).drop(*drop)
     if salts == 1:
