@@ -268,8 +268,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents without the repeated lines; ``n_chars`` follows the text where it exists."""
     _, gone = drops(docs)
     gone = gone.select(F.col("doc_id").alias("__l_id"), F.col("th").alias("__l_th"), F.col("drop").alias("__l_drop"))
-    rows = docs.withColumn("__l_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__l_id")) & (F.col("__l_h") == F.col("__l_th")), "left")
+    rows = docs.withColumns({"__l_id": F.col("doc_id"), "__l_th": F.xxhash64(F.coalesce("text", F.lit("")))})
+    # Texts are shuffled only if the documents that lose lines are too many to broadcast.
+    joined = small_join(rows, gone, ["__l_id", "__l_th"], max_rows=SMALL // 4, salts=1)
     rest = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("__l_drop", i)), "\n")
     out = joined.withColumn("text", F.when(F.col("__l_drop").isNull(), F.col("text")).otherwise(rest))
     if "n_chars" in docs.columns:
