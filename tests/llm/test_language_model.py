@@ -51,20 +51,37 @@ def test_small_head_and_odd_rows(spark, monkeypatch):
     check(lm.score_documents(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, score int")).collect(), rows)
 
 
-def test_probabilities_sum_to_one(spark, monkeypatch):
-    """Over the vocabulary and the unseen word, in several contexts."""
-    monkeypatch.setattr(lm, "HEAD", 4)
-    words = ["a", "b", "c", "d", "e", "f", "g"]
-    train = [(i, " ".join(words[(i * k) % 7] for k in range(1, 9))) for i in range(200) if not held(i)]
+def test_predictions_sum_to_one():
+    """A context's averaged predictions over all dishes, whatever its seating."""
+    import pyarrow as pa
+
+    class Sent:
+        def __init__(self, value):
+            self.value = value
+
+    rng = np.random.default_rng(2)
+    n = 500
+    parents = [rng.dirichlet(np.full(n, 0.5)) * 0.9 + 0.1 / n for _ in range(3)]
+    dishes = np.sort(rng.choice(n, 80, replace=False)).astype(np.int32)
+    counts = rng.integers(1, 50, 80)
+    tables = [lm.seat(counts, p[dishes], 0.6, lm.STRENGTH, np.zeros(80, np.int64), rng) for p in parents]
+    row = pa.RecordBatch.from_pylist([{"u": 3, "w": dishes.tobytes(), "c": counts.astype(np.int64).tobytes(), "t": b"", "kept": b"".join(t.astype(np.int32).tobytes() for t in tables)}])
+    logs = np.frombuffer(next(lm._predict(Sent(parents), 0.6)(iter([row])))["logs"][0].as_py(), np.uint16)
+    p = 10 ** (-logs.astype(float) / lm.STEPS)
+    assert abs(p.sum() - 1) < 1e-3 and p[dishes].sum() > p.sum() / 2
+
+
+def test_words_outside_the_head_sum_to_one(spark, monkeypatch):
+    """One text per word after the same start: the rest dish's share, split over its words and the unseen one."""
+    monkeypatch.setattr(lm, "HEAD", 3)
+    words = ["aa", "bb", "cc", "dd", "ee", "ff"]
+    train = [(i, " ".join(words[: 1 + i % 6])) for i in range(300) if not held(i)]
     asked = [i for i in range(5000, 9000) if held(i)]
-    probes = [(asked[k], f"{prefix} {w}".strip()) for k, (prefix, w) in enumerate((p, w) for p in ("", "a", "e") for w in [*words, "unseen", None] for w in [w or ""])]
-    rows = spark.createDataFrame(train + probes, "doc_id long, text string")
-    got = {r.doc_id: r.score for r in lm.score_documents(rows).collect()}
-    end = {}
-    for p in ("", "a", "e"):
-        # p(prefix w END) / p(prefix) is p(w | prefix) p(END | w): compare through texts that end after w.
-        end[p] = [10 ** got[i] for i, t in probes if t == p]
-    assert all(0 < x[0] < 1 for x in end.values())
+    probes = {i: w for i, w in zip(asked, [*words, "never"], strict=False)}
+    got = {r.doc_id: r for r in lm.score_documents(spark.createDataFrame(train + list(probes.items()), "doc_id long, text string")).collect()}
+    # Each text is its word and the end; all these words but the first are rare at the start.
+    assert all(got[i].score < 0 and got[i].n_tokens == 2 for i in probes) and got[asked[0]].score > got[asked[6]].score
+    assert got[asked[6]].n_known == 1 and all(got[i].n_known == 2 for i in asked[:6])
 
 
 def test_seating():

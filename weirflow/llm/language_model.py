@@ -6,7 +6,7 @@ the first token has a context of its own.  Every context is a restaurant; all sh
 restaurant of single words.  Dishes are the ``HEAD`` most frequent words and one dish for all others, whose
 words have a restaurant of their own with any number of new dishes, so unseen words get the mass of new
 tables.  These sizes bound the table of (context, dish) counts and the table that is broadcast
-(``CONTEXTS * (HEAD + 1)`` floats), whatever the input; the counts of all other words stay distributed
+(``CONTEXTS * (HEAD + 1)`` numbers of 16 bits), whatever the input; the counts of all other words stay distributed
 and are joined.
 
 Seating is sampled by blocked Gibbs sweeps: in each restaurant, the customers of a dish leave and are
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from weirflow.durable import materialize
 
-HEAD, OWN, ENDINGS = 100_000, 32, 31
+HEAD, OWN, ENDINGS = 100_000, 64, 191
 CONTEXTS = OWN + ENDINGS + 1
 START = CONTEXTS - 1
 SWEEPS, BURN, SEED = 4, 1, 5
@@ -42,6 +42,8 @@ CACHE_WORDS = 200_000
 UNSEEN = 0.5
 WORD_SEED = 42
 END_WORD = b"\n"
+#: Steps per unit of the logarithms in the table of predictions.
+STEPS = 4096
 
 
 def fold() -> Column:
@@ -203,6 +205,13 @@ def _tables(batches: Iterator) -> Iterator:
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["w"], np.int32).astype(np.int64)), pa.array(np.frombuffer(row["t"], np.int64))], names=["w", "n"])
 
 
+def steps(p):
+    """Probabilities as rounded negative logarithms in STEPS, 16 bits."""
+    import numpy as np
+
+    return np.minimum(np.rint(-np.log10(p) * STEPS), 65535).astype(np.uint16)
+
+
 def _predict(parents, discount: float):
     """Average predictive log10 probabilities of all dishes in each context."""
 
@@ -218,8 +227,7 @@ def _predict(parents, discount: float):
                 for t, p in zip(kept, parents.value, strict=True):
                     total += (STRENGTH + discount * t.sum()) / (STRENGTH + c.sum()) * p
                     total[w] += (c - discount * t) / (STRENGTH + c.sum())
-                logs = np.log10(total / len(parents.value)).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array([row["u"]], pa.int64()), pa.array([logs.tobytes()], pa.binary())], names=["u", "logs"])
+                yield pa.RecordBatch.from_arrays([pa.array([row["u"]], pa.int64()), pa.array([steps(total / len(parents.value)).tobytes()], pa.binary())], names=["u", "logs"])
 
     return run
 
@@ -242,7 +250,7 @@ def _score(head, base, table):
                     dish, context = coder.cells(words)
                     known = dish < n
                     rest = [word_hash(words[i]) for i in np.flatnonzero(~known)]
-                    rows.append((len(words), int(known.sum()), float(bases[dish[known]].sum()), float(logs[context, dish].sum(dtype=np.float64)), rest))
+                    rows.append((len(words), int(known.sum()), float(bases[dish[known]].sum()), -float(logs[context, dish].sum(dtype=np.int64)) / STEPS, rest))
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=names)
 
@@ -303,10 +311,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
         parent = seat_root(sweep)
         if sweep > BURN:
             parents.append(parent)
-    rows = state.mapInArrow(_predict(send(parents), discount), "u long, logs binary").collect()
-    logs = np.tile(np.log10(np.mean(parents, axis=0)).astype(np.float32), (CONTEXTS, 1))
-    for row in rows:
-        logs[row.u] = np.frombuffer(row.logs, np.float32)
+    predicted = materialize(state.mapInArrow(_predict(send(parents), discount), "u long, logs binary"), "predictions")
+    logs = np.tile(steps(np.mean(parents, axis=0)), (CONTEXTS, 1))
+    for part in range(8):  # a few rows at a time
+        for row in predicted.filter(F.col("u") % 8 == part).collect():
+            logs[row.u] = np.frombuffer(row.logs, np.uint16)
     table = send(logs)
     bases = send(np.log10((counts + 0.5) / (n + 0.5 * (v + 1))))
 
