@@ -65,7 +65,7 @@ def family(rng, n, edits):
     return out
 
 
-@pytest.mark.parametrize("block", [2000, 7])
+@pytest.mark.parametrize("block", [500, 7])
 def test_families_and_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(lines, "BLOCK", block)
     rng = random.Random(3)

@@ -32,7 +32,7 @@ CHARS, BANDS, ROWS, SIMILAR = 8, 10, 4, (4, 5)
 SEED = 42
 PIECE = 250_000
 SEEN = 500_000
-BLOCK, AGREE = 2000, 24
+BLOCK, AGREE = 500, 24
 #: Bucket keys and line hashes that may be broadcast: about 32 MB.
 SMALL = 1 << 20
 LINES = "doc_id {id}, th long, n_lines int, no array<int>, h array<long>, fh array<long>, sigs array<binary>"
@@ -167,7 +167,7 @@ class Shingled:
         return self.held[h]
 
 
-def forest(band: int, cross: bool, own: list[int], hashes: list[int], sigs, texts: list[str], shingled: Shingled) -> list[tuple[int, int]]:
+def forest(band: int, cross: bool, own, hashes, sigs, line_at, shingled: Shingled) -> list[tuple[int, int]]:
     """Links that connect the similar lines of one bucket, from the pairs whose first common band is this."""
     import numpy as np
 
@@ -188,36 +188,49 @@ def forest(band: int, cross: bool, own: list[int], hashes: list[int], sigs, text
         for j in (likely[first == band] + i + 1).tolist():
             if (cross and own[i] == own[j]) or hashes[i] == hashes[j] or (a := root(i)) == (b := root(j)):
                 continue
-            if similar(shingled.of(hashes[i], texts[i]), shingled.of(hashes[j], texts[j])):
+            if similar(shingled.of(hashes[i], line_at(i)), shingled.of(hashes[j], line_at(j))):
                 parent[b] = a
-                links.append((hashes[i], hashes[j]))
+                links.append((int(hashes[i]), int(hashes[j])))
     return links
 
 
+def _links(rows, bounds: list[int], shingled: Shingled) -> list[tuple[int, int]]:
+    """Links of the buckets rows[bounds[k]:bounds[k + 1]]."""
+    import numpy as np
+
+    band, p, q, own, h = (rows[c].to_numpy() for c in ("band", "p", "q", "own", "h"))
+    sigs = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
+    lines = rows["line"]
+    at, size = np.array(bounds[:-1], np.int64), np.diff(bounds)
+    # Most buckets hold two lines: those are tested together.
+    two = at[size == 2]
+    same = sigs[two] == sigs[two + 1]
+    likely = np.flatnonzero(same.sum(axis=1) >= AGREE)
+    first = same[likely].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+    found = []
+    for i in two[likely[first == band[two[likely]]]].tolist():
+        if (p[i] == q[i] or own[i] != own[i + 1]) and similar(shingled.of(h[i], lines[i].as_py()), shingled.of(h[i + 1], lines[i + 1].as_py())):
+            found.append((int(h[i]), int(h[i + 1])))
+    for i, n in zip(at[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+        found += forest(band[i], p[i] != q[i], own[i : i + n], h[i : i + n], sigs[i : i + n], lambda j, i=i: lines[i + j].as_py(), shingled)
+    return found
+
+
 def _compare(batches: Iterator) -> Iterator:
     """Links from rows (band, key, p, q, own, h, sig, line) sorted by bucket and blocks."""
     import numpy as np
     import pyarrow as pa
 
-    shingled = Shingled()
-    held = None
-
-    def links(rows, start, end):
-        part = rows.slice(start, end - start)
-        sigs = np.frombuffer(b"".join(part["sig"].to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
-        if len(sigs) == 2 and (sigs[0] == sigs[1]).sum() < AGREE:
-            return []
-        band, cross = part["band"][0].as_py(), part["p"][0].as_py() != part["q"][0].as_py()
-        return forest(band, cross, part["own"].to_pylist(), part["h"].to_pylist(), sigs, part["line"].to_pylist(), shingled)
+    shingled, held = Shingled(), None
 
     def finished(rows, last):
         """Links of all buckets of ``rows``, and the rows of the last one if it may go on."""
         key = np.stack([rows[c].to_numpy() for c in ("band", "key", "p", "q")])
-        edges = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-        bounds = [0, *edges.tolist(), len(rows)]
-        stop = len(bounds) - 1 if last else len(bounds) - 2
-        found = [x for k in range(stop) if bounds[k + 1] - bounds[k] > 1 for x in links(rows, bounds[k], bounds[k + 1])]
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"]), rows.slice(bounds[stop])
+        bounds = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()]
+        if last:
+            bounds.append(len(rows))
+        found = _links(rows.slice(0, bounds[-1]).combine_chunks(), bounds, shingled) if bounds[-1] else []
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"]), rows.slice(bounds[-1])
 
     for batch in batches:
         rows = pa.Table.from_batches([batch])
