@@ -51,7 +51,7 @@ def test_slices_find_the_same_prefix(spark, monkeypatch):
     rows = [(i, "abcd" * (i % 13), "en", f"src{i % 2}", 0, "x") for i in range(3000)]
     docs = spark.createDataFrame(rows, DOC).repartition(4)
     picks = []
-    for size in (4096, 16):
+    for size in (1024, 16):
         monkeypatch.setattr(mixing, "SLICE", size)
         out = mixing.mix_documents(docs, share=(37, 100))
         assert out.columns == docs.columns

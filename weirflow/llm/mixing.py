@@ -7,7 +7,7 @@ lacks has already gone to the family's own siblings one level up.  All sums are
 
 Each leaf then takes the first ``quota`` tokens of its seeded epochs: whole epochs first, and of one
 more epoch the documents in the order of a seeded hash up to a cut.  The cut is found without sorting
-a leaf in one task: leaves are sliced by hash prefix into about 4096 documents, slice sums (combined
+a leaf in one task: leaves are sliced by hash prefix into about 1024 documents, slice sums (combined
 before the shuffle) name the slice that holds the cut, and only that slice is ordered.
 
 Defined cases: a token is four UTF-8 bytes, rounded up; null and empty texts hold none and are never
@@ -27,7 +27,7 @@ from weirflow.durable import materialize, small_join
 LEVELS = ("domain", "lang", "source")
 DOMAINS = ("web", "reference", "forum", "news")
 WEIGHTS = {"domain": {"web": 50, "reference": 20, "forum": 10, "news": 20}, "lang": {"en": 60, "de": 15, "fr": 15, "es": 10}, "source": {}}
-SLICE = 4096
+SLICE = 1024
 
 
 def domain_of(source: str = "source") -> Column:
@@ -67,23 +67,21 @@ def budgets(leaves: DataFrame, weights: dict, share: tuple[int, int], max_epochs
     """Quota of each leaf from (g0.., total, docs); the budget is share[0] / share[1] of all tokens."""
     keys = [c for c in leaves.columns if c.startswith("g")]
     df = leaves.withColumn("cap", F.col("total") * max_epochs)
-    everything = W.partitionBy(F.lit(0))
     df = df.withColumn("budget", F.expr(f"sum(total) over (partition by 0) * {share[0]} div {share[1]}"))
-    budget, kept = F.col("budget"), None
+    above = "budget"
     for k, key in enumerate(keys):
         own = keys[: k + 1]
-        nodes = df.groupBy(*own).agg(F.sum("cap").alias("cap"), F.max("budget" if kept is None else kept).alias("from_above"))
+        nodes = df.groupBy(*own).agg(F.sum("cap").alias("cap"), F.max(above).alias("from_above"))
         got = pour(nodes, own[:-1], key, weight_of(LEVELS[k], F.col(key), weights), F.col("from_above")).select(*[F.col(x).alias(f"r{x}") for x in own], F.col("got").alias(f"got{k}"))
         cond = F.lit(True)
         for x in own:
             cond = cond & F.col(x).eqNullSafe(F.col(f"r{x}"))
         df = df.join(got, cond).drop(*[f"r{x}" for x in own])
-        kept = f"got{k}"
-    del everything, budget
-    quota = F.col(kept)
+        above = f"got{k}"
+    quota = F.col(above)
     return df.select(
         *keys, "total", "docs", quota.alias("quota"),
-        F.when(F.col("total") > 0, F.expr(f"{kept} div greatest(total, 1)")).otherwise(0).cast("int").alias("whole"),
+        F.when(F.col("total") > 0, F.expr(f"{above} div greatest(total, 1)")).otherwise(0).cast("int").alias("whole"),
         F.when(F.col("total") > 0, quota % F.greatest(F.col("total"), F.lit(1))).otherwise(0).cast("long").alias("rest"),
         F.greatest(F.lit(0), F.least(F.lit(30), F.ceil(F.log2(F.greatest(F.col("docs"), F.lit(1)) / SLICE)))).cast("int").alias("bits"),
     )
