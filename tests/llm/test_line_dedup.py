@@ -74,6 +74,20 @@ def test_families_and_blocks(spark, monkeypatch, block):
     assert got <= want and len(got) >= 0.97 * len(want)
 
 
+def test_recall_of_short_lines(spark):
+    """Pairs of lines of 11 to 37 characters at Jaccard 0.8 exactly."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    texts = []
+    for shingles in (4, 8, 12, 16, 20, 24):
+        for _ in range(150):
+            line = word(shingles + lines.CHARS - 1)
+            texts += [line, line + word(shingles // 4)]
+    got, want = dropped(spark, texts), groups_by_force(texts)
+    assert len(want) == 900
+    assert got <= want and len(got) >= 0.99 * len(want)
+
+
 def test_the_first_of_equal_lines_stays(spark):
     texts = ["same line here again\nalpha beta gamma delta", "same line here again", "same line here again\nsame line here again\n\n  \nshort", "short", None, "", "\n\n", "kort"]
     docs = spark.createDataFrame([(i, t, len(t or ""), 7) for i, t in enumerate(texts)], ROW)

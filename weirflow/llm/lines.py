@@ -6,10 +6,9 @@ BANDS * ROWS bins and keeps 16 bits of the least of each; an empty bin borrows f
 bins is a bucket key.  At Jaccard 0.8, ten bands of four find 99.5 % of the pairs.
 
 Buckets with different lines are compared inside sorted partitions, a bucket of over ``BLOCK`` lines in
-blocks against blocks.  A pair is looked at in its first common band only, must agree in ``AGREE`` of the
-bins (0.1 % of the pairs at 0.8 do not) and then reach 0.8 by exact Jaccard on the texts; pairs that are
-connected already are passed over, so a bucket gives a spanning forest and never all its pairs.  The
-links of all buckets go to the distributed union-find.  Equal lines count as one line throughout.  Of
+blocks against blocks.  A pair is looked at in its first common band only and must reach 0.8 by exact
+Jaccard on the texts; pairs that are connected already are passed over, so a bucket gives a spanning
+forest and never all its pairs.  The links of all buckets go to the distributed union-find.  Equal lines count as one line throughout.  Of
 every component the first line stays, by (doc_id, text hash, line number).
 
 A line is identified by its 64-bit XXH64.  Defined cases: null and blank texts have no lines; blank
@@ -32,7 +31,7 @@ CHARS, BANDS, ROWS, SIMILAR = 8, 10, 4, (4, 5)
 SEED = 42
 PIECE = 250_000
 SEEN = 500_000
-BLOCK, AGREE = 500, 24
+BLOCK = 500
 #: Bucket keys and line hashes that may be broadcast: about 32 MB.
 SMALL = 1 << 20
 LINES = "doc_id {id}, th long, n_lines int, no array<int>, h array<long>, fh array<long>, sigs array<binary>"
@@ -147,7 +146,10 @@ def cut(line: str) -> frozenset[str]:
 
 
 def similar(x: frozenset, y: frozenset) -> bool:
-    """Exact Jaccard against SIMILAR."""
+    """Exact Jaccard against SIMILAR; sets whose sizes alone are too far apart are not intersected."""
+    small, large = (len(x), len(y)) if len(x) < len(y) else (len(y), len(x))
+    if small * SIMILAR[1] < large * SIMILAR[0]:
+        return False
     common = len(x & y)
     return common * SIMILAR[1] >= (len(x) + len(y) - common) * SIMILAR[0]
 
@@ -180,12 +182,8 @@ def forest(band: int, cross: bool, own, hashes, sigs, line_at, shingled: Shingle
 
     links = []
     for i in range(len(hashes) - 1):
-        same = sigs[i + 1 :] == sigs[i]
-        likely = np.flatnonzero(same.sum(axis=1) >= AGREE)
-        if not len(likely):
-            continue
-        first = same[likely].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
-        for j in (likely[first == band] + i + 1).tolist():
+        first = (sigs[i + 1 :] == sigs[i]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+        for j in (np.flatnonzero(first == band) + i + 1).tolist():
             if (cross and own[i] == own[j]) or hashes[i] == hashes[j] or (a := root(i)) == (b := root(j)):
                 continue
             if similar(shingled.of(hashes[i], line_at(i)), shingled.of(hashes[j], line_at(j))):
@@ -204,11 +202,9 @@ def _links(rows, bounds: list[int], shingled: Shingled) -> list[tuple[int, int]]
     at, size = np.array(bounds[:-1], np.int64), np.diff(bounds)
     # Most buckets hold two lines: those are tested together.
     two = at[size == 2]
-    same = sigs[two] == sigs[two + 1]
-    likely = np.flatnonzero(same.sum(axis=1) >= AGREE)
-    first = same[likely].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+    first = (sigs[two] == sigs[two + 1]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
     found = []
-    for i in two[likely[first == band[two[likely]]]].tolist():
+    for i in two[first == band[two]].tolist():
         if (p[i] == q[i] or own[i] != own[i + 1]) and similar(shingled.of(h[i], lines[i].as_py()), shingled.of(h[i + 1], lines[i + 1].as_py())):
             found.append((int(h[i]), int(h[i + 1])))
     for i, n in zip(at[size > 2].tolist(), size[size > 2].tolist(), strict=True):
