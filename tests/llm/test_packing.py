@@ -48,6 +48,32 @@ def test_round_trip(spark, sf_dir, direct):
     check(packing.op9_packing(spark, sf_dir).collect(), {r.doc_id: r.text for r in docs.collect()}, direct)
 
 
+def pack_by_force(lengths, limit):
+    """Each rest to the cheapest sequence with room for it, over all sequences; cut only if there is none."""
+    rests = sorted(((n % limit, d, n - n % limit) for d, n in enumerate(lengths) if n % limit), key=lambda x: (-x[0], x[1], x[2]))
+    left, first = sum(r[0] for r in rests), sum(n // limit for n in lengths)
+    rooms = [limit] * (left // limit) + [1 << k for k in range(limit.bit_length() - 1, -1, -1) if left % limit >> k & 1]
+    cost, got = [0.0 if r == limit else float("inf") for r in rooms], []
+    while rests:
+        n, d, start = rests.pop(0)
+        i = min([i for i, r in enumerate(rooms) if r >= n] or [i for i, r in enumerate(rooms) if r], key=lambda i: (cost[i], i))
+        part = min(n, rooms[i])
+        got.append((d, start, part, first + i))
+        rooms[i] -= part
+        cost[i] += packing.LINEAR * part + packing.QUADRATIC * part * part
+        if part < n:
+            rests = sorted([*rests, (n - part, d, start + part)], key=lambda x: (-x[0], x[1], x[2]))
+    return got
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_a_rest_is_cut_only_if_no_sequence_has_room(seed):
+    rng = random.Random(seed)
+    lengths = [rng.choice([rng.randrange(1, 40), rng.randrange(1, 257), rng.randrange(1, 900)]) for _ in range(600)]
+    pieces, _ = packing.pack(lengths, 256)
+    assert [x[:4] for x in pieces if x[2] < 256] == [x for x in pack_by_force(lengths, 256) if x[2] < 256]
+
+
 def test_odd_texts(spark, direct):
     texts = {
         1: None, 2: "", 3: "  \n\t ", 4: "It's 12 Cafés,　don't!\x1cStop <|endoftext|> a<|startoftext|>b", 5: "ΑΣ ΟΔΟΣ Straße İstanbul é ́x",

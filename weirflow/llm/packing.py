@@ -3,8 +3,8 @@
 A sequence costs ``linear * tokens + quadratic * sum(piece length squared)``: attention stays inside a
 piece.  Each task packs what it reads, in runs of about four million tokens, so nothing is shuffled and
 memory is bounded by one run (and its longest document).  In a run, whole blocks of 4096 tokens are cut
-off long documents; the rests go in descending length to the cheapest sequence with room.  One that
-fits whole among the few cheapest is preferred, else the piece is cut at the room that is left.  A run
+off long documents; the rests go in descending length to the cheapest of all sequences with room for the
+whole piece, found in an index by room; only if there is none, the piece is cut at the room of the cheapest.  A run
 opens exactly as many places as it has tokens: full sequences, then powers of two for the remainder,
 so no sequence needs padding.
 
@@ -33,7 +33,6 @@ RUN_TOKENS = 4_000_000
 CACHE_WORDS = 1_000_000
 TEXTS = 128
 LINEAR, QUADRATIC = 2048.0, 1.0
-LOOK = 8
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 _encoders: dict[str, WordEncoder] = {}
@@ -114,6 +113,43 @@ class WordEncoder:
         return [b"".join(map(known.__getitem__, x)) for x in words]
 
 
+class Rooms:
+    """Open sequences by remaining room: a heap by cost for each room, below a tree of minima."""
+
+    def __init__(self, limit: int):
+        self.size = 1 << limit.bit_length()
+        self.none = (float("inf"), 1 << 62, 0)
+        self.tree = [self.none] * (2 * self.size)
+        self.heaps: list[list[tuple[float, int, int]]] = [[] for _ in range(limit + 1)]
+
+    def _climb(self, room: int) -> None:
+        tree, at = self.tree, self.size + room
+        tree[at] = self.heaps[room][0] if self.heaps[room] else self.none
+        while at > 1:
+            at >>= 1
+            tree[at] = min(tree[2 * at], tree[2 * at + 1])
+
+    def put(self, cost: float, i: int, room: int) -> None:
+        heapq.heappush(self.heaps[room], (cost, i, room))
+        if self.heaps[room][0][1] == i:
+            self._climb(room)
+
+    def take(self, least: int) -> tuple[float, int, int] | None:
+        """Remove the cheapest sequence with room for ``least`` tokens."""
+        tree, best, lo, hi = self.tree, self.none, self.size + least, 2 * self.size
+        while lo < hi:
+            if lo & 1:
+                best = min(best, tree[lo])
+                lo += 1
+            lo >>= 1
+            hi >>= 1
+        if not best[2]:
+            return None
+        heapq.heappop(self.heaps[best[2]])
+        self._climb(best[2])
+        return best
+
+
 def pack(lengths: list[int], limit: int = LIMIT, linear: float = LINEAR, quadratic: float = QUADRATIC) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Pieces (document, start, length, sequence, offset) of one run, and the number of sequences."""
     pieces, n_sequences, rests = [], 0, []
@@ -129,26 +165,19 @@ def pack(lengths: list[int], limit: int = LIMIT, linear: float = LINEAR, quadrat
     rooms = [limit] * (left // limit) + [1 << k for k in range(limit.bit_length() - 1, -1, -1) if left % limit >> k & 1]
     used = [0] * len(rooms)
     # Full sequences first; the short ones take what is cut off in the end.
-    heap = [(0.0 if room == limit else float("inf"), i) for i, room in enumerate(rooms)]
-    heapq.heapify(heap)
+    free = Rooms(limit)
+    for i, room in enumerate(rooms):
+        free.put(0.0 if room == limit else float("inf"), i, room)
     heapq.heapify(rests)
     while rests:
         minus, d, start = heapq.heappop(rests)
-        n, seen = -minus, []
-        while heap and len(seen) < LOOK:
-            cost, i = heapq.heappop(heap)
-            seen.append((cost, i))
-            if rooms[i] - used[i] >= n:
-                break
-        cost, i = seen[-1] if rooms[seen[-1][1]] - used[seen[-1][1]] >= n else seen[0]
-        part = min(n, rooms[i] - used[i])
+        n = -minus
+        cost, i, room = free.take(n) or free.take(1)
+        part = min(n, room)
         pieces.append((d, start, part, n_sequences + i, used[i]))
         used[i] += part
-        for x in seen:
-            if x[1] != i:
-                heapq.heappush(heap, x)
-        if used[i] < rooms[i]:
-            heapq.heappush(heap, (cost + linear * part + quadratic * part * part, i))
+        if part < room:
+            free.put(cost + linear * part + quadratic * part * part, i, room - part)
         if part < n:
             heapq.heappush(rests, (part - n, d, start + part))
     return pieces, n_sequences + len(rooms)
