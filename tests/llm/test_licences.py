@@ -57,3 +57,18 @@ def test_tags():
     row = licences.scan("# spdx-license-identifier: ISC\n# SPDX-License-Identifier: Zlib\n", machine)
     assert row[5] == "isc,zlib" and row[7] == "ISC;Zlib" and row[8] is True
     assert licences.scan("SPDX license identifier, whatever that is", machine)[5] == ""
+
+
+def test_expressions_of_any_length_and_several_in_a_line():
+    machine = licences.automaton()
+    names = [f"licence-with-a-long-name-{i:04d}" for i in range(5000)]
+    row = licences.scan(f"SPDX-License-Identifier: {' OR '.join(names)} OR", machine)
+    assert row[5].split(",") == names and row[7].split() == [names[0], *[x for n in names[1:] for x in (n, "OR")]]
+    tag = "SPDX-License-Identifier:"
+    for text, want in (
+        (f"{tag} MIT for {tag} Apache-2.0 and so on", ["MIT", "Apache-2.0 so AND"]), (f"{tag} MIT AND {tag}Zlib", ["MIT", "Zlib"]), (f"{tag} {tag} ISC", ["ISC"]),
+        (f"{tag} (MIT {tag} ISC) {tag} 0BSD", ["ISC", "0BSD"]), (f"{tag} MIT\nOR ISC", ["MIT"]), (f"{tag}\nMIT", []),
+    ):
+        assert licences.scan(text, machine)[7] == ";".join(want)
+    assert len(licences.expressions(f"{tag} MIT " * 20_000)) == 20_000 and licences.expressions(f"{tag} {'(' * 200_000}MIT") == []
+    assert licences.identifiers(licences.parse(" OR ".join(["GPL-2.0 WITH x"] * 50_000))) == ["gpl-2.0"] * 50_000

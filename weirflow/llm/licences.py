@@ -5,7 +5,8 @@ then finds notice phrases and the identifier tag in the words joined by single s
 on both sides, so phrases are whole words.  Behind a tag in the raw text stands a licence expression of
 AND, OR, WITH and parentheses; it is turned to postfix (WITH binds tightest, then AND, then OR) and
 evaluated: an expression is permitted if OR has a permitted side, AND two, WITH its licence.  A malformed
-expression gives the longest well-formed beginning.
+expression gives the longest well-formed beginning; the search for tags goes on right behind it, so a line
+may hold several.  An expression ends with its line and before the next tag, and has no other limit of length.
 
 ``score``: 1 with a tag's expression, 0.9 with a base phrase, 0.6 with another phrase, else 0.  Defined
 cases: null and empty texts have no words and score 0; whole texts are read however long; ids and
@@ -15,6 +16,7 @@ repeated rows pass as they are; an empty table gives an empty result; other colu
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -42,20 +44,17 @@ PERMITTED = ("mit", "apache", "bsd", "isc", "cc0", "cc-by-4", "cc-by-3", "zlib",
 # End of fixed values.
 
 WORDS = bytes(32 if (c < 0x30 or 0x3A <= c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F) else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
-RAW_TAG = re.compile(rb"spdx-license-identifier:[ \t]*([^\r\n]{1,2000})", re.I)
-PIECE = re.compile(r"\s*([()]|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
+RAW_TAG = re.compile(r"spdx-license-identifier:", re.I | re.A)
+PIECE = re.compile(r"[^\S\r\n]*([()]|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
 RANK = {"OR": 1, "AND": 2, "WITH": 3}
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions string, permitted boolean"
 
 
-def pieces(text: str) -> list[str]:
-    """Operators, parentheses and identifiers, up to the first other character."""
-    found, at = [], 0
-    while m := PIECE.match(text, at):
-        word = m[1]
-        found.append(word.upper() if word.upper() in RANK else word)
-        at = m.end()
-    return found
+def pieces(text: str, at: int = 0) -> Iterator[tuple[str, int]]:
+    """Operators, parentheses and identifiers with their ends, up to the first other character or tag."""
+    while (m := PIECE.match(text, at)) and not RAW_TAG.search(m[1]):
+        word, at = m[1], m.end()
+        yield word.upper() if word.upper() in RANK else word, at
 
 
 def postfix(tokens: list[str]) -> list[str] | None:
@@ -91,10 +90,34 @@ def postfix(tokens: list[str]) -> list[str] | None:
     return out + stack[::-1]
 
 
+def parse_at(text: str, at: int) -> tuple[list[str], int]:
+    """Postfix of the longest well-formed expression at ``at`` and its end; empty if there is none."""
+    tokens, whole, stop, depth, want = [], 0, at, 0, True
+    for t, end in pieces(text, at):
+        # Where an operand is wanted stands a licence or "(", else an operator or ")".
+        if want != (t == "(" or t != ")" and t not in RANK) or t == ")" and not depth:
+            break
+        tokens.append(t)
+        depth += (t == "(") - (t == ")")
+        want = t == "(" or t in RANK
+        if not want and not depth:
+            whole, stop = len(tokens), end
+    return postfix(tokens[:whole]) or [], stop
+
+
 def parse(text: str) -> list[str]:
     """Postfix of the longest well-formed beginning of ``text``; empty if there is none."""
-    tokens = pieces(text)
-    return next((got for n in range(len(tokens), 0, -1) if (got := postfix(tokens[:n])) is not None), [])
+    return parse_at(text, 0)[0]
+
+
+def expressions(text: str) -> list[list[str]]:
+    """Postfix of the expression behind each tag."""
+    found, at = [], 0
+    while m := RAW_TAG.search(text, at):
+        got, at = parse_at(text, m.end())
+        if got:
+            found.append(got)
+    return found
 
 
 def permitted(rpn: list[str]) -> bool:
@@ -110,17 +133,17 @@ def permitted(rpn: list[str]) -> bool:
 
 def identifiers(rpn: list[str]) -> list[str]:
     """Licences of an expression, without the exceptions behind WITH."""
-    stack, found = [], []
+    stack, found = [], Counter()
     for t in rpn:
         if t in RANK:
             b, a = stack.pop(), stack.pop()
-            if t == "WITH" and b in found:
-                found.remove(b)
+            if t == "WITH" and found[b]:
+                found[b] -= 1
             stack.append(a)
         else:
-            found.append(t.lower())
+            found[t.lower()] += 1
             stack.append(t.lower())
-    return found
+    return list(found.elements())
 
 
 def automaton():
@@ -153,7 +176,7 @@ def scan(text: str | None, machine) -> tuple:
         n += line.count(" ", at, first)
         at = first
         places.append(n - 1)
-    found = [e for m in RAW_TAG.finditer(raw) if (e := parse(m[1].decode("utf-8", "replace")))] if tagged else []
+    found = expressions(text) if tagged else []
     for e in found:
         labels.update(identifiers(e))
     labels.discard("")
