@@ -96,3 +96,27 @@ def test_reader_logs_gaps(spark, tmp_path):
     rows = warc.read_archives(spark, str(tmp_path)).orderBy("offset").collect()
     assert [(r.kind, r.page_id) for r in rows] == [("record", 1), ("gap", None), ("record", 2)]
     assert rows[1].length == 4 and rows[1].reason == "no version line" and bytes(rows[2].payload) == b"two"
+
+
+def test_salvage_inside_a_member():
+    rng = random.Random(4)
+    pages = [page(i, "".join(chr(rng.randrange(97, 123)) for _ in range(3000))) for i in range(8)]
+    bad = pages[3].replace(b"\r\n\r\n", b"\r\n\r\n!", 2)
+    one = warc.member(b"".join([*pages[:3], bad, *pages[4:]]))
+    after = warc.member(page(9, "after"))
+    names = lambda data: [x[3] for x in got(data) if x[0] == "record"]
+    assert names(one + after) == ["0", "1", "2", "4", "5", "6", "7", "9"]
+    gap = next(x for x in got(one + after) if x[0] == "gap")
+    assert gap[1:3] == (0, len(one)) and str(sum(map(len, pages[:3]))) in gap[3]
+    whole = warc.member(b"".join(pages))
+    cut = whole[: len(whole) * 5 // 8]
+    assert names(cut) == ["0", "1", "2", "3"] or names(cut) == ["0", "1", "2", "3", "4"]
+    assert [x[0] for x in got(cut)][-1] == "gap"
+    crc = bytearray(whole.removesuffix(warc.EMPTY_MEMBER))
+    crc[-8] ^= 1
+    assert names(bytes(crc) + after) == [*map(str, range(8)), "9"]
+    # Long headers have no limit.
+    assert names(pages[0].replace(b"X-Page-Id", b"X-Long: " + b"x" * (2 << 20) + b"\r\nX-Page-Id", 1)) == ["0"]
+    stored = warc.zlib.compressobj(0, warc.zlib.DEFLATED, 31)
+    raw = stored.compress(b"".join(pages)) + stored.flush()
+    assert names(raw[:-5]) == [*map(str, range(8))]

@@ -7,11 +7,13 @@ more are followed by an empty member, which ends so as well).  Of equal payloads
 ``MIN_REVISIT`` bytes the row with the largest id is the response, the others are revisits without a
 body.  Digests and their groups are found natively; only digests that occur twice are joined back.
 
-Reading.  A file is a run of gzip members, plain records, or both.  A member must inflate with its
-checksum; a record must have a version line, a header end, its whole block, the closing blank line, and
-digests that match.  After a failed check the reader logs the bytes as a gap and goes on at the next
-place that passes the same checks: the declared end of the record if it does, else the next gzip magic
-or version line.  Each file is one row of ``binaryFile`` (below 2 GiB); the writer's files are one task
+Reading.  A file is a run of gzip members, plain records, or both.  A record must have a version line, a
+header end, its whole block, the closing blank line, and digests that match.  After a failed check the
+reader logs the bytes as a gap and goes on at the next place that passes the same checks: the declared end
+of the record if it does, else the next gzip magic or version line.  Inside a member the same holds for
+its inflated bytes; a gap there has the member's offset and names the inner offsets.  Of a member that is
+cut off or does not inflate with its checksum, what inflated before is read as well; after an error of
+zlib, its records count only if a block digest proves them.  Each file is one row of ``binaryFile`` (below 2 GiB); the writer's files are one task
 each, so they follow the partition size.
 
 Defined cases: null payloads are empty; null ids write no id header and read back as null; null or
@@ -35,7 +37,7 @@ MIN_REVISIT = 1000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EMPTY_MEMBER = b"\x1f\x8b\x08" + bytes(6) + b"\xff\x03\x00" + bytes(8)
-END, CRLF = b"\r\n\r\n", b"\r\n"
+END, CRLF, MAGIC = b"\r\n\r\n", b"\r\n", b"\x1f\x8b\x08"
 READ = (
     "path string, offset long, length long, kind string, reason string, record_type string, page_id long, target_uri string, "
     "payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -125,11 +127,14 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     """The record whose version line starts at ``at``, and where the next one may start."""
     if data[at : at + 7] != b"WARC/1." and data[at : at + 7] != b"WARC/0.":
         raise Bad("no version line")
-    stop = data.find(END, at, at + (1 << 20))
-    if stop < 0:
-        raise Bad("no end of header")
-    fields = {}
-    for line in data[at:stop].split(CRLF)[1:]:
+    fields, here = {}, data.find(CRLF, at) + 2
+    while True:
+        stop = data.find(CRLF, here)
+        if here < 2 or stop < 0:
+            raise Bad("no end of header")
+        if stop == here:
+            break
+        line, here = data[here:stop], stop + 2
         name, colon, value = line.partition(b":")
         if not colon or min(line) < 32 and min(line.replace(b"\t", b" ")) < 32:
             raise Bad("header line without a colon or with control characters")
@@ -141,7 +146,7 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
         size = int(fields["content-length"])
     except (KeyError, ValueError):
         raise Bad("no content length") from None
-    first, end = stop + 4, stop + 4 + size
+    first, end = stop + 2, stop + 2 + size
     if size < 0 or end + 4 > len(data):
         raise Bad("block is cut off")
     if data[end : end + 4] != END:
@@ -154,74 +159,111 @@ def parse_record(data: bytes, at: int) -> tuple[dict, int]:
     payload = block[block.find(END) + 4 :] if http and END in block else block
     if kind != "revisit" and not _digest_ok(fields.get("warc-payload-digest", ""), payload):
         raise Bad("payload digest differs", end + 4)
-    return {"fields": fields, "type": kind, "payload": payload}, end + 4
-
+    return {"fields": fields, "type": kind, "payload": payload, "proved": fields.get("warc-block-digest", "").lower().startswith("sha1:")}, end + 4
 
-def parse_plain(data: bytes, at: int = 0) -> list[dict]:
-    """All records of an inflated member."""
-    found = []
-    while at < len(data):
-        got, at = parse_record(data, at)
-        found.append(got)
-    return found
 
-
-def parse_at(data: bytes, at: int) -> tuple[list[dict], int]:
-    """What stands at ``at``: a gzip member with its records, or one plain record."""
-    if data[at : at + 3] == b"\x1f\x8b\x08":
-        z, out, used = zlib.decompressobj(31), [], at
+def inflate(data: bytes, at: int) -> tuple[bytes, list[tuple[int, int]], str | None]:
+    """What inflates of the gzip member at ``at``, (bytes used up to, bytes inflated) by step, and what is wrong."""
+    failed, reason = len(data), None
+    for _ in range(2):
+        z, out, marks, used, size = zlib.decompressobj(31), [], [], at, 0
         try:
             while not z.eof and used < len(data):
-                piece = data[used : used + (1 << 20)]
-                out.append(z.decompress(piece))
-                used += len(piece)
+                # The second time, the piece with the error or the cut is taken byte by byte, for all that inflates before it.
+                last, step = used, 1 if used >= failed else 1 << 20
+                piece = z.decompress(data[used : used + step])
+                used = min(used + step, len(data))
+                size += len(piece)
+                out.append(piece)
+                marks.append((used - len(z.unused_data), size))
         except zlib.error as e:
-            raise Bad(f"gzip: {e}") from None
-        if not z.eof:
-            raise Bad("gzip member is cut off")
-        end = used - len(z.unused_data)
+            failed, reason = used, f"gzip: {e}"
+        else:
+            if z.eof:
+                return b"".join(out), marks, None
+            failed, reason = last, "gzip member is cut off"
+    return b"".join(out), marks, reason
+
+
+def _record(data: bytes, at: int, proved: bool) -> tuple[dict, int]:
+    got, end = parse_record(data, at)
+    if proved and not got["proved"]:
+        raise Bad("no digest in a damaged member", end)
+    return got, end
+
+
+def parse_member(data: bytes, at: int) -> tuple[list[tuple[str, int, int, object]], int, str | None]:
+    """Records and inner gaps of the member at ``at``, where reading may go on, and what is wrong with the member.
+
+    Of a damaged member, that is behind its last good record, or ``at`` if there is none.
+    """
+    body, marks, wrong = inflate(data, at)
+    found, here, proved = [], 0, wrong is not None and wrong.startswith("gzip:")
+    while here < len(body):
+        if body[here] in CRLF:
+            here += 1
+            continue
         try:
-            return parse_plain(b"".join(out)), end
+            got, end = _record(body, here, proved)
+            found.append(("record", here, end, got))
         except Bad as e:
-            raise Bad(f"in member: {e}", end) from None
-    got, end = parse_record(data, at)
-    return [got], end
+            end = _resume(body, here, e.end, (b"WARC/",), lambda x: bool(_record(body, x, proved)))
+            found.append(("gap", here, end, f"in member, {here} to {end}: {e}"))
+        here = end
+    if wrong is None:
+        return found, marks[-1][0], None
+    while found and found[-1][0] == "gap":
+        found.pop()
+    return found, next(used for used, size in marks if size >= found[-1][2]) if found else at, wrong
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
     """('record', start, end, record) and ('gap', start, end, reason), in order, covering all but padding."""
+
+    def valid(x: int) -> bool:
+        if data[x : x + 3] != MAGIC:
+            return bool(parse_record(data, x))
+        found, _, wrong = parse_member(data, x)
+        return any(kind == "record" for kind, *_ in found) or not found and wrong is None
+
     at = 0
     while at < len(data):
         if data[at] in CRLF:
             at += 1
             continue
-        try:
-            found, end = parse_at(data, at)
-        except Bad as e:
-            end = _resume(data, at, e.end)
-            yield "gap", at, end, str(e)
+        stated, wrong = None, None
+        if data[at : at + 3] == MAGIC:
+            found, end, wrong = parse_member(data, at)
+            for kind, _, _, got in found:
+                yield kind, at, end, got
+            at = end
+        else:
+            try:
+                got, end = parse_record(data, at)
+                yield "record", at, end, got
+                at = end
+            except Bad as e:
+                stated, wrong = e.end, str(e)
+        if wrong is not None:
+            end = _resume(data, at, stated, (MAGIC, b"WARC/"), valid)
+            yield "gap", at, end, wrong
             at = end
-            continue
-        for got in found:
-            yield "record", at, end, got
-        at = end
 
 
-def _resume(data: bytes, at: int, stated: int | None) -> int:
+def _resume(data: bytes, at: int, stated: int | None, marks: tuple[bytes, ...], check) -> int:
     """The next place after ``at`` that passes all checks."""
 
     def valid(x: int) -> bool:
         try:
-            parse_at(data, x)
+            return check(x)
         except Bad:
             return False
-        return True
 
     if stated is not None and (stated >= len(data) or valid(stated)):
         return min(stated, len(data))
-    search, ahead = at + 1, [-2, -2]
+    search, ahead = at + 1, [-2] * len(marks)
     while True:
-        for k, mark in enumerate((b"\x1f\x8b\x08", b"WARC/")):
+        for k, mark in enumerate(marks):
             if ahead[k] != -1 and ahead[k] < search:
                 ahead[k] = data.find(mark, search)
         places = [x for x in ahead if x >= 0]
