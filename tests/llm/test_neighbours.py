@@ -97,3 +97,25 @@ def test_first_probe_is_the_own_cell(axes):
 
 def test_schema(spark, sf_dir):
     assert neighbours.op6_neighbours(spark, sf_dir).select(F.col("rank")).schema[0].dataType.simpleString() == "int"
+
+
+def test_a_repeated_id_takes_one_place_of_a_block():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 4))
+    ids, v = np.concatenate([np.repeat(np.arange(40), 3), [100]]), np.concatenate([np.repeat(x, 3, axis=0), x[:1]])
+    order = rng.permutation(120)
+    ids[:120], v[:120] = ids[order], v[order]
+    rows = pa.table({"query": [False] * 120 + [True], "id": ids, "v": v.tolist()})
+    got = neighbours._best(4, 20)(rows)
+    assert got["vec_id"].to_pylist() == np.argsort(-(x @ x[0]), kind="stable")[:20].tolist()
+
+
+def test_repeated_ids_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(30, 4))
+    points = spark.createDataFrame([(i % 30, (x[i % 30] * (1 + (i >= 60))).tolist()) for i in range(90)], "id long, v array<double>")
+    got = neighbours.nearest(points, points.filter("id = 0"), 5).collect()
+    assert len(got) == 5 and len({r.vec_id for r in got}) == 5 and sorted(r.rank for r in got) == [1, 2, 3, 4, 5]

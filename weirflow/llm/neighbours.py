@@ -157,16 +157,25 @@ def _best(dim: int, k: int):
             return none
         (pid, p), (qid, q) = [(t["id"].to_numpy(), _vectors(t["v"].combine_chunks() if t["v"].num_chunks != 1 else t["v"].chunk(0), dim)) for t in sides]
         found = [[], [], []]
+        # Points in the order of their ids, so that rows that share an id count once for the k best.
+        order = np.argsort(pid, kind="stable")
+        pid, p = pid[order], p[order]
+        firsts = np.flatnonzero(np.concatenate(([True], pid[1:] != pid[:-1])))
         for at in range(0, len(q), 512):
             a, ids = q[at : at + 512], qid[at : at + 512]
             s = a @ p.T
             s[ids[:, None] == pid[None, :]] = -np.inf
-            least = np.partition(s, len(p) - k, axis=1)[:, len(p) - k] if len(p) > k else np.full(len(a), -np.inf)
+            each, n = s if len(firsts) == len(p) else np.maximum.reduceat(s, firsts, axis=1), len(firsts)
+            least = np.partition(each, n - k, axis=1)[:, n - k] if n > k else np.full(len(a), -np.inf)
             # A margin, as the order is settled by the sums below.
-            r, c = np.nonzero((s >= (least - 1e-9 * (1 + np.abs(least)))[:, None]) & (s > -np.inf)) if len(p) > k else np.nonzero(s > -np.inf)
+            r, c = np.nonzero((s >= (least - 1e-9 * (1 + np.abs(least)))[:, None]) & (s > -np.inf)) if n > k else np.nonzero(s > -np.inf)
             exact = (a[r] * p[c]).sum(axis=1)
             order = np.lexsort((pid[c], -exact, r))
             r, c, exact = r[order], c[order], exact[order]
+            if n < len(p):
+                _, best = np.unique(np.stack([r, pid[c]]), axis=1, return_index=True)
+                best.sort()
+                r, c, exact = r[best], c[best], exact[best]
             place = np.arange(len(r)) - np.searchsorted(r, r)
             keep = place < k
             for out, x in zip(found, (ids[r[keep]], pid[c[keep]], exact[keep]), strict=True):
@@ -206,7 +215,7 @@ def nearest(points: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         return rows.select("cell", F.col("theirs" if query else "mine").alias("p"), F.col("mine" if query else "theirs").alias("q"), F.lit(query).alias("query"), "id", "v")
 
     block = blocked(dealt, False).union(blocked(asked, True)).groupBy("cell", "p", "q")
-    best = block.applyInArrow(_best(dim, k), schema)
+    best = block.applyInArrow(_best(dim, k), schema).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     line = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.dense_rank().over(line)).filter(F.col("rank") <= k).dropDuplicates(["query_id", "rank"]).select("query_id", "rank", "vec_id", "score")
 
