@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirflow.durable import materialize
+from weirflow.durable import discard, materialize, scope
 from weirflow.llm import lines, mixing, packing, quality, simhash
 
 STAGES = [
@@ -23,10 +23,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table of documents, each written and read again."""
+    """All stages over the whole table of documents, each written and read again.
+
+    A stage's own tables, and what the stage before it wrote, go as soon as its result stands.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, name)
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with scope(spark) as keep:
+            out = keep(materialize(stage(spark, docs, sf_dir), name))
+        if k:
+            discard(docs)
+        docs = out
+    return STAGES[-1][1](spark, docs, sf_dir)

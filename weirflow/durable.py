@@ -10,6 +10,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +21,8 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors.
 
-    ``spark.checkpoint.dir`` wins.  Where it is unset, local mode gets a temporary folder of its own;
-    a cluster falls back to the warehouse, which is shared by definition.
+    ``spark.checkpoint.dir`` wins.  Where it is unset, local mode gets a temporary folder of its own; a cluster
+    must name one, as any folder picked here might lie on one machine.
     """
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if set_dir:
@@ -28,34 +31,95 @@ def shared_dir(spark: SparkSession) -> str:
     if master == "local" or master.startswith("local["):
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weirflow-"))
         return spark.sparkContext.getCheckpointDir().rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+
+
+#: Tables made inside each open :func:`scope`, innermost last.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+def app_dir(spark: SparkSession, app_id: str | None = None) -> str:
+    """The folder of an application's tables."""
+    return f"{shared_dir(spark)}/weirflow/{app_id or spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/weirflow/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the application's folder."""
+    path = f"{app_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _scopes.get():
+        made.append(path)
+    return path
+
+
+#: Ends the life of a query's shuffle files with the query.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts its lineage."""
+    """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts its lineage.
+
+    What was shuffled for the table goes as soon as the table stands.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of the shared storage; those that are gone already are passed over."""
+    conf = spark._jsc.hadoopConfiguration()
+    for x in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(x)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def folders(df: DataFrame) -> set[str]:
+    """The tables of :func:`new_path` that a DataFrame reads."""
+    return {m[0] for f in df.inputFiles() if (m := re.match(r".*/weirflow/[^/]+/[^/]+", f))}
+
+
 def discard(*dfs: DataFrame) -> None:
     """Delete tables made by :func:`materialize` that nothing reads any more."""
     for df in dfs:
-        spark = df.sparkSession
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for top in {f.rsplit("/part-", 1)[0] for f in df.inputFiles()}:
-            if "/weirflow/" in top:
-                path = jvm.org.apache.hadoop.fs.Path(top)
-                path.getFileSystem(conf).delete(path, True)
+        delete(df.sparkSession, *folders(df))
+
+
+def clean_app(spark: SparkSession, app_id: str | None = None) -> None:
+    """Delete all tables of an application, by default of this one."""
+    delete(spark, app_dir(spark, app_id))
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables made inside are deleted at the end, but for those that a DataFrame passed to the yielded function reads.
+
+    After an error all go.
+    """
+    made: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(x.rsplit("/", 1)[1] for x in folders(df))
+        return df
+
+    token = _scopes.set((*_scopes.get(), made))
+    try:
+        yield keep
+    except BaseException:
+        kept.clear()
+        raise
+    finally:
+        _scopes.reset(token)
+        delete(spark, *[x for x in made if x.rsplit("/", 1)[1] not in kept])
 
 
 #: Bytes on disk of a table that may be broadcast.
