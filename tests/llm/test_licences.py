@@ -70,5 +70,17 @@ def test_expressions_of_any_length_and_several_in_a_line():
         (f"{tag} (MIT {tag} ISC) {tag} 0BSD", ["ISC", "0BSD"]), (f"{tag} MIT\nOR ISC", ["MIT"]), (f"{tag}\nMIT", []),
     ):
         assert licences.scan(text, machine)[7] == ";".join(want)
-    assert len(licences.expressions(f"{tag} MIT " * 20_000)) == 20_000 and licences.expressions(f"{tag} {'(' * 200_000}MIT") == []
+    assert licences.scan(f"{tag} MIT " * 20_000, machine)[7] == ";".join(["MIT"] * 20_000) and licences.scan(f"{tag} {'(' * 200_000}MIT", machine)[7] == ""
     assert licences.identifiers(licences.parse(" OR ".join(["GPL-2.0 WITH x"] * 50_000))) == ["gpl-2.0"] * 50_000
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("SPDX-License-Identifier : MIT", "MIT"), ("spdx-license-identifier\t:MIT", "MIT"), ("SPDX-License-Identifier\n: MIT", ""), ("SPDX License-Identifier: MIT", ""), ("SPDX--License-Identifier: MIT", ""),
+        ("xSPDX-License-Identifier: MIT", ""), ("é SPDX-License-Identifier: MIT", "MIT"), ("SPDX-License-Identifier-Text: MIT", ""), ("SPDX license identifier; SPDX-License-Identifier: ISC", "ISC"),
+        ("SPDX-License-Identifier: MIT AND\tZlib ; SPDX-License-Identifier:ISC", "MIT Zlib AND;ISC"),
+    ],
+)
+def test_places_of_tags(text, want):
+    assert licences.scan(text, licences.automaton())[7] == want

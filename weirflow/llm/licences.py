@@ -2,10 +2,12 @@
 
 Texts are lower-cased (A-Z) and cut into words (digits, letters and all that is not ASCII); one automaton
 then finds notice phrases and the identifier tag in the words joined by single spaces, each with a space
-on both sides, so phrases are whole words.  Behind a tag in the raw text stands a licence expression of
+on both sides, so phrases are whole words.  The tag's first word gives its place in the raw text; it counts if
+its words stand there with single hyphens and a colon behind them (blanks before the colon are allowed).  Behind
+the colon stands a licence expression of
 AND, OR, WITH and parentheses; it is turned to postfix (WITH binds tightest, then AND, then OR) and
 evaluated: an expression is permitted if OR has a permitted side, AND two, WITH its licence.  A malformed
-expression gives the longest well-formed beginning; the search for tags goes on right behind it, so a line
+expression gives the longest well-formed beginning; a tag inside what was read counts for nothing, and a line
 may hold several.  An expression ends with its line and before the next tag, and has no other limit of length.
 
 ``score``: 1 with a tag's expression, 0.9 with a base phrase, 0.6 with another phrase, else 0.  Defined
@@ -44,16 +46,19 @@ PERMITTED = ("mit", "apache", "bsd", "isc", "cc0", "cc-by-4", "cc-by-3", "zlib",
 # End of fixed values.
 
 WORDS = bytes(32 if (c < 0x30 or 0x3A <= c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F) else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
-RAW_TAG = re.compile(r"spdx-license-identifier:", re.I | re.A)
-PIECE = re.compile(r"[^\S\r\n]*([()]|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
+#: What may stand between the words of a tag, and behind the last.
+JOINT, COLON = b"-", re.compile(rb"[\t ]*:")
+WORD = re.compile(rb"[^ ]+")
+PIECE = re.compile(rb"[\t\x0b\x0c ]*([()]|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
+TAG_WORDS = [x.encode() for x in TAG.split(" ")]
 RANK = {"OR": 1, "AND": 2, "WITH": 3}
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions string, permitted boolean"
 
 
-def pieces(text: str, at: int = 0) -> Iterator[tuple[str, int]]:
-    """Operators, parentheses and identifiers with their ends, up to the first other character or tag."""
-    while (m := PIECE.match(text, at)) and not RAW_TAG.search(m[1]):
-        word, at = m[1], m.end()
+def pieces(text: bytes, at: int = 0, stop: int | None = None) -> Iterator[tuple[str, int]]:
+    """Operators, parentheses and identifiers with their ends, up to ``stop`` or the first other character."""
+    while m := PIECE.match(text, at, len(text) if stop is None else stop):
+        word, at = m[1].decode(), m.end()
         yield word.upper() if word.upper() in RANK else word, at
 
 
@@ -90,10 +95,10 @@ def postfix(tokens: list[str]) -> list[str] | None:
     return out + stack[::-1]
 
 
-def parse_at(text: str, at: int) -> tuple[list[str], int]:
+def parse_at(text: bytes, at: int, stop: int | None = None) -> tuple[list[str], int]:
     """Postfix of the longest well-formed expression at ``at`` and its end; empty if there is none."""
-    tokens, whole, stop, depth, want = [], 0, at, 0, True
-    for t, end in pieces(text, at):
+    tokens, whole, end_of, depth, want = [], 0, at, 0, True
+    for t, end in pieces(text, at, stop):
         # Where an operand is wanted stands a licence or "(", else an operator or ")".
         if want != (t == "(" or t != ")" and t not in RANK) or t == ")" and not depth:
             break
@@ -101,22 +106,45 @@ def parse_at(text: str, at: int) -> tuple[list[str], int]:
         depth += (t == "(") - (t == ")")
         want = t == "(" or t in RANK
         if not want and not depth:
-            whole, stop = len(tokens), end
-    return postfix(tokens[:whole]) or [], stop
+            whole, end_of = len(tokens), end
+    return postfix(tokens[:whole]) or [], end_of
 
 
 def parse(text: str) -> list[str]:
     """Postfix of the longest well-formed beginning of ``text``; empty if there is none."""
-    return parse_at(text, 0)[0]
+    return parse_at(text.encode("utf-8", "surrogatepass"), 0)[0]
+
+
+def tags(raw: bytes, low: bytes, numbers: list[int]) -> list[tuple[int, int]]:
+    """(start, end) in ``raw`` of the tags whose first words have these numbers (ascending).
+
+    ``low`` is the text with all that is no word as blanks, byte for byte.
+    """
+    found, words, n, first = [], WORD.finditer(low), -1, None
+    for number in numbers:
+        while n < number:
+            first, n = next(words), n + 1
+        at = first.start()
+        for part in TAG_WORDS[:-1]:
+            at += len(part)
+            if raw[at : at + 1] != JOINT:
+                break
+            at += 1
+        else:
+            if colon := COLON.match(raw, at + len(TAG_WORDS[-1])):
+                found.append((first.start(), colon.end()))
+    return found
 
 
-def expressions(text: str) -> list[list[str]]:
+def expressions(raw: bytes, places: list[tuple[int, int]]) -> list[list[str]]:
     """Postfix of the expression behind each tag."""
-    found, at = [], 0
-    while m := RAW_TAG.search(text, at):
-        got, at = parse_at(text, m.end())
-        if got:
-            found.append(got)
+    found, done = [], 0
+    starts = [start for start, _ in places]
+    for (start, end), stop in zip(places, [*starts[1:], len(raw)], strict=False):
+        if start >= done:
+            got, done = parse_at(raw, end, stop)
+            if got:
+                found.append(got)
     return found
 
 
@@ -160,23 +188,22 @@ def automaton():
 def scan(text: str | None, machine) -> tuple:
     """All columns but the id."""
     raw = (text or "").encode("utf-8", "surrogatepass")
-    words = raw.translate(WORDS).split()
+    low = raw.translate(WORDS)
+    words = low.split()
     line = f" {b' '.join(words).decode('latin-1')} "
-    starts, base, labels, tagged, at, n = [], set(), set(), False, 0, 0
+    hits, base, labels, at, n = [], set(), set(), 0, 0
     for end, (phrase, label) in machine.iter(line):
+        if phrase in BASE or phrase == TAG:
+            hits.append((end - len(phrase), phrase == TAG))  # of the phrase's first character
         if phrase in BASE:
-            first = end - len(phrase)  # of the phrase's first character
-            starts.append((first, label))
             base.add(label)
-        elif phrase == TAG:
-            tagged = True
         labels.add(label)
-    places = []
-    for first, _ in sorted(starts):
+    places, tagged = [], []
+    for first, tag in sorted(hits):
         n += line.count(" ", at, first)
         at = first
-        places.append(n - 1)
-    found = expressions(text) if tagged else []
+        (tagged if tag else places).append(n - 1)
+    found = expressions(raw, tags(raw, low, tagged)) if tagged else []
     for e in found:
         labels.update(identifiers(e))
     labels.discard("")
