@@ -58,14 +58,37 @@ def test_blocks_and_unequal_lengths(spark, monkeypatch):
     check(found(neighbours.nearest(points, points.filter("id % 7 = 0")).collect()), by_force(ids, x, queries))
 
 
-def test_two_axes(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "LARGE", 100)
+@pytest.mark.parametrize("axes", [1, 2])
+def test_either_scheme(spark, monkeypatch, axes):
+    monkeypatch.setattr(neighbours, "AXES", (axes,))
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 8))
     points = frame(spark, range(300), x)
     check(found(neighbours.nearest(points, points.filter("id % 10 = 0")).collect()), by_force(list(range(300)), x, list(range(0, 300, 10))))
 
 
+def test_wide_vectors(spark):
+    """768 dimensions, neighbours in clusters."""
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(40, 768)), 30, axis=0) + rng.normal(size=(1200, 768)) * 0.5
+    points = frame(spark, range(1200), x)
+    check(found(neighbours.nearest(points, points.filter("id % 20 = 0")).collect()), by_force(list(range(1200)), x, list(range(0, 1200, 20))))
+
+
+def test_calibration_adapts_to_the_data():
+    """Near neighbours need few probes, and many points longer cells."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(256, 64))
+    near = np.repeat(centres, 20, axis=0) + rng.normal(size=(5120, 64)) * 0.05
+    owner = np.repeat(np.arange(256), 20)
+    h = neighbours.Hasher(64, 1.0, True)
+    small = neighbours.calibrate(h, centres, owner, near, rng.normal(size=(4096, 64)), 2000, 100)
+    large = neighbours.calibrate(h, centres, owner, near, rng.normal(size=(4096, 64)), 10**9, 5 * 10**7)
+    assert small[2] < 40 and large[1] == 2
+    far = neighbours.calibrate(h, centres, owner, rng.normal(size=(5120, 64)), rng.normal(size=(4096, 64)), 2000, 100)
+    assert far[2] > small[2]
+
+
 def test_ties_and_exact_copies(spark):
     x = np.array([[1.0, 0.0]] * 30 + [[0.0, 1.0]])
     got = found(neighbours.nearest(frame(spark, range(31), x), frame(spark, [0], x[:1])).collect())
@@ -89,10 +112,19 @@ def test_hadamard_keeps_lengths():
 
 
 @pytest.mark.parametrize("axes", [1, 2])
-def test_first_probe_is_the_own_cell(axes):
-    h = neighbours.Hasher(16, 1.0, True, axes)
+def test_probes_and_ranks(axes):
+    """Probes are the best cells by all sums, and ranks are their places."""
+    h = neighbours.Hasher(16, 1.0, True)
     x = h.padded(np.random.default_rng(4).normal(size=(50, 16)), True)
-    assert (h.probes(x, 3, 5)[:, 0] == h.cells(x, 3)).all()
+    y = h.padded(np.random.default_rng(5).normal(size=(50, 16)), True)
+    probes = h.probes(x, 3, axes, 60 if axes == 2 else 30)
+    assert (probes[:, 0] == h.cells(x, 3, axes)).all()
+    total = h.scores(x, 3, 0) if axes == 1 else (h.scores(x, 3, 0)[:, :, None] + h.scores(x, 3, 1)[:, None, :]).reshape(50, -1)
+    order = np.argsort(-total, axis=1, kind="stable")
+    assert (order[:, : probes.shape[1]] + 3 * total.shape[1] == probes).all()
+    cells = h.cells(y, 3, axes) - 3 * total.shape[1]
+    want = [int(np.flatnonzero(order[i] == cells[i])[0]) for i in range(50)]
+    assert np.abs(h.ranks(x, np.arange(50), y, 3, axes) - want).max() == 0
 
 
 def test_schema(spark, sf_dir):
