@@ -126,12 +126,17 @@ def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
 BROADCAST_BYTES = 64 << 20
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """The columns of a table by quoted names, so that dots in them are part of the name."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def row_salt(df: DataFrame, salts: int) -> Column:
     """A salt from a row's content: the same whenever a lost task is run again, in whatever order rows come.
 
     Rows that are equal in all columns share a salt; columns that hold maps are left out.
     """
-    fields = [F.col(f"`{f.name}`") for f in df.schema.fields if not re.search("map<|variant", f.dataType.simpleString())]
+    fields = [c for c, f in zip(columns(df), df.schema.fields, strict=True) if not re.search("map<|variant", f.dataType.simpleString())]
     return F.pmod(F.xxhash64(*fields), F.lit(salts)).cast("int")
 
 
