@@ -2,6 +2,7 @@
 
 import random
 
+from weirflow.durable import materialize
 from weirflow.llm import quality
 
 
@@ -47,6 +48,28 @@ def test_thresholds_follow_their_group(spark):
     assert kept == set(range(150)) | set(range(1000, 1150)) | {2001}
 
 
+def test_limits_differ_by_group_and_every_rule_rejects(spark):
+    """The same upper tail of repeats and runs is normal in one source and rejected in another."""
+    rng = random.Random(5)
+    line = lambda: clean(rng).replace(" ", "\n", 20)
+    again = lambda t, n: t + " " + " ".join(t.split()[:n])
+    runs = lambda t, n: t + " no" * n
+    rows = [(i, clean(rng), "en", "plain") for i in range(1000)] + [(5000 + i, again(clean(rng), 8 + rng.randrange(8)), "en", "songs") for i in range(1000)]
+    odd = [again(clean(rng), 12), runs(clean(rng), 6), clean(rng).upper(), clean(rng, 0.9), line() + "\nsame words here" * 6]
+    rows += [(9000 + k, t, "en", "plain") for k, t in enumerate(odd)] + [(9100, odd[0], "en", "songs")]
+    docs = materialize(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "docs")
+    kept = {r.doc_id for r in quality.filter_documents(docs).collect()}
+    assert kept >= set(range(1000)) | {9100} and not kept & set(range(9000, 9005)) and len(kept & set(range(5000, 6000))) >= 990
+    found = {(r.source, r.rule): r for r in quality.rejections(materialize(quality.measure(docs), "measured")).collect()}
+    assert {rule for (source, rule), r in found.items() if source == "plain" and r.n_over} == set(quality.RULES)
+    assert found["songs", "repeats"]["limit"] > found["plain", "repeats"]["limit"]
+
+
+def test_names_with_dots(spark):
+    docs = spark.createDataFrame([(1, "word " * 5, "en", "s", 3)], "doc_id long, text string, lang string, source string, `a.b` int")
+    assert quality.filter_documents(docs).columns == docs.columns
+
+
 def test_repeats_and_empty_tables(spark):
     rng = random.Random(3)
     text = clean(rng)
