@@ -135,3 +135,26 @@ def test_query(spark, sf_dir):
     assert got.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert got.filter("n_kept > n_lines or n_kept < 0").count() == 0
     assert got.filter(F.size(F.split("dropped_lines", ",")) != F.col("n_lines") - F.col("n_kept") + F.when(F.col("dropped_lines") == "", 1).otherwise(0)).count() == 0
+
+
+def test_a_template_on_many_lines_stays_linear(spark):
+    """Rows to compare of a bucket of 20,000 lines of one component and ten others, and of small buckets."""
+    rows = lines.parted(spark.range(20_010).selectExpr("1 as band", "7L as key", "0L as pivot", "id as h", "if(id < 20000, 0L, id) as c"))
+    assert rows.count() == 20_000 + 10 * 40 + 10
+    pairs = rows.filter("side < 2").groupBy("part").agg(F.count("*").alias("n"), F.sum(F.col("side").cast("int")).alias("inner")).collect()
+    assert len(pairs) == 40 and sum(r.inner for r in pairs) == 20_000 and all(r.n - r.inner == 10 for r in pairs)
+    small = lines.parted(spark.range(30).selectExpr("1 as band", "id % 3 as key", "id % 3 as pivot", "id as h", "id % 2 as c"))
+    assert small.count() == 30 and small.filter("side <> 2").count() == 0
+    assert lines.parted(spark.range(30).selectExpr("1 as band", "7L as key", "0L as pivot", "id as h", "0L as c")).count() == 0
+
+
+def test_lines_of_one_template(spark):
+    rng = random.Random(11)
+    base = " ".join(f"{rng.choice('bcdfg')}{i:03d}word" for i in range(30))
+    texts = [f"{base} {rng.randrange(10**6):06d}" for _ in range(2000)] + [" ".join(f"other{rng.randrange(10**6)}" for _ in range(20)) for _ in range(50)]
+    assert len(dropped(spark, texts)) == 1999
+
+
+def test_names_with_dots(spark):
+    docs = spark.createDataFrame([(1, "one line of some length", 3)], "doc_id long, text string, `a.b` int")
+    assert lines.dedup_lines(docs).columns == docs.columns and lines.dedup_lines(docs).count() == 1

@@ -5,12 +5,18 @@ eight characters; a shorter line is one shingle.  One permutation hashing spread
 BANDS * ROWS bins and keeps 16 bits of the least of each; an empty bin borrows from the next.  A band of
 bins is a bucket key.  At Jaccard 0.8, ten bands of four find 99.5 % of the pairs.
 
-Buckets with different lines are compared inside sorted partitions, a bucket of over ``BLOCK`` lines in
-blocks against blocks.  A pair is looked at in its first common band only and must reach 0.8 by exact
-Jaccard on the texts; pairs that are connected already are passed over, so a bucket gives a spanning
-forest and never all its pairs.  The links of all buckets go to the distributed union-find.  Equal lines count as one line throughout.  Of
+Every line of a bucket is first compared with the bucket's least line (exact Jaccard on the texts must reach
+0.8); those links are contracted by the distributed union-find.  Then only buckets that still hold several
+components are looked at again, and in them only pairs of different components, inside sorted partitions.
+A bucket of over ``BLOCK`` lines is cut: the lines of the least line's component are dealt over blocks once and
+the others are sent to each block, so a template on any number of lines costs rows in proportion to
+them; the others among themselves go block against block.  A pair is looked at in its first common band only, and pairs
+that are connected already are passed over.  Equal lines count as one line throughout.  Of
 every component the first line stays, by (doc_id, text hash, line number).
 
+The plan is the same at every size: nothing is broadcast by this module, all joins are left to Spark; the texts of
+lines are shuffled once, those of documents once.
+
 A line is identified by its 64-bit XXH64.  Defined cases: null and blank texts have no lines; blank
 lines always stay; rows that share doc_id and text are one document and share their outcome; null ids
 sort first; an empty table gives an empty result; other columns pass through (working columns start
@@ -24,7 +30,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.durable import materialize, small_join
+from weirflow.durable import columns, materialize, scope
 from weirflow.llm.components import components
 
 CHARS, BANDS, ROWS, SIMILAR = 8, 10, 4, (4, 5)
@@ -32,8 +38,6 @@ SEED = 42
 PIECE = 250_000
 SEEN = 500_000
 BLOCK = 500
-#: Bucket keys and line hashes that may be broadcast: about 32 MB.
-SMALL = 1 << 20
 LINES = "doc_id {id}, th long, n_lines int, no array<int>, h array<long>, fh array<long>, sigs array<binary>"
 
 
@@ -169,11 +173,25 @@ class Shingled:
         return self.held[h]
 
 
-def forest(band: int, cross: bool, own, hashes, sigs, line_at, shingled: Shingled) -> list[tuple[int, int]]:
-    """Links that connect the similar lines of one bucket, from the pairs whose first common band is this."""
+def _verify(batches: Iterator) -> Iterator:
+    """The pairs (a, b) among rows (a, b, x, y) whose lines x and y are similar."""
+    import pyarrow as pa
+
+    shingled = Shingled()
+    for batch in batches:
+        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        keep = [similar(shingled.of(i, x), shingled.of(j, y)) for i, j, x, y in zip(a, b, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def forest(band: int, side, hashes, comps, sigs, line_at, shingled: Shingled) -> list[tuple[int, int]]:
+    """Links that connect the components of one bucket, from the pairs of sides 0 and 1 whose first common band is this.
+
+    ``side`` is 0, 1 or 2; lines of side 2 are compared with all.
+    """
     import numpy as np
 
-    parent = list(range(len(hashes)))
+    parent = {c: c for c in comps}
 
     def root(i):
         while parent[i] != i:
@@ -182,50 +200,37 @@ def forest(band: int, cross: bool, own, hashes, sigs, line_at, shingled: Shingle
 
     links = []
     for i in range(len(hashes) - 1):
-        first = (sigs[i + 1 :] == sigs[i]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
-        for j in (np.flatnonzero(first == band) + i + 1).tolist():
-            if (cross and own[i] == own[j]) or hashes[i] == hashes[j] or (a := root(i)) == (b := root(j)):
+        open_ = (comps[i + 1 :] != comps[i]) & ((side[i + 1 :] != side[i]) | (side[i] == 2))
+        at = np.flatnonzero(open_) + i + 1
+        first = (sigs[at] == sigs[i]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+        for j in at[first == band].tolist():
+            if (a := root(comps[i])) == (b := root(comps[j])):
                 continue
             if similar(shingled.of(hashes[i], line_at(i)), shingled.of(hashes[j], line_at(j))):
                 parent[b] = a
-                links.append((int(hashes[i]), int(hashes[j])))
+                links.append((int(comps[i]), int(comps[j])))
     return links
 
 
-def _links(rows, bounds: list[int], shingled: Shingled) -> list[tuple[int, int]]:
-    """Links of the buckets rows[bounds[k]:bounds[k + 1]]."""
-    import numpy as np
-
-    band, p, q, own, h = (rows[c].to_numpy() for c in ("band", "p", "q", "own", "h"))
-    sigs = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
-    lines = rows["line"]
-    at, size = np.array(bounds[:-1], np.int64), np.diff(bounds)
-    # Most buckets hold two lines: those are tested together.
-    two = at[size == 2]
-    first = (sigs[two] == sigs[two + 1]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
-    found = []
-    for i in two[first == band[two]].tolist():
-        if (p[i] == q[i] or own[i] != own[i + 1]) and similar(shingled.of(h[i], lines[i].as_py()), shingled.of(h[i + 1], lines[i + 1].as_py())):
-            found.append((int(h[i]), int(h[i + 1])))
-    for i, n in zip(at[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-        found += forest(band[i], p[i] != q[i], own[i : i + n], h[i : i + n], sigs[i : i + n], lambda j, i=i: lines[i + j].as_py(), shingled)
-    return found
-
-
 def _compare(batches: Iterator) -> Iterator:
-    """Links from rows (band, key, p, q, own, h, sig, line) sorted by bucket and blocks."""
+    """Links of components from rows (band, key, part, side, h, c, sig, line), those of a bucket's part together."""
     import numpy as np
     import pyarrow as pa
 
     shingled, held = Shingled(), None
 
     def finished(rows, last):
-        """Links of all buckets of ``rows``, and the rows of the last one if it may go on."""
-        key = np.stack([rows[c].to_numpy() for c in ("band", "key", "p", "q")])
+        """Links of all parts of ``rows``, and the rows of the last one if it may go on."""
+        key = np.stack([rows[c].to_numpy() for c in ("key", "part")])
         bounds = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist()]
         if last:
             bounds.append(len(rows))
-        found = _links(rows.slice(0, bounds[-1]).combine_chunks(), bounds, shingled) if bounds[-1] else []
+        done, found = rows.slice(0, bounds[-1]).combine_chunks(), []
+        if len(done):
+            band, side, h, c = (done[x].to_numpy() for x in ("band", "side", "h", "c"))
+            sigs = np.frombuffer(b"".join(done["sig"].to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
+            for i, j in zip(bounds, bounds[1:], strict=False):
+                found += forest(band[i], side[i:j], h[i:j], c[i:j], sigs[i:j], lambda k, i=i: done["line"][i + k].as_py(), shingled)
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"]), rows.slice(bounds[-1])
 
     for batch in batches:
@@ -237,54 +242,79 @@ def _compare(batches: Iterator) -> Iterator:
         yield finished(held, True)[0]
 
 
+def parted(members: DataFrame) -> DataFrame:
+    """Rows (band, key, part, side, h, c) to compare, from (band, key, pivot, h, c): buckets of several components."""
+    main = F.max(F.when(F.col("h") == F.col("pivot"), F.col("c")))
+    keys = members.groupBy("key").agg(main.alias("main"), F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most").select("key", "main")
+    mine = materialize(members.join(keys, "key").withColumn("inner", F.col("c") == F.col("main")), "open_members")
+    blocks = lambda flag: F.ceil(F.count(F.when(flag, 1)) / BLOCK).cast("int")
+    sizes = mine.groupBy("key").agg(F.count("*").alias("n"), blocks(F.col("inner")).alias("bi"), blocks(~F.col("inner")).alias("bo"))
+    rows = mine.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("h"), F.when(F.col("inner"), F.col("bi")).otherwise(F.col("bo"))).cast("long"))
+    part = lambda kind, i, j: F.struct((F.lit(kind).cast("long") * (1 << 60) + i * (1 << 30) + j).alias("part"))
+    every = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
+    own = F.col("own")
+    # 0: a small bucket whole; 1: a block of the main component with one of the others; 2: the others among themselves.
+    others = F.concat(every(F.col("bi"), lambda i: part(1, i.cast("long"), own)), every(F.col("bo"), lambda j: part(2, F.least(own, j.cast("long")), F.greatest(own, j.cast("long")))))
+    to = F.when(F.col("n") <= BLOCK, F.array(part(0, F.lit(0).cast("long"), F.lit(0).cast("long")))).when(F.col("inner"), every(F.col("bo"), lambda j: part(1, own, j.cast("long")))).otherwise(others)
+    rows = rows.withColumn("part", F.explode(to)).withColumn("part", F.col("part.part"))
+    kind, i, j = F.shiftright("part", 60), F.shiftright(F.col("part").bitwiseAND((1 << 60) - 1), 30), F.col("part").bitwiseAND((1 << 30) - 1)
+    side = F.when(kind == 0, 2).when(kind == 1, F.col("inner").cast("int")).when(i == j, 2).otherwise((own == j).cast("int"))
+    return rows.select("band", "key", "part", side.alias("side"), "h", "c")
+
+
 def link(table: DataFrame, docs: DataFrame) -> DataFrame:
     """(h, c): lines that are similar to others, and the component they are in."""
     spark = docs.sparkSession
-    lines_ = table.select(F.explode(F.arrays_zip("fh", "sigs")).alias("x")).select(F.col("x.fh").alias("h"), F.col("x.sigs").alias("sig"))
-    bands = F.array(*[F.struct(F.lit(j).alias("band"), F.xxhash64(F.lit(j), F.substring("sig", 2 * ROWS * j + 1, 2 * ROWS)).alias("key")) for j in range(BANDS)])
-    rows = lines_.select("h", F.explode(bands).alias("x")).select("x.band", "x.key", "h")
-    shared = rows.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi").select("key")
-    shared = materialize(shared, "buckets")
-    members = materialize(small_join(rows, shared, ["key"], "inner", max_rows=SMALL, salts=1).distinct(), "members")
-    sizes = members.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    wanted = materialize(members.select("h").distinct().withColumn("hit", F.lit(True)), "wanted")
-    hit = lambda df: small_join(df, wanted, ["h"], "inner", max_rows=SMALL, salts=1).drop("hit")
-    lines = hit(docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).withColumn("h", F.xxhash64("line"))).groupBy("h").agg(F.first("line").alias("line"))
-    known = materialize(lines.join(hit(lines_).groupBy("h").agg(F.first("sig").alias("sig")), "h"), "known_lines")
-    full = small_join(members, materialize(sizes, "large_buckets"), ["key"]).withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod("h", F.col("blocks")).cast("int"))
-    full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(known, "h")
-    full = full.select("band", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "h", "sig", "line")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = full.repartition(parts, "key", "p", "q").sortWithinPartitions("band", "key", "p", "q")
-    return materialize(components(dealt.mapInArrow(_compare, "a long, b long")).select(F.col("node").alias("h"), F.col("root").alias("c")), "line_components")
+    with scope(spark) as keep:
+        lines_ = table.select(F.explode(F.arrays_zip("fh", "sigs")).alias("x")).select(F.col("x.fh").alias("h"), F.col("x.sigs").alias("sig"))
+        bands = F.array(*[F.struct(F.lit(j).alias("band"), F.xxhash64(F.lit(j), F.substring("sig", 2 * ROWS * j + 1, 2 * ROWS)).alias("key")) for j in range(BANDS)])
+        rows = lines_.select("h", F.explode(bands).alias("x")).select("x.band", "x.key", "h")
+        pivots = materialize(rows.groupBy("key").agg(F.min("h").alias("pivot"), F.max("h").alias("top")).filter("pivot < top").select("key", "pivot"), "pivots")
+        members = materialize(rows.join(pivots.hint("shuffle_hash"), "key").distinct(), "members")
+        wanted = members.select("h").distinct()
+        texts = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).select(F.xxhash64("line").alias("h"), "line")
+        known = texts.join(wanted.hint("shuffle_hash"), "h", "left_semi").groupBy("h").agg(F.max("line").alias("line"))
+        known = materialize(known.join(lines_.join(wanted.hint("shuffle_hash"), "h", "left_semi").groupBy("h").agg(F.max("sig").alias("sig")), "h"), "known_lines")
+        line = known.select("h", "line")
+        stars = members.filter("h <> pivot").select(F.col("pivot").alias("a"), F.col("h").alias("b")).distinct()
+        stars = stars.join(line.withColumnsRenamed({"h": "a", "line": "x"}), "a").join(line.withColumnsRenamed({"h": "b", "line": "y"}), "b")
+        first = components(stars.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"))
+        placed = members.join(first.withColumnsRenamed({"node": "h", "root": "c"}), "h", "left").withColumn("c", F.coalesce("c", "h"))
+        full = parted(materialize(placed, "placed")).join(known, "h").select("band", "key", "part", "side", "h", "c", "sig", "line")
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+        dealt = full.repartition(parts, "key", "part").sortWithinPartitions("key", "part")
+        second = components(dealt.mapInArrow(_compare, "a long, b long"))
+        nodes = first.select(F.col("node").alias("h"), F.col("root").alias("c")).union(second.select(F.col("node").alias("h"), F.col("node").alias("c"))).groupBy("h").agg(F.min("c").alias("c"))
+        linked = nodes.join(second.withColumnsRenamed({"node": "c", "root": "far"}), "c", "left").select("h", F.coalesce("far", "c").alias("c"))
+        return keep(materialize(linked, "line_components"))
 
 
 def drops(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The written table of documents and lines, and (doc_id, th, drop): the line numbers to drop."""
     kind = dict(docs.dtypes)["doc_id"]
-    table = materialize(docs.select("doc_id", "text").mapInArrow(_split, LINES.format(id=kind)), "lines")
-    linked = link(table, docs)
-    occurs = table.select("doc_id", "th", F.explode(F.arrays_zip("no", "h")).alias("x")).select("doc_id", "th", "x.no", "x.h")
-    classed = small_join(occurs, linked, ["h"], max_rows=200_000, salts=1).withColumn("c", F.coalesce("c", "h")).drop("h")
-    here = F.struct("doc_id", "th", "no")
-    first = classed.groupBy("c").agg(F.min(here).alias("first"), F.max(here).alias("end")).filter("first < end").select("c", "first")
-    first = materialize(first, "first_lines")
-    gone = small_join(classed, first, ["c"], "inner", max_rows=200_000, salts=1).filter(here > F.col("first"))
-    return table, materialize(gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("no")).alias("drop")), "drops")
+    with scope(docs.sparkSession) as keep:
+        table = keep(materialize(docs.select("doc_id", "text").mapInArrow(_split, LINES.format(id=kind)), "lines"))
+        linked = link(table, docs)
+        occurs = table.select("doc_id", "th", F.explode(F.arrays_zip("no", "h")).alias("x")).select("doc_id", "th", "x.no", "x.h")
+        classed = materialize(occurs.join(linked, "h", "left").withColumn("c", F.coalesce("c", "h")).drop("h"), "classed")
+        here = F.struct("doc_id", "th", "no")
+        first = classed.groupBy("c").agg(F.min(here).alias("first"), F.max(here).alias("end")).filter("first < end").select("c", "first")
+        gone = classed.join(first, "c").filter(here > F.col("first"))
+        return table, keep(materialize(gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("no")).alias("drop")), "drops"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents without the repeated lines; ``n_chars`` follows the text where it exists."""
-    _, gone = drops(docs)
-    gone = gone.select(F.col("doc_id").alias("__l_id"), F.col("th").alias("__l_th"), F.col("drop").alias("__l_drop"))
-    rows = docs.withColumns({"__l_id": F.col("doc_id"), "__l_th": F.xxhash64(F.coalesce("text", F.lit("")))})
-    # Texts are shuffled only if the documents that lose lines are too many to broadcast.
-    joined = small_join(rows, gone, ["__l_id", "__l_th"], max_rows=SMALL // 4, salts=1)
+    with scope(docs.sparkSession) as keep:
+        gone = keep(drops(docs)[1])
+    gone = gone.select(F.col("doc_id").alias("__l_rid"), F.col("th").alias("__l_rth"), F.col("drop").alias("__l_drop"))
+    rows = docs.withColumn("__l_th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__l_rid")) & (F.col("__l_th") == F.col("__l_rth")), "left")
     rest = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("__l_drop", i)), "\n")
     out = joined.withColumn("text", F.when(F.col("__l_drop").isNull(), F.col("text")).otherwise(rest))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__l_drop").isNull(), F.col("n_chars")).otherwise(F.length("text")))
-    return out.select(*docs.columns)
+    return out.select(*columns(docs))
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
