@@ -66,7 +66,8 @@ def test_links_of_random_bits(spark):
             x = y if rng.random() < 0.3 else x
     signed = sorted({p - (1 << 64) if p >> 63 else p for p in prints} | {0, -1})
     frame = spark.createDataFrame([(p,) for p in signed], "fp long")
-    got = {r.fp: r.root for r in simhash.link(frame).collect()}
+    got, long = ({r.fp: r.root for r in simhash.link(frame, chain).collect()} for chain in (2, 3))
+    assert got == long
     want = components({p: p % (1 << 64) for p in signed})
     sizes = {}
     for r in want.values():
@@ -94,3 +95,13 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id if r.doc_id is not None else -1) for r in kept.collect()) == [-1, 2, 5, 6, 8]
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(empty).count() == 0 and simhash.drop_near_duplicates(empty).count() == 0
+
+
+def test_keys_grow_with_the_number_of_fingerprints():
+    assert simhash.chain_for(10**6) == 2 and simhash.chain_for(10**11) == 3
+    assert [len(simhash.flips(0, chain)) for chain in (1, 2, 3)] == [1, 14, 274]
+
+
+def test_names_with_dots(spark):
+    docs = spark.createDataFrame([(1, "some words here", 3)], "doc_id long, text string, `a.b` int")
+    assert simhash.drop_near_duplicates(docs).columns == docs.columns

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weirflow.durable import materialize, small_join
+from weirflow.durable import columns, materialize, small_join
 
 LEVELS = ("domain", "lang", "source")
 DOMAINS = ("web", "reference", "forum", "news")
@@ -136,7 +136,7 @@ def keyed(docs: DataFrame) -> list[Column]:
 def mix_documents(docs: DataFrame, share: tuple[int, int] = (85, 100), weights: dict = WEIGHTS, seed: int = 17) -> DataFrame:
     """The documents of one mixed epoch, with their own columns; a cut document is kept whole."""
     slim = materialize(docs.select(*keyed(docs)), "mix_slim")
-    rows = docs.select(F.struct(*docs.columns).alias("__m"), *keyed(docs))
+    rows = docs.select(F.struct(*columns(docs)).alias("__m"), *keyed(docs))
     return take(rows, plan(slim, weights, share, 1, seed), seed).select("__m.*")
 
 

@@ -4,8 +4,9 @@ A fingerprint has 64 bits, cut into a ring of five segments.  If two fingerprint
 four bits, some segment starts a chain in which every prefix of k segments differs in at most
 ``floor(4 * k / 5)`` bits: none in the first, one in the first two, two in the first three, and so on
 round the ring.  So the first segment and the second, up to one flipped bit, make a 26-bit join key:
-each fingerprint is stored under five keys and probes with 5 * 14.  The rest of the chain and then the
-whole distance are checked inside the join.
+each fingerprint is stored under five keys and probes with 5 * 14.  With a third segment in the key, which then has
+39 bits, it probes with 5 * 274.  Either finds all; the one with the fewer rows to join for the number of
+fingerprints is taken (:func:`chain_for`).  The rest of the chain and then the whole distance are checked inside the join.
 
 Equal fingerprints are one row.  Before pairs are looked for, each fingerprint is compared with the
 smallest that shares a stored key; those links are contracted, and the join yields only pairs between
@@ -14,17 +15,19 @@ no link between components is lost.
 
 Defined cases: null and blank texts have fingerprint zero; a component without any doc_id has null;
 of repeated rows one stays in the filtering form; an empty table gives an empty result; other columns
-pass through (working columns start with ``__s``).
+pass through (working columns start with ``__s``).  The plan is the same at every size: nothing is broadcast by this module.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from weirflow.durable import materialize, small_join
+from weirflow.durable import columns, materialize, scope
 from weirflow.llm.components import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -62,8 +65,7 @@ def _run(batches: Iterator) -> Iterator:
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``__s_fp`` and the columns in ``keep``."""
     rows = docs.select(F.col(text).alias("__s_text"), *[F.col(c) for c in keep])
-    schema = ", ".join(["__s_fp long", *[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]]])
-    return rows.mapInArrow(_run, schema)
+    return rows.mapInArrow(_run, StructType([StructField("__s_fp", LongType()), *rows.schema.fields[1:]]))
 
 
 def _segment(x: Column, i: int) -> Column:
@@ -71,14 +73,30 @@ def _segment(x: Column, i: int) -> Column:
     return F.shiftrightunsigned(x, first).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
 
 
-def _keys(x: Column, flips: bool) -> Column:
-    """Keys of a fingerprint: (segment number, its bits, the next one's bits up to one flip if asked for)."""
+def flips(i: int, chain: int) -> list[int]:
+    """What may differ in a key of ``chain`` segments from the i-th: bits of the key, within the budget of every prefix."""
+    found = [0]
+    for k in range(2, chain + 1):
+        bits = RING[(i + k - 1) % len(RING)][1]
+        found = [(m << 13) | sum(1 << b for b in some) for m in found for n in range(DISTANCE * k // len(RING) - m.bit_count() + 1) for some in combinations(range(bits), n)]
+    return found
+
+
+def _keys(x: Column, probing: bool, chain: int) -> Column:
+    """Keys of a fingerprint: (number of the first segment, 13 bits for each), with all allowed flips if it probes."""
     out = []
     for i in range(len(RING)):
-        head = F.shiftleft(_segment(x, i), 13).bitwiseOR(F.lit(i << 26))
-        for flip in [0, *[1 << b for b in range(RING[(i + 1) % len(RING)][1])]] if flips else [0]:
-            out.append(head.bitwiseOR(_segment(x, i + 1).bitwiseXOR(F.lit(flip))))
-    return F.explode(F.array(*out))
+        key = F.lit(i).cast("long")
+        for k in range(chain):
+            key = F.shiftleft(key, 13).bitwiseOR(_segment(x, i + k).cast("long"))
+        masks = F.array(*[F.lit(m).cast("long") for m in (flips(i, chain) if probing else [0])])
+        out.append(F.transform(masks, key.bitwiseXOR))
+    return F.explode(F.concat(*out))
+
+
+def chain_for(n: int) -> int:
+    """Segments in the key for n fingerprints: the fewest rows probed and met."""
+    return min((2, 3), key=lambda chain: sum(len(flips(i, chain)) * (1 + n / (1 << sum(RING[(i + k) % len(RING)][1] for k in range(chain)))) for i in range(len(RING))))
 
 
 def _mask(i: int, chain: int) -> int:
@@ -88,59 +106,61 @@ def _mask(i: int, chain: int) -> int:
     return m - (1 << 64) if m >> 63 else m
 
 
-def chained(diff: Column, key: Column) -> Column:
-    """Whether each prefix of the chain that starts in the key's segment stays within its budget."""
-    start = F.shiftright(key, 26)
+def chained(diff: Column, key: Column, chain: int) -> Column:
+    """Whether each prefix of the ring that starts in the key's segment stays within its budget."""
+    start = F.shiftright(key, 13 * chain).cast("int")
     ok = F.bit_count(diff) <= DISTANCE
-    for chain in range(3, len(RING)):
-        masks = F.array(*[F.lit(_mask(i, chain)).cast("long") for i in range(len(RING))])
-        ok = ok & (F.bit_count(diff.bitwiseAND(F.get(masks, start))) <= DISTANCE * chain // len(RING))
+    for segments in range(chain + 1, len(RING)):
+        masks = F.array(*[F.lit(_mask(i, segments)).cast("long") for i in range(len(RING))])
+        ok = ok & (F.bit_count(diff.bitwiseAND(F.get(masks, start))) <= DISTANCE * segments // len(RING))
     return ok
 
 
-def link(prints: DataFrame) -> DataFrame:
+def link(prints: DataFrame, chain: int | None = None) -> DataFrame:
     """(fp, root) for every fingerprint that has a link, from a written table of distinct ``fp``."""
-    stored = prints.select("fp", _keys(F.col("fp"), False).alias("key"))
+    chain = chain or chain_for(prints.count())
+    stored = prints.select("fp", _keys(F.col("fp"), False, chain).alias("key"))
     pivots = stored.groupBy("key").agg(F.min("fp").alias("pivot"), F.max("fp").alias("top")).filter("pivot < top").select("key", "pivot")
-    stars = stored.join(materialize(pivots, "pivots"), "key").filter("pivot < fp and bit_count(fp ^ pivot) <= 4")
+    stars = stored.join(pivots, "key").filter("pivot < fp and bit_count(fp ^ pivot) <= 4")
     first = components(stars.select(F.col("fp").alias("a"), F.col("pivot").alias("b")))
     known = prints.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("c"))
     known = materialize(known, "known")
-    index = known.select(F.col("fp").alias("x"), F.col("c").alias("cx"), _keys(F.col("fp"), False).alias("key"))
-    probes = known.select(F.col("fp").alias("y"), F.col("c").alias("cy"), _keys(F.col("fp"), True).alias("ykey"))
+    index = known.select(F.col("fp").alias("x"), F.col("c").alias("cx"), _keys(F.col("fp"), False, chain).alias("key"))
+    probes = known.select(F.col("fp").alias("y"), F.col("c").alias("cy"), _keys(F.col("fp"), True, chain).alias("ykey"))
     diff = F.col("x").bitwiseXOR(F.col("y"))
-    near = index.join(probes, (F.col("key") == F.col("ykey")) & (F.col("cx") < F.col("cy")) & chained(diff, F.col("key")))
+    near = index.join(probes, (F.col("key") == F.col("ykey")) & (F.col("cx") < F.col("cy")) & chained(diff, F.col("key"), chain))
     # cx < cy sees each pair of components from either side, as both are stored and probed.
     second = components(near.select(F.col("cx").alias("a"), F.col("cy").alias("b")))
-    both = known.join(second.withColumnRenamed("node", "c"), "c", "left").select("fp", F.coalesce("root", "c").alias("root"))
+    both = materialize(known.join(second.withColumnRenamed("node", "c"), "c", "left").select("fp", F.coalesce("root", "c").alias("root")), "rooted")
     linked = both.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
     return both.join(linked, "root", "left_semi").select("fp", "root")
 
 
 def groups(rows: DataFrame, first: Column) -> DataFrame:
     """(fp, first) for fingerprints shared by rows or linked: the least ``first`` of the component."""
-    prints = materialize(rows.groupBy(F.col("__s_fp").alias("fp")).agg(F.min(first).alias("first"), F.count("*").alias("n")), "prints")
-    roots = materialize(link(prints.select("fp")), "roots")
-    both = prints.join(roots, "fp", "left").filter("n > 1 or root is not null").withColumn("root", F.coalesce("root", "fp"))
-    both = materialize(both, "grouped")
-    least = both.groupBy("root").agg(F.min("first").alias("least"))
-    return materialize(both.join(least, "root").select("fp", F.col("least").alias("first")), "groups")
+    with scope(rows.sparkSession) as keep:
+        prints = materialize(rows.groupBy(F.col("__s_fp").alias("fp")).agg(F.min(first).alias("first"), F.count("*").alias("n")), "prints")
+        roots = link(prints.select("fp"))
+        both = prints.join(roots, "fp", "left").filter("n > 1 or root is not null").withColumn("root", F.coalesce("root", "fp"))
+        both = materialize(both, "grouped")
+        least = both.groupBy("root").agg(F.min("first").alias("least"))
+        return keep(materialize(both.join(least, "root").select(F.col("fp").alias("__s_fp"), F.col("least").alias("first")), "groups"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id), one row per document."""
     rows = materialize(fingerprints(docs, keep=("doc_id",)), "fingerprints")
-    by = small_join(rows, groups(rows, F.struct(F.col("doc_id").isNull(), F.col("doc_id"))).withColumnRenamed("fp", "__s_fp"), ["__s_fp"])
+    by = rows.join(groups(rows, F.struct(F.col("doc_id").isNull(), F.col("doc_id"))), "__s_fp", "left")
     return by.select("doc_id", F.col("__s_fp").alias("fp"), F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id."""
-    whole = docs.select(F.col("text").alias("__s_text"), F.struct(*docs.columns).alias("__s_row"), F.monotonically_increasing_id().alias("__s_uid"))
+    """One document of each group: the one with the smallest doc_id.  Texts are written once and shuffled once."""
+    whole = docs.select(F.col("text").alias("__s_text"), F.struct(*columns(docs)).alias("__s_row"), F.monotonically_increasing_id().alias("__s_uid"))
     rows = materialize(fingerprints(whole, "__s_text", ("__s_row", "__s_uid")), "with_fingerprints")
     slim = rows.select("__s_fp", "__s_uid", F.col("__s_row.doc_id").alias("id"))
     by = groups(slim, F.struct(F.col("id").isNull(), F.col("id"), F.col("__s_uid").alias("uid")))
-    joined = small_join(rows, by.withColumnRenamed("fp", "__s_fp"), ["__s_fp"])
+    joined = rows.join(by, "__s_fp", "left")
     return joined.filter("first is null or first.uid = __s_uid").select("__s_row.*")
 
 
