@@ -44,44 +44,112 @@ def test_query(spark, sf_dir):
         assert sums(flag)[0] > sums(flag)[1]
 
 
-def test_small_head_and_odd_rows(spark, monkeypatch):
-    """Most words outside the head; nulls, repeats and long texts."""
-    monkeypatch.setattr(lm, "HEAD", 5)
-    rows = [(i, f"the cat {i % 7} sat on the Mat {'x' * (i % 4)}") for i in range(60)] + [(None, "the dog"), (None, "the dog"), (5, None), (6, ""), (7, "cat " * 30_000), (8, "ÄÖ the ÄÖ")]
-    check(lm.score_documents(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, score int")).collect(), rows)
+def corpus(n=60):
+    return [(i, f"the cat {i % 7} sat on the Mat {'x' * (i % 4)}") for i in range(n)]
 
 
-def test_predictions_sum_to_one():
-    """A context's averaged predictions over all dishes, whatever its seating."""
+@pytest.mark.parametrize(("head", "pairs"), [(400_000, 1_000_000), (5, 3), (0, 0)])
+def test_small_heads_and_odd_rows(spark, monkeypatch, head, pairs):
+    """Heads save work only; nulls, repeats and long texts."""
+    monkeypatch.setattr(lm, "HEAD", head)
+    monkeypatch.setattr(lm, "PAIRS", pairs)
+    rows = [*corpus(), (None, "the dog"), (None, "the dog"), (5, None), (6, ""), (7, "cat " * 30_000), (8, "ÄÖ the ÄÖ"), (6, "a\x0bb\x1cc\x85d")]
+    got = lm.score_documents(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, score int")).collect()
+    check(got, rows)
+    seen.setdefault("scores", []).append(sorted((str(r.doc_id), r.n_tokens, round(r.score, 6)) for r in got))
+    assert all(x == seen["scores"][0] for x in seen["scores"])
+
+
+seen: dict = {}
+
+
+def test_tokens_of_pieces(monkeypatch):
+    """Pieces and cuts of long texts change no token."""
+    import pyarrow as pa
+
+    texts = ["", None, "One two  THREE", " \n", "a", "ß é\tx " * 50, "long" * 40 + " " + "w " * 100, "", " lead", "trail "]
+    words = {}
+
+    def read(column):
+        out = [(int(r), int(u), int(w)) for piece in lm.Reader(column) for r, u, w in zip(*piece, strict=True)]
+        want = [(i, t) for i, x in enumerate(texts) for t in tokens(x)]
+        assert [r for r, _, _ in out] == [i for i, _ in want]
+        for (_, _, w), (_, t) in zip(out, want, strict=True):
+            assert words.setdefault(t, w) == w
+        last = None
+        for k, (r, u, w) in enumerate(out):
+            assert u == (lm.START if k == 0 or out[k - 1][0] != r else last)
+            last = w
+        return out
+
+    whole = read(pa.array(texts))
+    assert len(set(words.values())) == len(words) and words[b"\n"] == lm.END
+    for size in (1, 7, 64):
+        monkeypatch.setattr(lm, "PIECE", size)
+        assert read(pa.array(texts)) == whole and read(pa.array(["other", *texts]).slice(1)) == whole
+
+
+def test_pair_hash_is_that_of_spark(spark):
+    rng = np.random.default_rng(1)
+    u, w = rng.integers(-(1 << 63), 1 << 63, 50), rng.integers(-(1 << 63), 1 << 63, 50)
+    rows = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(u, w, strict=True))], "i int, u long, w long").selectExpr("i", "xxhash64(u, w) as k").collect()
+    assert [r.k for r in sorted(rows)] == lm.pair_hash(u, w).tolist()
+
+
+def test_scores_by_brute_force(spark):
+    """Predictions by plain look-ups sum to one in every context and give the scores."""
     import pyarrow as pa
 
-    class Sent:
-        def __init__(self, value):
-            self.value = value
-
-    rng = np.random.default_rng(2)
-    n = 500
-    parents = [rng.dirichlet(np.full(n, 0.5)) * 0.9 + 0.1 / n for _ in range(3)]
-    dishes = np.sort(rng.choice(n, 80, replace=False)).astype(np.int32)
-    counts = rng.integers(1, 50, 80)
-    tables = [lm.seat(counts, p[dishes], 0.6, lm.STRENGTH, np.zeros(80, np.int64), rng) for p in parents]
-    row = pa.RecordBatch.from_pylist([{"u": 3, "w": dishes.tobytes(), "c": counts.astype(np.int64).tobytes(), "t": b"", "kept": b"".join(t.astype(np.int32).tobytes() for t in tables)}])
-    logs = np.frombuffer(next(lm._predict(Sent(parents), 0.6)(iter([row])))["logs"][0].as_py(), np.uint16)
-    p = 10 ** (-logs.astype(float) / lm.STEPS)
-    assert abs(p.sum() - 1) < 1e-3 and p[dishes].sum() > p.sum() / 2
-
-
-def test_words_outside_the_head_sum_to_one(spark, monkeypatch):
-    """One text per word after the same start: the rest dish's share, split over its words and the unseen one."""
-    monkeypatch.setattr(lm, "HEAD", 3)
-    words = ["aa", "bb", "cc", "dd", "ee", "ff"]
-    train = [(i, " ".join(words[: 1 + i % 6])) for i in range(300) if not held(i)]
-    asked = [i for i in range(5000, 9000) if held(i)]
-    probes = {i: w for i, w in zip(asked, [*words, "never"], strict=False)}
-    got = {r.doc_id: r for r in lm.score_documents(spark.createDataFrame(train + list(probes.items()), "doc_id long, text string")).collect()}
-    # Each text is its word and the end; all these words but the first are rare at the start.
-    assert all(got[i].score < 0 and got[i].n_tokens == 2 for i in probes) and got[asked[0]].score > got[asked[6]].score
-    assert got[asked[6]].n_known == 1 and all(got[i].n_known == 2 for i in asked[:6])
+    rows = [*corpus(), (200, "the dog sat on the cat"), (201, "never seen words the cat"), (202, "cat the the mat")]
+    rows += [(i, f"{'abcde'[i % 5]} {'vwxyz'[i % 3]} end") for i in range(300, 340)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = lm.Model(docs)
+    words, pairs = {r.w: r for r in model.words.collect()}, {r.k: r for r in model.pairs.collect()}
+    texts = [[(int(u), int(w)) for _, u, w in zip(*next(iter(lm.Reader(pa.array([x])))), strict=True)] for _, x in rows]
+    seen_pairs = Counter(p for (i, _), t in zip(rows, texts, strict=True) if not held(i) for p in t)
+
+    def probability(u, w):
+        k = int(lm.pair_hash(np.array([u]), np.array([w]))[0])
+        if seen_pairs[u, w] > 1:
+            assert pairs[k].c == seen_pairs[u, w]
+            return 10 ** pairs[k].lp
+        back = np.mean([(words[u][f"b{s}"] if u in words else 1) * (words[w][f"p{s}"] if w in words else model.unseen[s - 1]) for s in model.sweeps])
+        return back + (seen_pairs[u, w] and (1 - model.discount) / (lm.STRENGTH + words[u].c))
+
+    vocabulary = [w for w in words if w != lm.START]
+    for u in [lm.START, 12345, *[w for w in vocabulary if w != lm.END]]:
+        assert sum(probability(u, w) for w in vocabulary) + probability(u, 67890) == pytest.approx(1, abs=1e-9)
+    got = {r.doc_id: r.score for r in lm.score_documents(docs).collect()}
+    for (i, _), t in zip(rows, texts, strict=True):
+        assert got[i] == pytest.approx(sum(math.log10(probability(u, w)) for u, w in t), rel=1e-9)
+
+
+def restaurant(rng, customers, prior, discount):
+    """Tables of dishes, customer by customer, from all customers' tables."""
+    tables = {w: [1] for w in customers}
+    for w, n in customers.items():
+        for _ in range(n - 1):
+            total = sum(map(len, tables.values()))
+            weights = [max(0, t - discount) for t in tables[w]] + [(lm.STRENGTH + discount * total) * prior[w]]
+            at = rng.choice(len(weights), p=np.array(weights) / sum(weights))
+            if at == len(tables[w]):
+                tables[w].append(1)
+            else:
+                tables[w][at] += 1
+    return {w: len(t) for w, t in tables.items()}
+
+
+def test_seating_against_single_customers():
+    rng = np.random.default_rng(7)
+    customers, prior = {0: 6, 1: 3, 2: 1, 3: 10}, {0: 0.4, 1: 0.1, 2: 0.3, 3: 0.2}
+    slow = np.mean([[restaurant(rng, customers, prior, 0.5)[w] for w in range(4)] for _ in range(3000)], axis=0)
+    counts, p, t = np.array(list(customers.values())), np.array(list(prior.values())), np.ones(4, np.int64)
+    fast = []
+    for _ in range(3000):
+        t = lm.seat(counts, p, 0.5, lm.STRENGTH, t.sum() - t, rng)
+        fast.append(t)
+    # Blocked seating sees the other dishes' final tables, single customers those so far: close, not equal.
+    assert np.abs(np.mean(fast, axis=0) - slow).max() < 0.6
 
 
 def test_seating():

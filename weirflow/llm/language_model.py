@@ -1,147 +1,219 @@
 """Language-model scores by a hierarchical Pitman-Yor process.
 
-Tokens are words (A-Z lower-cased) and one end per text.  The context of a token is the word before it if
-that is among the ``OWN`` most frequent words, else a class of its last two bytes (``ENDINGS`` classes);
-the first token has a context of its own.  Every context is a restaurant; all share one parent, the
-restaurant of single words.  Dishes are the ``HEAD`` most frequent words and one dish for all others, whose
-words have a restaurant of their own with any number of new dishes, so unseen words get the mass of new
-tables.  These sizes bound the table of (context, dish) counts and the table that is broadcast
-(``CONTEXTS * (HEAD + 1)`` numbers of 16 bits), whatever the input; the counts of all other words stay distributed
-and are joined.
-
-Seating is sampled by blocked Gibbs sweeps: in each restaurant, the customers of a dish leave and are
-seated anew one by one (beyond 16 customers in steps of a sixteenth, by a binomial draw), at a new table
-with weight ``(strength + discount * tables) * parent(dish)``; tables send customers to the parent,
-which is then seated in turn.  Contexts are sampled in parallel given the last state of the parent.
-Predictive probabilities are averaged over the sweeps after the burn-in.  Discounts come from the numbers
-of counts one and two.  Random numbers depend on seed, sweep and restaurant alone.
-
-Words are identified by their 64-bit XXH64.  Defined cases: null and empty texts are the end alone; a
-null doc_id counts as the text '' for the fold; without training texts the vocabulary is empty and
-scores fall back on the base measure; repeated rows are scored each on its own and train as often as
-they occur; an empty table gives an empty result; other columns are ignored.
+Tokens are words (A-Z lower-cased) and one end per text.  Every word, and the start of a text, is a context with a
+restaurant of its own; all share one parent, the restaurant of single words, whose base measure is even over
+the vocabulary and one word more for all unseen.  Nothing is cut off or folded: pairs, contexts and words are
+distributed tables that grow with the input.
+
+Seating is sampled by blocked Gibbs sweeps: the customers of a dish leave a restaurant and are seated anew one
+by one (beyond 16 customers in steps of a sixteenth, by a binomial draw), at a new table with weight
+``(strength + discount * tables) * parent(dish)``; tables send customers to the parent, whose dishes are then
+seated in turn.  Dishes are sampled in parallel given the last state.  A dish of one customer has one
+table, so pairs that occur once are never stored: their numbers follow from the counts of words.  Predictive
+probabilities are averaged over the sweeps after the burn-in.  Discounts come from the numbers of counts one and two.
+
+A text is scored where it is read, as far as two bounded tables that are sent to all tasks reach (at most ``HEAD``
+words with their figures, ``PAIRS`` pairs with their predictions); they save work and change no score.  All other pairs, and
+those of rare words, are joined with the distributed tables.  To bound the disk, pairs are counted and joined
+in ``COUNTED`` and ``JOINED`` slices by hash, each with a pass over the texts.
+
+Words are identified by a 64-bit hash, rows by a hash of doc_id and text.  Defined cases: null and empty texts are
+the end alone; a null doc_id counts as the text '' for the fold; without training texts the vocabulary is empty
+and scores fall back on the base measure; repeated rows are scored each on its own and train as often as
+they occur; texts of any length are read in pieces; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.durable import materialize
+from weirflow.durable import discard, materialize, scope
 
-HEAD, OWN, ENDINGS = 100_000, 64, 191
-CONTEXTS = OWN + ENDINGS + 1
-START = CONTEXTS - 1
-SWEEPS, BURN, SEED = 4, 1, 5
+SWEEPS, BURN, SEED = 3, 1, 5
 STRENGTH = 1.0
-CACHE_WORDS = 200_000
-#: Of the base measure: the share of words never seen.
-UNSEEN = 0.5
-WORD_SEED = 42
-END_WORD = b"\n"
-#: Steps per unit of the logarithms in the table of predictions.
-STEPS = 4096
+HEAD, PAIRS = 400_000, 1_000_000
+COUNTED, JOINED = 2, 4
+#: Bytes of text that are read at once, and tokens that are counted before they are sent.
+PIECE, WINDOW = 1 << 21, 3_000_000
+END, START = 1, 2
 
 
 def fold() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
 
 
-def words_of(text: str | None) -> list[bytes]:
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    found.append(END_WORD)
-    return found
+@lru_cache(1)
+def hashing(n: int):
+    """Bytes as random numbers (0 for white space, A-Z as a-z), and powers and inverse powers of an odd base up to n."""
+    import numpy as np
 
+    table = np.random.default_rng(SEED).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    table[65:91] = table[97:123]
+    table[[9, 10, 11, 12, 13, 32]] = 0
+    base = 0x9E3779B97F4A7C15
+    powers = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, x, np.uint64))), dtype=np.uint64) for x in (base, pow(base, -1, 1 << 64))]
+    return table, *powers
 
-def word_hash(word: bytes) -> int:
-    import xxhash
 
-    h = xxhash.xxh64_intdigest(word, WORD_SEED)
-    return h - (1 << 64) if h >> 63 else h
+def mixed(x):
+    """Spread the bits of hashes."""
+    import numpy as np
 
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    return x
 
-def _count_words(batches: Iterator) -> Iterator:
-    from collections import Counter
 
-    import pyarrow as pa
+def pair_hash(u, w):
+    """What Spark's xxhash64 gives for two long columns."""
+    import numpy as np
 
-    def out(seen):
-        return pa.RecordBatch.from_arrays([pa.array(map(word_hash, seen), pa.int64()), pa.array(seen.values(), pa.int64())], names=["w", "c"])
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    h = np.full(len(u), 42, np.uint64)
+    for x in (u, w):
+        h = h + p5 + np.uint64(8)
+        h ^= turn(x.view(np.uint64) * p2, 31) * p1
+        h = turn(h, 27) * p1 + p4
+        h ^= h >> np.uint64(33)
+        h *= p2
+        h ^= h >> np.uint64(29)
+        h *= p3
+        h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
+class Reader:
+    """Tokens of a column of texts, by pieces of about PIECE bytes: (row, context, word) as arrays.
+
+    A text that goes on in the next piece takes its last word along as context.
+    """
 
-    seen: Counter = Counter()
-    for batch in batches:
-        for x in batch.column(0):
-            seen.update(words_of(x.as_py()))
-            if len(seen) > CACHE_WORDS:
-                yield out(seen)
-                seen = Counter()
-    if seen:
-        yield out(seen)
+    def __init__(self, column):
+        import numpy as np
+        import pyarrow as pa
 
+        column = column.fill_null("").cast(pa.large_string())
+        _, offsets, data = column.buffers()
+        self.at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+        self.data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
-class Coder:
-    """Dish and context of words, with a bounded cache; code = dish * CONTEXTS + context for what follows.
+    def spans(self) -> Iterator[list[tuple[int, int, int]]]:
+        """Lists of (row, first byte, end), a long text cut behind white space."""
+        held, size = [], 0
+        for row in range(len(self.at) - 1):
+            here, end = int(self.at[row]), int(self.at[row + 1])
+            while True:
+                cut = end
+                if end - here > PIECE:
+                    cut = here + PIECE
+                    while cut < end and self.data[cut - 1] not in b"\t\n\x0b\x0c\r ":
+                        cut += 1
+                held.append((row, here, cut))
+                size += cut - here
+                if size >= PIECE:
+                    yield held
+                    held, size = [], 0
+                here = cut
+                if here >= end:
+                    break
+        if held:
+            yield held
 
-    ``head``: the hashes of the head in ascending order, and the dish of each.
-    """
+    def __iter__(self):
+        import numpy as np
 
-    def __init__(self, head):
-        (self.hashes, self.dishes), self.codes = head, {}
+        carry = START
+        for spans in self.spans():
+            row, first, last = np.array(spans, np.int64).T
+            low = int(first[0])
+            raw = self.data[low : int(last[-1])]
+            table, power, inverse = hashing(1 << max(22, len(raw).bit_length()))
+            codes = table[raw]
+            inside = np.concatenate(([False], codes != 0, [False]))
+            starts = inside[1:-1] & ~inside[:-2]
+            ends = inside[1:-1] & ~inside[2:]
+            new = first[last > first] - low
+            starts[new] = inside[1:-1][new]
+            ends[(new - 1)[new > 0]] = inside[1:-1][(new - 1)[new > 0]]
+            s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * power[: len(codes)], dtype=np.uint64)))
+            words = mixed((sums[e] - sums[s]) * inverse[s]).view(np.int64)
+            # Words and ends in one line; the place of a word is its number and the ends before its span.
+            begins, closes = first == self.at[row], last == self.at[row + 1]
+            before = np.cumsum(closes) - closes
+            span = np.searchsorted(first - low, s, side="right") - 1
+            upto = np.searchsorted(span, np.arange(len(row)), side="right")
+            token, of = np.full(len(words) + closes.sum(), END, np.int64), np.empty(len(words) + closes.sum(), np.int64)
+            at = np.arange(len(words)) + before[span]
+            token[at], of[at] = words, row[span]
+            of[(upto + before)[closes]] = row[closes]
+            context = np.concatenate(([carry], token))
+            context[(np.concatenate(([0], upto[:-1])) + before)[begins]] = START
+            carry = context[-1]
+            yield of, context[:-1], token
+
+
+def _batch(columns: dict):
+    import pyarrow as pa
 
-    def learn(self, words: list[bytes]) -> None:
-        import numpy as np
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], names=list(columns))
 
-        n = len(self.hashes)
-        hashes = np.fromiter(map(word_hash, words), np.int64, len(words))
-        dish = np.full(len(words), n)
-        if n:
-            at = np.minimum(np.searchsorted(self.hashes, hashes), n - 1)
-            dish = np.where(self.hashes[at] == hashes, self.dishes[at], n)
-        own = min(OWN, n)
-        for w, d in zip(words, dish.tolist(), strict=True):
-            self.codes[w] = d * CONTEXTS + (d if d < own else OWN + zlib.crc32(w[-2:]) % ENDINGS)
-
-    def cells(self, words: list[bytes]):
-        """Dishes and contexts of the tokens of a text."""
-        import numpy as np
 
-        codes = self.codes
-        if len(codes) > CACHE_WORDS:
-            codes.clear()
-        if new := [w for w in set(words) if w not in codes]:
-            self.learn(new)
-        x = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
-        context = np.empty_like(x)
-        context[0] = START
-        context[1:] = x[:-1] % CONTEXTS
-        return x // CONTEXTS, context
+def _count_words(batches: Iterator) -> Iterator:
+    import numpy as np
+
+    held, size = [], 0
 
+    def out():
+        w, c = np.unique(np.concatenate(held), return_counts=True)
+        return _batch({"w": w, "c": c})
+
+    for batch in batches:
+        for _, _, w in Reader(batch.column(0)):
+            held.append(w)
+            size += len(w)
+            if size > WINDOW:
+                yield out()
+                held, size = [], 0
+    if held:
+        yield out()
+
+
+def _count_pairs(part: int):
+    """A mapInArrow function over (held_out, text): (u, w, c) of the pairs in a slice; c is 0 for held-out texts."""
 
-def _count_cells(head):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
 
-        coder, n = Coder(head.value), len(head.value[0]) + 1
-        held, size = [], 0
+        held, size = [[], []], 0
 
         def out():
-            cell, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(cell // n, pa.int64()), pa.array(cell % n, pa.int64()), pa.array(c, pa.int64())], names=["u", "w", "c"])
+            for flag in (0, 1):
+                if held[flag]:
+                    u, w, k = (np.concatenate(x) for x in zip(*held[flag], strict=True))
+                    _, at, c = np.unique(k, return_index=True, return_counts=True)
+                    yield _batch({"u": u[at], "w": w[at], "c": c * (1 - flag)})
+                    held[flag].clear()
 
         for batch in batches:
-            for x in batch.column(0):
-                dish, context = coder.cells(words_of(x.as_py()))
-                held.append(context * n + dish)
-                size += len(dish)
-                if size > 3_000_000:
-                    yield out()
-                    held, size = [], 0
-        if held:
-            yield out()
+            asked = batch.column(0).to_numpy(zero_copy_only=False).astype(bool)
+            for row, u, w in Reader(batch.column(1)):
+                k = pair_hash(u, w)
+                mine = (k & (COUNTED - 1)) == part
+                for flag in (0, 1):
+                    take = mine & (asked[row] == flag)
+                    held[flag].append((u[take], w[take], k[take]))
+                size += int(mine.sum())
+                if size > WINDOW:
+                    yield from out()
+                    size = 0
+        yield from out()
 
     return run
 
@@ -176,181 +248,234 @@ def discount_of(ones: int, twos: int) -> float:
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
 
 
-def _sweep(parent, discount: float, sweep: int, keep: bool):
-    """Seat all contexts anew: rows (u, dishes, counts, tables, kept) as blobs."""
+def _seat_all(customers: str, prior: str, others: str, discount: float, sweep: int, keep: list[str]):
+    """A mapInArrow function that seats the dishes of rows anew: ``t`` follows from the columns named."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            for row in batch.to_pylist():
-                w, c = np.frombuffer(row["w"], np.int32), np.frombuffer(row["c"], np.int64)
-                t = np.frombuffer(row["t"], np.int64)
-                rng = np.random.default_rng([SEED, sweep, row["u"]])
-                new = seat(c, parent.value[w], discount, STRENGTH, t.sum() - t, rng)
-                past = row["kept"] + (new.astype(np.int32).tobytes() if keep else b"")
-                columns = [[row["u"]], [row["w"]], [row["c"]], [new.tobytes()], [past]]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *[pa.array(x, pa.binary()) for x in columns[1:]]], names=["u", "w", "c", "t", "kept"])
+            if not len(batch):
+                continue
+            get = lambda name: batch.column(name).to_numpy()  # noqa: E731, B023
+            rng = np.random.default_rng([SEED, sweep, *(int(x) % (1 << 63) for x in (get("w")[0], get("t").sum()))])
+            t = seat(get(customers), get(prior), discount, STRENGTH, get(others) - get("t"), rng)
+            yield pa.RecordBatch.from_arrays([pa.array(t) if x == "t" else batch.column(x) for x in keep], names=keep)
 
     return run
 
 
-def _tables(batches: Iterator) -> Iterator:
-    import numpy as np
-    import pyarrow as pa
+def at_most(df: DataFrame, limit: int) -> int:
+    """The least count c so that at most ``limit`` rows have c or more."""
+    bins = df.filter("c > 0").groupBy(F.floor(F.log2("c") * 16).alias("b")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect()
+    least, total = 1 << 62, 0
+    for r in sorted(bins, key=lambda r: -r.b):
+        total += r.n
+        if total > limit:
+            break
+        least = r.c
+    return least
 
-    for batch in batches:
-        for row in batch.to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["w"], np.int32).astype(np.int64)), pa.array(np.frombuffer(row["t"], np.int64))], names=["w", "n"])
 
+class Model:
+    """What training leaves: scalars, ``words`` (w, c, b<s>, p<s>) and ``pairs`` (k, c, lp) as written tables.
 
-def steps(p):
-    """Probabilities as rounded negative logarithms in STEPS, 16 bits."""
-    import numpy as np
+    For a kept sweep s, b is a context's share for the parent and p the parent's probability of a word.  ``pairs`` has
+    the predictions of pairs that occur twice or more, and those of the held-out texts that occur once without one.
+    """
 
-    return np.minimum(np.rint(-np.log10(p) * STEPS), 65535).astype(np.uint16)
+    def __init__(self, docs: DataFrame):
+        train = docs.filter(fold() != 1)
+        vocab = materialize(train.select("text").mapInArrow(_count_words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "vocabulary")
+        few = [F.sum((F.col("c") == x).cast("long")).alias(f"n{x}") for x in (1, 2)]
+        facts = vocab.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("w") == END, F.col("c"))).alias("texts"), *few).first()
+        self.n, self.v = facts.n or 0, facts.v
+        ones = facts.n1 or 0
+        self.even = 1.0 / (self.v + 1)
+        flagged = docs.select((fold() == 1).alias("held_out"), "text")
+        parts = []
+        for part in range(COUNTED):
+            found = flagged.mapInArrow(_count_pairs(part), "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c"), F.min("c").alias("least"))
+            parts.append(materialize(found.filter("c > 1 or c = 1 and least = 0").select("u", "w", "c"), "counted"))
+        cells = reduce(DataFrame.union, parts)
+        facts2 = cells.filter("c > 1").agg(F.sum("c").alias("n"), few[1]).first()
+        self.discount = d = discount_of(self.n - (facts2.n or 0), facts2.n2 or 0)
+        lower = discount_of(ones, facts.n2 or 0)
+        spark = docs.sparkSession
+        contexts = vocab.filter(F.col("w") != END).union(spark.createDataFrame([(START, facts.texts or 0)], "w long, c long"))
+        state = cells.filter("c > 1").join(contexts.select(F.col("w").alias("u"), F.col("c").alias("cu")), "u")
+        state = materialize(state.select("u", "w", "c", "cu", F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("acc")), "seats")
+        root = vocab.filter("c > 1").select("w", "c", F.lit(1).cast("long").alias("t"))
+        tables, kept, shares, self.unseen, self.once = self.v, 0, [], [], []
+        for sweep in range(1, SWEEPS + 2):
+            # Customers of the parent are the tables of all contexts; then the state's figures, then the next state.
+            moved = state.groupBy("w").agg(F.sum(F.col("c") - F.col("t")).alias("less"))
+            guests = root.join(moved, "w", "left").withColumn("guests", F.col("c") - F.coalesce("less", F.lit(0))).drop("less")
+            guests = guests.withColumns({"even": F.lit(self.even), "tables": F.lit(tables).cast("long")})
+            names = [*root.columns, "guests"]
+            kinds = ", ".join(f"{x} {'double' if x[0] == 'p' else 'long'}" for x in names)
+            raw = materialize(guests.mapInArrow(_seat_all("guests", "even", "tables", lower, sweep + 1000, names), kinds), "parent")
+            seated = raw
+            sums = raw.agg(F.sum("t").alias("t"), F.sum("guests").alias("g")).first()
+            tables, total = (sums.t or 0) + ones, STRENGTH + (sums.g or 0) + ones
+            new = (STRENGTH + lower * tables) / total * self.even
+            p = (F.col("guests") - lower * F.col("t")) / total + new
+            mine = state.groupBy("u").agg((F.max("cu") - F.sum(F.col("c") - F.col("t"))).alias("tu"), F.max("cu").alias("tc"))
+            share = (STRENGTH + d * F.col("tu")) / (STRENGTH + F.col("tc"))
+            if sweep > BURN + 1:
+                kept += 1
+                shares.append(materialize(mine.select("u", F.lit(kept).alias("s"), share.alias("b")), "shares"))
+                self.unseen.append(new)
+                self.once.append((1 - lower) / total + new)
+                seated = seated.withColumn(f"p{kept}", p)
+            joined = state.join(seated.select("w", p.alias("p")), "w").join(mine.select("u", "tu", share.alias("b")), "u")
+            if sweep > BURN + 1:
+                joined = joined.withColumn("acc", F.col("acc") + (F.col("c") - d * F.col("t")) / (STRENGTH + F.col("cu")) + F.col("b") * F.col("p"))
+            if sweep > 1:
+                discard(root)
+            root = seated.drop("guests")
+            if sweep > SWEEPS:
+                break
+            names = ["u", "w", "c", "cu", "t", "acc"]
+            old, state = state, materialize(joined.mapInArrow(_seat_all("c", "p", "tu", d, sweep, names), "u long, w long, c long, cu long, t long, acc double"), "seats")
+            discard(old)
+        self.kept = kept
+        k = F.xxhash64("u", "w").alias("k")
+        predicted = joined.select(k, "c", F.log10(F.col("acc") / kept).alias("lp"))
+        self.pairs = materialize(predicted.union(cells.filter("c = 1").select(k, "c", F.lit(None).cast("double"))), "pairs")
+        discard(state, *parts)
+        by = reduce(DataFrame.union, shares).groupBy("u").agg(*[F.max(F.when(F.col("s") == s, F.col("b"))).alias(f"b{s}") for s in self.sweeps])
+        known = vocab.union(contexts.filter(F.col("w") == START)).join(by.withColumnRenamed("u", "w"), "w", "left").join(root.drop("c", "t"), "w", "left")
+        plain = (STRENGTH + d * F.col("c")) / (STRENGTH + F.col("c"))
+        figures = [F.coalesce(f"b{s}", plain).alias(f"b{s}") for s in self.sweeps] + [F.coalesce(f"p{s}", F.lit(self.once[s - 1])).alias(f"p{s}") for s in self.sweeps]
+        self.words = materialize(known.select("w", "c", *figures), "words")
+
+    @property
+    def sweeps(self) -> range:
+        return range(1, self.kept + 1)
+
+    def head(self) -> dict:
+        """The bounded tables that are sent to all tasks."""
+        import numpy as np
 
+        least = at_most(self.words, HEAD)
+        words = self.words.filter((F.col("c") >= least) | (F.col("w") == START)).toArrow()
+        pairs = self.pairs.filter("c > 1")
+        pairs = pairs.filter(F.col("c") >= at_most(pairs, PAIRS)).select("k", "lp").toArrow()
+        figures = lambda x: np.stack([words[f"{x}{s}"].to_numpy() for s in self.sweeps], axis=1)
+        return {"w": words["w"].to_numpy(), "c": words["c"].to_numpy(), "b": figures("b"), "p": figures("p"), "k": pairs["k"].to_numpy(), "lp": pairs["lp"].to_numpy()}
 
-def _predict(parents, discount: float):
-    """Average predictive log10 probabilities of all dishes in each context."""
 
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
+_indexed: list = []
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                w, c = np.frombuffer(row["w"], np.int32), np.frombuffer(row["c"], np.int64)
-                kept = np.frombuffer(row["kept"], np.int32).reshape(-1, len(w))
-                total = np.zeros(len(parents.value[0]))
-                for t, p in zip(kept, parents.value, strict=True):
-                    total += (STRENGTH + discount * t.sum()) / (STRENGTH + c.sum()) * p
-                    total[w] += (c - discount * t) / (STRENGTH + c.sum())
-                yield pa.RecordBatch.from_arrays([pa.array([row["u"]], pa.int64()), pa.array([steps(total / len(parents.value)).tobytes()], pa.binary())], names=["u", "logs"])
 
-    return run
+def indexes(head: dict) -> list:
+    """Hash indexes of a head's words and pairs; a worker keeps those of the last head."""
+    import pandas as pd
 
+    if not _indexed or _indexed[0] is not head:
+        _indexed[:] = head, pd.Index(head["w"]), pd.Index(head["k"])
+    return _indexed[1:]
 
-def _score(head, base, table):
-    """Rows (uid, held_out, n_tokens, head's sums, other words and their counts)."""
+
+SCORED = "uid long, n_tokens long, known long, base double, score double, held_out boolean, k array<long>, alt array<double>, one array<double>, u array<long>, w array<long>"
+
+
+def _score(sent, n: int, v: int, discount: float, part: int):
+    """A mapInArrow function over (uid, held_out, text): sums of a slice's pairs as far as the head reaches, and all others.
+
+    ``alt`` is the score of a pair that the written pairs lack, ``one`` that of a pair seen once (if it differs).
+    """
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        coder, logs, bases = Coder(head.value), table.value, base.value
-        n = len(head.value[0])
-        names = ["uid", "doc_id", "held_out", "n_tokens", "h_known", "h_base", "h_score", "rest"]
+        head = sent.value
+        words, pairs = indexes(head)
+        base = np.log10((head["c"] + 0.5) / (n + 0.5 * (v + 1)))
+        single = (1 - discount) / (STRENGTH + head["c"])
+
+        def lists(row, values, size):
+            ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=size))))
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+
         for whole in batches:
-            for at in range(0, len(whole), 1000):
-                batch, rows = whole.slice(at, 1000), []
-                for x in batch.column(3):
-                    words = words_of(x.as_py())
-                    dish, context = coder.cells(words)
-                    known = dish < n
-                    rest = [word_hash(words[i]) for i in np.flatnonzero(~known)]
-                    rows.append((len(words), int(known.sum()), float(bases[dish[known]].sum()), -float(logs[context, dish].sum(dtype=np.int64)) / STEPS, rest))
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]], names=names)
+            for at in range(0, len(whole), 500):
+                batch = whole.slice(at, 500)
+                size, held = len(batch), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                sums, tokens = np.zeros((3, size)), np.zeros(size, np.int64)
+                near, far = [], []
+                for row, u, w in Reader(batch.column(2)):
+                    tokens += np.bincount(row, minlength=size)
+                    k = pair_hash(u, w)
+                    mine = (k & (JOINED - 1)) == part
+                    row, u, w, k = row[mine], u[mine], w[mine], k[mine]
+                    iw, iu, ik = words.get_indexer(w), words.get_indexer(u), pairs.get_indexer(k)
+                    known, hit = iw >= 0, (iw >= 0) & (ik >= 0)
+                    sums[0] += np.bincount(row[known], minlength=size)
+                    sums[1] += np.bincount(row[known], base[iw[known]], minlength=size)
+                    sums[2] += np.bincount(row[hit], head["lp"][ik[hit]], minlength=size)
+                    here = known & ~hit & (iu >= 0)
+                    i, j = iu[here], iw[here]
+                    back = (head["b"][i] * head["p"][j]).mean(axis=1)
+                    near.append((row[here], k[here], np.log10(back + np.where(held[row[here]], 0, single[i])), np.log10(back + single[i])))
+                    there = ~hit & ~here
+                    sums[0] -= np.bincount(row[there & known], minlength=size)
+                    sums[1] -= np.bincount(row[there & known], base[iw[there & known]], minlength=size)
+                    far.append((row[there], u[there], w[there]))
+                row, k, alt, one = (np.concatenate(x) for x in zip(*near, strict=True)) if near else [np.zeros(0, np.int64)] * 4
+                far_row, u, w = (np.concatenate(x) for x in zip(*far, strict=True)) if far else [np.zeros(0, np.int64)] * 3
+                asked = held[row]
+                columns = [
+                    batch.column(0), pa.array(tokens if part == 0 else np.zeros_like(tokens)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), batch.column(1),
+                    lists(row, k, size), lists(row, alt.astype(float), size), lists(row[asked], one[asked].astype(float), size), lists(far_row, u, size), lists(far_row, w, size),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCORED.split(", ")])
 
     return run
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """Train on all texts outside the held-out fold and score all."""
-    import numpy as np
-
     spark = docs.sparkSession
-    send = spark.sparkContext.broadcast
-    train = docs.filter(fold() != 1).select("text")
-    vocab = materialize(train.mapInArrow(_count_words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "vocabulary")
-    facts = vocab.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("ones"), F.sum((F.col("c") == 2).cast("long")).alias("twos")).first()
-    n, v = facts.n or 0, facts.v
-    top = vocab.orderBy(F.desc("c"), "w").limit(HEAD).toPandas()
-    words, counts = top["w"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
-    by_hash = np.argsort(words)
-    head = send((words[by_hash], by_hash))
-    h = len(words)
-
-    # Contexts: counts of (context, dish), one row of blobs per context.
-    pairs = train.mapInArrow(_count_cells(head), "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
-    pairs = materialize(pairs, "cells")
-    few = pairs.agg(F.sum((F.col("c") == 1).cast("long")).alias("ones"), F.sum((F.col("c") == 2).cast("long")).alias("twos")).first()
-    discount = discount_of(few.ones or 0, few.twos or 0)
-    blob = "u long, w binary, c binary, t binary, kept binary"
-
-    def to_blob(key, rows):
-        import pyarrow as pa
-
-        rows = rows.sort_by("w")
-        c = rows["c"].to_numpy()
-        columns = [rows["w"].to_numpy().astype(np.int32).tobytes(), c.astype(np.int64).tobytes(), np.minimum(c, 1).astype(np.int64).tobytes(), b""]
-        return pa.table({"u": pa.array([key[0].as_py()], pa.int64()), **{k: pa.array([x], pa.binary()) for k, x in zip(("w", "c", "t", "kept"), columns, strict=True)}})
-
-    state = materialize(pairs.groupBy("u").applyInArrow(to_blob, blob), "seats")
-
-    # The parent: its customers are the contexts' tables.  Its base measure is even over the vocabulary.
-    rest_words = max(0, v - h)
-    base_measure = np.append(np.full(h, 1.0 / (v + 1)), (rest_words + 1) / (v + 1))
-    root_discount = discount_of(facts.ones or 0, facts.twos or 0)
-    parents, root_tables = [], None
-
-    def seat_root(sweep: int):
-        nonlocal root_tables
-        found = state.mapInArrow(_tables, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toPandas()
-        customers = np.zeros(h + 1, np.int64)
-        customers[found["w"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-        past = np.minimum(customers, 1) if root_tables is None else root_tables
-        t = root_tables = seat(customers, base_measure, root_discount, STRENGTH, past.sum() - past, np.random.default_rng([SEED, sweep, CONTEXTS]))
-        return (customers - root_discount * t + (STRENGTH + root_discount * t.sum()) * base_measure) / (STRENGTH + customers.sum())
-
-    parent = seat_root(0)
-    for sweep in range(1, SWEEPS + 1):
-        state = materialize(state.mapInArrow(_sweep(send(parent), discount, sweep, sweep > BURN), blob), "seats")
-        parent = seat_root(sweep)
-        if sweep > BURN:
-            parents.append(parent)
-    predicted = materialize(state.mapInArrow(_predict(send(parents), discount), "u long, logs binary"), "predictions")
-    logs = np.tile(steps(np.mean(parents, axis=0)), (CONTEXTS, 1))
-    for part in range(8):  # a few rows at a time
-        for row in predicted.filter(F.col("u") % 8 == part).collect():
-            logs[row.u] = np.frombuffer(row.logs, np.uint16)
-    table = send(logs)
-    bases = send(np.log10((counts + 0.5) / (n + 0.5 * (v + 1))))
-
-    # All other words: a restaurant of their own under the dish h, joined by word.
-    listed = sum(int(c) for c in counts)
-    rest_n, seen = max(0, n - listed), float(rest_words)
-    lower = root_discount
-    new = (STRENGTH + lower * seen) / (STRENGTH + rest_n)
-    others = vocab.filter(_after(h, words, counts)).select("w", F.col("c").cast("double").alias("c"), F.log10((F.col("c") - lower) / (STRENGTH + rest_n) + new * (1 - UNSEEN) / max(1.0, seen)).alias("p"))
-    numbered = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", (fold() == 1).alias("held_out"), "text")
-    schema = "uid long, doc_id long, held_out boolean, n_tokens long, h_known long, h_base double, h_score double, rest array<long>"
-    scored = materialize(numbered.mapInArrow(_score(head, bases, table), schema), "head_scores")
-    each = scored.select("uid", F.explode("rest").alias("w")).join(others, "w", "left")
-    sums = each.groupBy("uid").agg(
-        F.count("c").alias("r_known"),
-        F.sum(F.log10((F.coalesce("c", F.lit(0.0)) + 0.5) / F.lit(n + 0.5 * (v + 1)))).alias("r_base"),
-        F.sum(F.coalesce("p", F.lit(float(np.log10(new * UNSEEN if rest_words else 1.0))))).alias("r_score"),
-    )
-    out = scored.drop("rest").join(sums, "uid", "left")
-    zero = F.lit(0.0)
-    score = F.col("h_score") + F.coalesce("r_score", zero)
+    with scope(spark) as keep:
+        model = Model(docs)
+        sent = spark.sparkContext.broadcast(model.head())
+        rows = docs.select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", (fold() == 1).alias("held_out"), "text")
+        figures = [f"{x}{s}" for x in "bp" for s in model.sweeps]
+        of = lambda side: model.words.select(F.col("w").alias(side), F.col("c").alias(f"{side}c"), *[F.col(f"{x}{s}").alias(f"{side}{x}{s}") for x in ("b" if side == "u" else "p") for s in model.sweeps])
+        base = F.log10((F.coalesce("wc", F.lit(0)) + 0.5) / F.lit(model.n + 0.5 * (model.v + 1)))
+        back = sum((F.coalesce(f"ub{s}", F.lit(1.0)) * F.coalesce(f"wp{s}", F.lit(model.unseen[s - 1])) for s in model.sweeps), F.lit(0.0)) / model.kept
+        single = (1 - model.discount) / (STRENGTH + F.coalesce("uc", F.lit(0)))
+        found = []
+        for part in range(JOINED):
+            here = rows.select("uid", "held_out", "text").mapInArrow(_score(sent, model.n, model.v, model.discount, part), SCORED)
+            here = materialize(here, "asked")
+            near = here.select("uid", F.explode(F.arrays_zip("k", "alt", "one")).alias("x")).select("uid", "x.k", "x.alt", F.coalesce("x.one", "x.alt").alias("one"), F.lit(0).alias("known"), F.lit(0.0).alias("base"))
+            far = here.select("uid", "held_out", F.explode(F.arrays_zip("u", "w")).alias("x")).select("uid", "held_out", "x.u", "x.w").join(of("w"), "w", "left").join(of("u"), "u", "left")
+            far = far.select("uid", F.xxhash64("u", "w").alias("k"), F.log10(back + F.when(F.col("held_out"), 0.0).otherwise(single)).alias("alt"), F.log10(back + single).alias("one"), F.col("wc").isNotNull().cast("int").alias("known"), base.alias("base"))
+            pairs = model.pairs.filter(F.col("k").bitwiseAND(JOINED - 1) == part)
+            each = near.union(far).join(pairs, "k", "left")
+            score = F.coalesce("lp", F.when(F.col("c") == 1, F.col("one")), "alt")
+            sums = each.groupBy("uid").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum(score).alias("score"))
+            own = here.select("uid", "n_tokens", "known", "base", "score")
+            found.append(materialize(own.unionByName(sums.withColumn("n_tokens", F.lit(0))).groupBy("uid").agg(*[F.sum(x).alias(x) for x in own.columns[1:]]), "sums"))
+            discard(here)
+        # Rows that share doc_id and text were added up: each has its part.
+        listed = rows.select("uid", "doc_id", "held_out")
+        totals = reduce(DataFrame.union, found).groupBy("uid").agg(*[F.sum(x).alias(x) for x in ("n_tokens", "known", "base", "score")])
+        times = listed.groupBy("uid").agg(F.count("*").alias("m"))
+        totals = keep(materialize(totals.join(times, "uid"), "totals"))
+    out = listed.join(totals, "uid")
+    share = lambda x: F.col(x) / F.col("m")
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("h_known") + F.coalesce("r_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("h_base") + F.coalesce("r_base", zero)).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
+        "doc_id", "held_out", F.round(share("n_tokens")).cast("long").alias("n_tokens"), F.round(share("known")).cast("long").alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),
+        share("base").alias("base_score"), share("score").alias("score"), F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )
 
 
-def _after(h: int, words, counts) -> Column:
-    """Whether a row of the vocabulary comes after the head, in the order of falling count, then word."""
-    if not h:
-        return F.lit(True)
-    last_c, last_w = int(counts[-1]), int(words[-1])
-    return (F.col("c") < last_c) | ((F.col("c") == last_c) & (F.col("w") > last_w))
-
-
 def op8_language_model(spark, sf_dir: str) -> DataFrame:
     return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
