@@ -49,6 +49,13 @@ def test_combine_by_key(spark):
     assert {r.k: sorted(r.combined) for r in got} == {1: [10, 100, 1000], 2: [20, 200], 3: [30]}
 
 
+def test_combine_of_a_hot_key(spark):
+    """A million equal rows, and a hundred thousand different ones."""
+    rows = spark.range(1_100_000).select(F.lit(1).cast("long").alias("k"), F.when(F.col("id") < 1_000_000, 7).otherwise(F.col("id")).alias("v"))
+    got = keyed.combine_by_key(rows, "k", "v", lambda v: F.struct(v.alias("s"), F.lit(1).cast("long").alias("n")), lambda c, v: F.struct((c["s"] + v).alias("s"), (c["n"] + 1).alias("n")), lambda a, b: F.struct((a["s"] + b["s"]).alias("s"), (a["n"] + b["n"]).alias("n"))).collect()
+    assert [(r.k, r.combined.s, r.combined.n) for r in got] == [(1, 7_000_000 + sum(range(1_000_000, 1_100_000)), 1_100_000)]
+
+
 def test_sums_by_remainder(spark):
     rows = spark.range(1000).select(F.floor(F.col("id") / 4).alias("k"), F.col("id").alias("v"))
     dealt = partitioning.hash_partition(rows, "k", 3)

@@ -69,6 +69,86 @@ def test_waves(spark):
     assert got == [0, 1, 1, 2, 2, 3]
 
 
+def test_plans_of_long_lists_and_null_addresses(spark):
+    """One address with many blocks, a null one, and none."""
+    rows = spark.range(200_000).select(F.when(F.col("id") >= 10, "a").alias("address"), F.col("id").alias("map_id"), F.lit(0).alias("reduce_id"), F.lit(10).cast("long").alias("length"))
+    packed = fetchplan.pack_requests(rows, 5000, 64)
+    got = {(r.address, r.n_blocks): r.n for r in packed.groupBy("address", "n_blocks").agg(F.count("*").alias("n")).collect()}
+    assert got == {(None, 10): 1, ("a", 64): 199_990 // 64, ("a", 199_990 % 64): 1}
+    waved = fetchplan.waves(packed, 1280, 100, "address")
+    assert waved.count() == packed.count() and waved.agg(F.max("wave")).first()[0] == (199_990 // 64 + 1) // 2
+    assert fetchplan.pack_requests(rows.limit(0), 5000, 64).count() == 0
+
+
+def test_index_service(spark):
+    served = mapoutput.IndexService(blocks(spark, [[3, 1, 2, 4], [1, 1, 1, 1], [5, 0, 0, 5]]))
+    ask = lambda *maps: {(r.map_id, r.offset, r.length) for r in served.segments(ranges(spark, (1, 4)), list(maps) or None).collect()}
+    assert ask() == {(0, 3, 7), (1, 1, 3), (2, 5, 5)} and ask(2) == {(2, 5, 5)}
+    first = durable.folders(served.table)
+    served.refresh(blocks(spark, [[3, 1, 2, 4], [7, 2, 2, 2]]).filter("map_id = 1"))
+    assert ask() == {(0, 3, 7), (1, 7, 6), (2, 5, 5)} and not durable.folders(served.table) & first
+
+
+def test_a_scope_leaves_its_result_only(spark):
+    made = []
+    with durable.scope(spark) as keep:
+        for k in range(3):
+            made.append(materialize(spark.range(10), f"t{k}"))
+        keep(made[1].filter("id > 3"))
+    there = lambda df: spark._jvm.org.apache.hadoop.fs.Path(next(iter(df.inputFiles()), "/none")).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(next(iter(df.inputFiles()), "/none")))
+    assert made[1].count() == 10 and there(made[1])
+    for gone in (made[0], made[2]):
+        with pytest.raises(Exception):  # noqa: B017, PT011
+            gone.count()
+    with pytest.raises(ZeroDivisionError), durable.scope(spark) as keep:
+        last = keep(materialize(spark.range(10), "t"))
+        1 / 0  # noqa: B018
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        last.count()
+
+
+def test_an_aborted_write_leaves_nothing_to_read(spark, tmp_path):
+    """Segments of a task that fails are not committed."""
+    from weirflow.sources import segments
+
+    rows = spark.range(100).select("id", F.when(F.col("id") == 57, F.raise_error(F.lit("lost"))).otherwise(F.col("id")).cast("long").alias("v"))
+    path = str(tmp_path / "segments")
+    with pytest.raises(Exception, match="lost"):
+        segments.write_segments(rows, "id", 4, path)
+    assert not list((tmp_path / "segments").rglob("part-*")) if (tmp_path / "segments").exists() else True
+    segments.write_segments(rows.filter("id < 50"), "id", 4, path)
+    assert segments.read_segments(spark, path, 0, 4).count() == 50
+
+
+def test_a_damaged_segment_is_an_error_not_a_result(spark, tmp_path):
+    from weirflow.sources import segments
+
+    path = segments.write_segments(spark.range(5000), "id", 2, str(tmp_path / "segments"))
+    file = next(iter(sorted((tmp_path / "segments" / "reduce_id=1").glob("part-*"))))
+    data = bytearray(file.read_bytes())
+    for k in range(20, 60):
+        data[k] ^= 0x5A
+    file.write_bytes(bytes(data))
+    for crc in file.parent.glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        segments.read_segments(spark, path, 1, 2).agg(F.sum("id")).collect()
+    assert segments.read_segments(spark, path, 0, 1).count() == 2500
+
+
+def test_the_shared_folder_must_be_named_on_a_cluster():
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        durable.shared_dir(Session)
+
+
 def test_size_codec_is_within_a_tenth(spark):
     rows = spark.range(0, 100_000).withColumn("code", sizing.encode_size(F.col("id"))).withColumn("back", sizing.decode_size(F.col("code")))
     assert rows.filter("id >= 2 and not (back >= id - 1 and back <= 1.1 * id)").count() == 0

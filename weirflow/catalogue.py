@@ -280,6 +280,32 @@ def retention_orphans(spark, sf):
     return mapoutput.orphans(keyed.reduce_by_key(outputs, ["shuffle_id", "map_id"], n=F.count("*")), live)
 
 
+@query("""SELECT l_suppkey AS shuffle_id, l_orderkey % 16 AS map_id, count(*) AS n FROM lineitem
+WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey % 100 = l_suppkey AND o_orderkey % 16 = l_orderkey % 16 AND o_totalprice > 400000) GROUP BY ALL""")
+def retention_by_map(spark, sf):
+    """Map tasks that ran again, named by orders of high value."""
+    outputs = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("shuffle_id"), F.pmod("l_orderkey", F.lit(16)).alias("map_id"))
+    lost = table(spark, sf, "orders").filter("o_totalprice > 400000").select((F.col("o_custkey") % 100).alias("shuffle_id"), (F.col("o_orderkey") % 16).alias("map_id"))
+    return mapoutput.orphans_of_maps(keyed.reduce_by_key(outputs, ["shuffle_id", "map_id"], n=F.count("*")), lost)
+
+
+@query("""SELECT o_custkey AS app_id, o_orderkey % 8 AS shuffle_id, count(*) AS n FROM orders
+WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY ALL""")
+def retention_by_app(spark, sf):
+    """A customer stands for an application, which runs while the balance is positive."""
+    outputs = table(spark, sf, "orders").select(F.col("o_custkey").alias("app_id"), F.pmod("o_orderkey", F.lit(8)).alias("shuffle_id"))
+    live = table(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("app_id"))
+    return mapoutput.orphans_of_apps(keyed.reduce_by_key(outputs, ["app_id", "shuffle_id"], n=F.count("*")), live)
+
+
+@query(f"""WITH {BLOCKS} SELECT map_id, (reduce_id // {SPAN} * {SPAN})::INTEGER AS start_reduce, (reduce_id // {SPAN} * {SPAN} + {SPAN})::INTEGER AS end_reduce,
+min("offset") AS "offset", sum(length)::BIGINT AS length FROM indexed WHERE map_id IN (1, 2, 3, 5, 8, 13, 21, 34, 55) GROUP BY ALL""")
+def served_index(spark, sf):
+    """Readers of nine maps ask an index that was written once; the maps ask for pruned row groups."""
+    ranges = spark.range(0, REDUCES, SPAN).select(F.col("id").cast("int").alias("start_reduce"), (F.col("id") + SPAN).cast("int").alias("end_reduce"))
+    return mapoutput.IndexService(_blocks(spark, sf)).segments(F.broadcast(ranges), [1, 2, 3, 5, 8, 13, 21, 34, 55])
+
+
 CASES = "(VALUES (true), (false))"
 
 

@@ -10,8 +10,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.durable import row_salt
-
 
 def reduce_by_key(df: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
     """One row per key; partial aggregates run before the exchange."""
@@ -28,16 +26,25 @@ def group_by_key(df: DataFrame, key: str, value: str, out: str = "values") -> Da
     return df.groupBy(key).agg(held.alias(out)).withColumn(out, F.transform(out, lambda x: x["v"]))
 
 
-def combine_by_key(df: DataFrame, key: str, value: str, create: Callable[[Column], Column], merge_value: Callable[[Column, Column], Column], merge_combiners: Callable[[Column, Column], Column], out: str = "combined", pieces: int = 64) -> DataFrame:
+#: Equal values of a key that are folded at once.
+RUN = 4096
+
+
+def combine_by_key(df: DataFrame, key: str, value: str, create: Callable[[Column], Column], merge_value: Callable[[Column, Column], Column], merge_combiners: Callable[[Column, Column], Column], out: str = "combined", pieces: int = 1024) -> DataFrame:
     """The combiner triple as column functions.
 
-    Values of a key are folded in up to ``pieces`` lists, dealt by the rows' content, then their combiners are
-    merged, so a hot key's different rows never meet in one list.  ``merge_combiners`` must not depend on order, as in any shuffle.
+    Equal values of a key are counted before the exchange and folded in runs of at most ``RUN``; the runs of a key are
+    dealt by content into up to ``pieces`` lists, each of which is folded to one combiner, and those are merged.  So no
+    list holds a hot key, be its rows equal or different.  ``merge_combiners`` must not depend on order, as in any shuffle.
     """
     fold = lambda xs, first, step: F.aggregate(F.slice(xs, 2, F.greatest(F.size(xs) - 1, F.lit(0))), first(F.get(xs, 0)), step)
-    dealt = df.withColumn("__piece", row_salt(df, pieces))
-    lists = dealt.groupBy(key, "__piece").agg(F.collect_list(F.struct(F.col(value).alias("v"))).alias("__vs"))
-    part = fold(F.col("__vs"), lambda x: create(x["v"]), lambda c, x: merge_value(c, x["v"]))
+    counted = df.groupBy(F.col(key), F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    runs = counted.withColumn("__i", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / RUN))))
+    more = F.when(F.col("__i") < F.floor((F.col("__n") - 1) / RUN), RUN - 1).otherwise((F.col("__n") - 1) % RUN).cast("int")
+    dealt = runs.select(key, F.pmod(F.xxhash64("__v", "__i"), F.lit(pieces)).alias("__piece"), F.struct(F.col("__v").alias("v"), more.alias("more")).alias("__x"))
+    lists = dealt.groupBy(key, "__piece").agg(F.collect_list("__x").alias("__xs"))
+    again = lambda c, x: F.aggregate(F.array_repeat(x["v"], x["more"]), c, merge_value)
+    part = fold(F.col("__xs"), lambda x: again(create(x["v"]), x), lambda c, x: again(merge_value(c, x["v"]), x))
     parts = lists.select(key, part.alias("__c")).groupBy(key).agg(F.collect_list("__c").alias("__cs"))
     return parts.select(key, fold(F.col("__cs"), lambda c: c, merge_combiners).alias(out))
 

@@ -1,16 +1,52 @@
 """Fetch plans: which blocks a reader asks for together, and when.
 
-Blocks of one address are folded in order, inside one row; a reader's list for one address is small (its
-blocks on one machine), so these rows stay small however many readers there are.
+Where a plan depends on all blocks before, the rows of an address are sorted in their partition and folded in
+one pass that holds a single state, however long its list.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_STATE = "struct<req:int,bytes:bigint,n:int,out:array<struct<req_id:int,n_blocks:int,bytes:bigint>>>"
+
+def _folded(rows: DataFrame, group: str, order: list[str], step: Callable, close: Callable, columns: list[str]) -> DataFrame:
+    """Rows made by one ordered pass over each group.
+
+    ``step(state, row)`` gives the next state (None before the first row) and the rows to emit, ``close(state)`` those
+    left at a group's end; emitted rows lack the group, which is put first.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    names = [x.split()[0] for x in columns]
+    at = [rows.columns.index(x) for x in (group, *order)]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        kind, key, state, started = None, None, None, False
+        for batch in batches:
+            kind, out = batch.schema.types[at[0]], []
+            for row in zip(*[batch.column(i).to_pylist() for i in at], strict=True):
+                if not started or row[0] != key:
+                    if started:
+                        out += [(key, *x) for x in close(state)]
+                    key, state, started = row[0], None, True
+                state, made = step(state, row[1:])
+                out += [(key, *x) for x in made]
+            yield batch_of(out, kind, pa)
+        if started:
+            yield batch_of([(key, *x) for x in close(state)], kind, pa)
+
+    def batch_of(out, kind, pa):
+        types = [kind, *[{"int": pa.int32(), "long": pa.int64()}[x.split()[1]] for x in columns]]
+        held = list(zip(*out, strict=True)) or [()] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, types, strict=True)], names=[group, *names])
+
+    dealt = rows.repartition(group).sortWithinPartitions(group, *order)
+    return dealt.mapInArrow(run, ", ".join([f"`{group}` {fields[group]}", *columns]))
 
 
 def require_sizes(blocks: DataFrame) -> DataFrame:
@@ -36,18 +72,14 @@ def pack_requests(blocks: DataFrame, max_bytes_in_flight: int, max_blocks: int)
     The last, partly filled request of an address is kept.
     """
     target = max(max_bytes_in_flight // 5, 1)
-    lists = blocks.filter("length > 0").groupBy("address").agg(F.sort_array(F.collect_list(F.struct("map_id", "reduce_id", "length"))).alias("blocks"))
-    zero = F.lit(0).cast("long")
-    first = F.struct(F.lit(0).alias("req"), zero.alias("bytes"), F.lit(0).alias("n"), F.array().cast("array<struct<req_id:int,n_blocks:int,bytes:bigint>>").alias("out")).cast(_STATE)
 
-    def step(s, x):
-        bytes_, n = s["bytes"] + x["length"], s["n"] + 1
-        full = (bytes_ >= target) | (n >= max_blocks)
-        done = F.array_append(s["out"], F.struct(s["req"].alias("req_id"), n.alias("n_blocks"), bytes_.alias("bytes")))
-        return F.struct(F.when(full, s["req"] + 1).otherwise(s["req"]).alias("req"), F.when(full, zero).otherwise(bytes_).alias("bytes"), F.when(full, F.lit(0)).otherwise(n).alias("n"), F.when(full, done).otherwise(s["out"]).alias("out"))
+    def step(state, row):
+        req, n, held = state or (0, 0, 0)
+        n, held = n + 1, held + row[2]
+        return ((req + 1, 0, 0), [(req, n, held)]) if held >= target or n >= max_blocks else ((req, n, held), [])
 
-    rest = lambda s: F.when(s["n"] > 0, F.array_append(s["out"], F.struct(s["req"].alias("req_id"), s["n"].alias("n_blocks"), s["bytes"].alias("bytes")))).otherwise(s["out"])
-    return lists.select("address", F.inline(F.aggregate("blocks", first, step, rest)))
+    rows = blocks.filter("length > 0").select("address", "map_id", "reduce_id", "length")
+    return _folded(rows, "address", ["map_id", "reduce_id", "length"], step, lambda state: [state] if state[1] else [], ["req_id int", "n_blocks int", "bytes long"])
 
 
 def split_groups(blocks: DataFrame, size: int) -> DataFrame:
@@ -57,20 +89,17 @@ def split_groups(blocks: DataFrame, size: int) -> DataFrame:
 
 
 def waves(requests: DataFrame, max_bytes: int, max_requests: int, reader: str = "reader") -> DataFrame:
-    """(reader, req_id, wave): requests in order; a wave is closed when the next would pass a limit.
+    """(reader, req_id, bytes, wave): requests in order; a wave is closed when the next would pass a limit.
 
     A wave always takes one request, however large.
     """
-    lists = requests.groupBy(reader).agg(F.sort_array(F.collect_list(F.struct("req_id", "bytes"))).alias("rs"))
-    zero = F.lit(0).cast("long")
-    first = F.struct(F.lit(0).alias("wave"), zero.alias("bytes"), F.lit(0).alias("n"), F.array().cast("array<struct<req_id:int,bytes:bigint,wave:int>>").alias("out"))
 
-    def step(s, x):
-        fits = (s["n"] == 0) | ((s["n"] + 1 <= max_requests) & (s["bytes"] + x["bytes"] <= max_bytes))
-        wave = F.when(fits, s["wave"]).otherwise(s["wave"] + 1)
-        return F.struct(wave.alias("wave"), F.when(fits, s["bytes"] + x["bytes"]).otherwise(x["bytes"]).alias("bytes"), F.when(fits, s["n"] + 1).otherwise(F.lit(1)).alias("n"), F.array_append(s["out"], F.struct(x["req_id"].alias("req_id"), x["bytes"].alias("bytes"), wave.alias("wave"))).alias("out"))
+    def step(state, row):
+        wave, n, held = state or (0, 0, 0)
+        wave, n, held = (wave, n + 1, held + row[1]) if not n or n < max_requests and held + row[1] <= max_bytes else (wave + 1, 1, row[1])
+        return (wave, n, held), [(*row, wave)]
 
-    return lists.select(reader, F.inline(F.aggregate("rs", first, step, lambda s: s["out"])))
+    return _folded(requests.select(reader, "req_id", "bytes"), reader, ["req_id", "bytes"], step, lambda state: [], ["req_id int", "bytes long", "wave int"])
 
 
 def pack_reads(blocks: DataFrame, first: int, limit: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weirflow.durable import discard, materialize
 
 def lengths(df: DataFrame, map_id: Column, reduce_id: Column, bytes_: Column, maps: int, reduces: int) -> DataFrame:
     """(map_id, reduce_id, length) for every map and reduce partition; empty blocks have length 0."""
@@ -55,6 +56,42 @@ def orphans(outputs: DataFrame, registered: DataFrame) -> DataFrame:
     return outputs.join(registered, "shuffle_id", "left_anti")
 
 
+def orphans_of_maps(outputs: DataFrame, lost: DataFrame) -> DataFrame:
+    """Outputs of the map tasks in ``lost(shuffle_id, map_id)``, which a retry writes anew."""
+    return outputs.join(lost.select("shuffle_id", "map_id").distinct(), ["shuffle_id", "map_id"], "left_semi")
+
+
+def orphans_of_apps(outputs: DataFrame, live: DataFrame) -> DataFrame:
+    """Outputs of applications that no longer run, data and indexes alike."""
+    return outputs.join(live.select("app_id").distinct(), "app_id", "left_anti")
+
+
+class IndexService:
+    """Offset indexes written once and read by everyone.
+
+    The table lies sorted by map in the shared folder, so a look-up of some maps opens the row groups that hold them;
+    ``refresh`` replaces the entries of maps that ran again, and old tables go when nothing reads them.
+    """
+
+    def __init__(self, blocks: DataFrame):
+        self.table = self._written(index(blocks))
+
+    @staticmethod
+    def _written(rows: DataFrame) -> DataFrame:
+        return materialize(rows.repartitionByRange("map_id").sortWithinPartitions("map_id", "reduce_id"), "index")
+
+    def segments(self, ranges: DataFrame, maps: list[int] | None = None) -> DataFrame:
+        """:func:`block_ranges` of all maps, or of a few that a reader asks for."""
+        rows = self.table if maps is None else self.table.filter(F.col("map_id").isin(maps))
+        return block_ranges(rows, ranges)
+
+    def refresh(self, blocks: DataFrame) -> None:
+        """Take the lengths of maps that ran again."""
+        kept = self.table.join(blocks.select("map_id").distinct(), "map_id", "left_anti")
+        old, self.table = self.table, self._written(kept.unionByName(index(blocks)))
+        discard(old)
+
+
 def read_complete(read: DataFrame) -> DataFrame:
     """Per reader: whether all parts came (``parts_read = parts``) and none is over a tenth longer than stated."""
     return read.groupBy("reader").agg((F.sum(F.col("done").cast("int")) == F.count("*")).alias("all_read"), (~F.bool_or(F.col("stated") * 1.1 < F.col("length"))).alias("sizes_fit"))

@@ -57,12 +57,24 @@ class Exchange:
     radix_sort: bool = True
     fast_merge: bool = True
     fallback_path: str | None = None
+    #: Of reads from shared storage: bytes of a read's first request and of one task's input, tries and the wait between them.
+    first_read: str = "4m"
+    max_read: str = "128m"
+    io_threads: int = 8
+    max_retries: int = 3
+    retry_wait: str = "5s"
+    memory_fraction: float = 0.6
+    max_map_retries: int = 4
 
     def conf(self) -> dict[str, str]:
         if min(self.max_requests_in_flight, self.max_blocks_per_address, self.spill_batch) < 1:
             raise ConfigError("requests in flight, blocks per address and the spill batch are at least 1")
         if self.replication is not None and self.replication < 1:
             raise ConfigError("the replication is at least 1")
+        if min(self.io_threads, self.max_map_retries) < 1 or self.max_retries < 0:
+            raise ConfigError("threads and map tries are at least 1, read retries not negative")
+        if not 0 < self.memory_fraction < 1:
+            raise ConfigError("the memory fraction lies between 0 and 1")
         text = lambda x: str(x).lower()
         found = {
             "spark.shuffle.sort.bypassMergeThreshold": text(self.bypass_threshold),
@@ -77,6 +89,14 @@ class Exchange:
             "spark.shuffle.spill.batchSize": text(self.spill_batch),
             "spark.shuffle.sort.useRadixSort": text(self.radix_sort),
             "spark.shuffle.unsafe.fastMergeEnabled": text(self.fast_merge),
+            "spark.sql.files.openCostInBytes": self.first_read,
+            "spark.sql.files.maxPartitionBytes": self.max_read,
+            "spark.shuffle.io.serverThreads": text(self.io_threads),
+            "spark.shuffle.io.clientThreads": text(self.io_threads),
+            "spark.shuffle.io.maxRetries": text(self.max_retries),
+            "spark.shuffle.io.retryWait": self.retry_wait,
+            "spark.memory.fraction": text(self.memory_fraction),
+            "spark.task.maxFailures": text(self.max_map_retries),
         }
         if self.shared_dir:
             found["spark.checkpoint.dir"] = self.shared_dir
