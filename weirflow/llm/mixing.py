@@ -3,12 +3,13 @@
 Leaves (domain, language, source) report their tokens.  A token budget runs down the tree: at each
 parent the children share it by integer weight, a child that lacks tokens (``max_epochs`` times its
 own) is filled up and its shortage is dealt among its siblings by weight; only what a whole family
-lacks has already gone to the family's own siblings one level up.  All sums are whole numbers.
+lacks has already gone to the family's own siblings one level up.  All sums are whole numbers; what a division
+leaves over goes to the first of the children that are not filled, one token each, so the budget is spent whole.
 
 Each leaf then takes the first ``quota`` tokens of its seeded epochs: whole epochs first, and of one
 more epoch the documents in the order of a seeded hash up to a cut.  The cut is found without sorting
-a leaf in one task: leaves are sliced by hash prefix into about 1024 documents, slice sums (combined
-before the shuffle) name the slice that holds the cut, and only that slice is ordered.
+a leaf in one task: leaves are sliced by hash prefix into about 1024 documents, sums of runs of slices, then of the
+slices of one run (combined before the shuffle) name the slice that holds the cut, and only that slice is ordered.
 
 Defined cases: a token is four UTF-8 bytes, rounded up; null and empty texts hold none and are never
 taken; null keys form their own leaves; unlisted names weigh 1; repeated rows that share doc_id and
@@ -60,7 +61,10 @@ def pour(nodes: DataFrame, parents: list[str], node: str, weight: Column, budget
     df = df.withColumn("filled", F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(family))
     df = df.withColumn("open", F.sum(F.when(F.col("full"), 0).otherwise(F.col("w"))).over(family))
     share = F.expr("cast(w as decimal(12,0)) * cast(b - filled as decimal(24,0)) div greatest(open, 1)")
-    return df.withColumn("got", F.when(F.col("full"), F.col("cap")).otherwise(share).cast("long")).drop("w", "b", "before", "rest", "full", "filled", "open")
+    df = df.withColumn("share", F.when(F.col("full"), F.col("cap")).otherwise(share).cast("long"))
+    df = df.withColumn("over", F.col("b") - F.sum("share").over(family)).withColumn("turn", F.sum((~F.col("full")).cast("int")).over(line.rowsBetween(W.unboundedPreceding, 0)))
+    got = F.col("share") + F.when(~F.col("full") & (F.col("turn") <= F.col("over")), 1).otherwise(0)
+    return df.withColumn("got", got.cast("long")).drop("w", "b", "before", "rest", "full", "filled", "open", "share", "over", "turn")
 
 
 def budgets(leaves: DataFrame, weights: dict, share: tuple[int, int], max_epochs: int) -> DataFrame:
@@ -103,10 +107,17 @@ def plan(slim: DataFrame, weights: dict, share: tuple[int, int], max_epochs: int
     leaves = slim.groupBy(*keys).agg(F.sum("n").alias("total"), F.count("*").alias("docs"))
     quota = materialize(budgets(leaves, weights, share, max_epochs), "quotas")
     placed = ordered(small_join(slim.filter("n > 0"), quota, keys, "inner"), seed).filter("rest > 0")
-    sums = placed.groupBy(*keys, "slice").agg(F.sum("n").alias("t"), F.max("rest").alias("rest"))
-    before = F.sum("t").over(W.partitionBy(*keys).orderBy("slice")) - F.col("t")
-    cut = sums.withColumn("before", before).filter("before < rest and rest <= before + t").select(*keys, F.col("slice").alias("cut"), (F.col("rest") - F.col("before")).alias("left"))
-    cut = materialize(cut, "cut_slices")
+
+    def crossed(rows: DataFrame, part: str, left: str) -> DataFrame:
+        """The part of each leaf in which the sum reaches ``left``, and what is left at its start."""
+        sums = rows.groupBy(*keys, part).agg(F.sum("n").alias("t"), F.max(left).alias("all"))
+        before = F.sum("t").over(W.partitionBy(*keys).orderBy(part)) - F.col("t")
+        found = sums.withColumn("before", before).filter("before < all and all <= before + t")
+        return materialize(found.select(*keys, F.col(part).alias("cut"), (F.col("all") - F.col("before")).alias("left")), "cut_slices")
+
+    placed = placed.withColumn("run", F.expr("shiftright(slice, (bits + 1) div 2)"))
+    inside = small_join(placed, crossed(placed, "run", "rest"), keys, "inner").filter("run = cut").drop("cut")
+    cut = crossed(inside, "slice", "left")
     line = W.partitionBy(*keys).orderBy("k", "id", "n").rowsBetween(W.unboundedPreceding, 0)
     edge = small_join(placed, cut, keys, "inner").filter("slice = cut").withColumn("past", F.sum("n").over(line) - F.col("n")).filter("past < left")
     last = edge.groupBy(*keys).agg(F.max(F.struct("k", "id", "n", (F.col("left") - F.col("past")).alias("take"))).alias("last"))
@@ -156,7 +167,9 @@ def _pour_sql(name: str, level: int, source: str, budget: str, weight: str) -> s
   sum(w) OVER ({by} ORDER BY cap::BIGINT::DOUBLE / w, g{level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wr FROM {name}a),
 {name}c AS (SELECT *, cap * wr <= w * (b - c0) AS f FROM {name}b),
 {name}d AS (SELECT *, sum(CASE WHEN f THEN cap ELSE 0 END) OVER ({by}) AS cs, sum(CASE WHEN f THEN 0 ELSE w END) OVER ({by}) AS wo FROM {name}c),
-{name} AS (SELECT {", ".join(keys)}, (CASE WHEN f THEN cap ELSE w * (b - cs) // greatest(wo, 1) END)::BIGINT AS got FROM {name}d),
+{name}e AS (SELECT *, CASE WHEN f THEN cap ELSE w * (b - cs) // greatest(wo, 1) END AS s FROM {name}d),
+{name}f AS (SELECT *, b - sum(s) OVER ({by}) AS over, sum(CASE WHEN f THEN 0 ELSE 1 END) OVER ({by} ORDER BY cap::BIGINT::DOUBLE / w, g{level} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS turn FROM {name}e),
+{name} AS (SELECT {", ".join(keys)}, (s + CASE WHEN NOT f AND turn <= over THEN 1 ELSE 0 END)::BIGINT AS got FROM {name}f),
 {source}{level} AS (SELECT s.*, p.got AS got{level} FROM {source} s JOIN {name} p ON {" AND ".join(f"s.{k} IS NOT DISTINCT FROM p.{k}" for k in keys)}),"""
 
 
