@@ -63,3 +63,39 @@ def test_odd_rows(spark, frames):
 
 def test_threshold():
     assert 1 < toxicity.threshold([0, 1, 2, 3], [0, 0, 1, 1]) < 2
+
+
+def test_scores_by_brute_force(spark, frames):
+    """The network word by word and place by place, from its weights."""
+    docs, labels, _ = frames
+    net, cuts = toxicity.fit(*toxicity.sample(docs, labels, toxicity.PER_CLASS))
+    texts = {r.doc_id: r.text for r in docs.limit(40).collect()} | {9001: "", 9002: "one", 9003: "zorkaaa idiot", 9004: "Der IDIOT und das, trash!"}
+
+    def by_hand(text):
+        words = text.encode().translate(toxicity.WORDS).split()
+        vectors = []
+        for w in words:
+            t = w.decode()
+            parts = (b"w" + w, b"a" + t[:4].encode(), b"b" + t[:5].encode(), b"z" + t[-4:].encode())
+            vectors.append(np.mean([net.embed[zlib.crc32(x) % toxicity.BUCKETS] for x in parts], axis=0))
+        logit = float(net.off)
+        for k, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                places = [sum(float(vectors[i + j] @ net.filters[width][j, :, f]) for j in range(width)) + float(net.bias[width][f]) for i in range(len(words) - width + 1)]
+                logit += max([0.0, *places]) * float(net.out[k * toxicity.FILTERS + f])
+        votes = [sum(w.decode() in listed for w in words) for listed in toxicity.LANGUAGES.values()]
+        language = votes.index(max(votes)) if any(votes) else -1
+        return 1 / (1 + np.exp(-(logit - cuts.get(language, cuts[-1]))))
+
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    both = docs.unionByName(rows.filter("doc_id > 9000").withColumn("score", toxicity.F.lit("x")))
+    got = {r.doc_id: r.score for r in toxicity.score_documents(both, labels).collect()}
+    for i, t in texts.items():
+        assert got[i] == pytest.approx(by_hand(t), rel=1e-3, abs=1e-5)
+
+
+def test_long_texts_are_scored_but_not_sampled(spark, frames):
+    docs, labels, _ = frames
+    long = docs.withColumn("text", toxicity.F.when(toxicity.F.col("doc_id") % 2 == 0, toxicity.F.repeat("text", 200)).otherwise(toxicity.F.col("text")))
+    texts, _ = toxicity.sample(long, labels, 10_000)
+    assert texts and max(len(t.encode()) for t in texts) <= toxicity.LONGEST and toxicity.score_documents(long, labels).count() == 600

@@ -7,9 +7,11 @@ dimension of an embedding starts at the shrunk log odds of its bucket in the tra
 (Adagrad) starts from words that tell the classes apart; pooling then sharpens them.
 
 Training takes a bounded sample: at most ``PER_CLASS`` labelled texts of each class, the least by a hash
-of doc_id, from rows outside the held-out fifth.  A quarter of the sample sets the thresholds: one for
+of doc_id, from rows outside the held-out fifth; of them those of at most ``LONGEST`` bytes, so the driver gets
+``2 * PER_CLASS * LONGEST`` bytes at most.  Texts of any length are scored.  A quarter of the sample sets the thresholds: one for
 each language that the text itself shows by its function words, which shifts the logit so that a score
-of 0.5 is the threshold.  Scores read the text alone.
+of 0.5 is the threshold.  A threshold weighs a share of clean texts that are called toxic ``FALSE_ALARM`` times a
+share of toxic texts that are missed, as clean texts are many more.  Scores read the text alone.
 
 Defined cases: null and empty texts score as a text without words; rows without a label are only
 scored; null labels are ignored; a null doc_id counts as the text '' for the fold; without labels of both
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from weirflow.llm.licences import WORDS
 
-PER_CLASS = 2500
+PER_CLASS, LONGEST, FALSE_ALARM = 2500, 1 << 14, 4
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 8, 8, (1, 2, 3)
 EPOCHS, BATCH, RATE, SEED = 4, 16, 0.1, 11
 CACHE_WORDS = 400_000
@@ -208,7 +210,7 @@ def threshold(logits, labels) -> float:
     x, y = np.array(logits)[order], np.array(labels)[order]
     missed = np.concatenate([[0], np.cumsum(y)]) / max(1, y.sum())
     wrong = ((1 - y).sum() - np.concatenate([[0], np.cumsum(1 - y)])) / max(1, (1 - y).sum())
-    cost = missed + 4 * wrong
+    cost = missed + FALSE_ALARM * wrong
     best = np.flatnonzero(cost <= cost.min() + 1e-9)
     cut = best[len(best) // 2]
     lower, upper = x[max(0, cut - 1)], x[min(len(x) - 1, cut)]
@@ -291,7 +293,8 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list[str
     for y in (0, 1):
         part = known.filter(F.col("toxic") == y).orderBy(*order).limit(per_class)
         picked = part if picked is None else picked.union(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * per_class).collect()
+    short = docs.select("doc_id", "text").filter(F.octet_length(F.coalesce("text", F.lit(""))) <= LONGEST)
+    rows = short.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * per_class).collect()
     return [r.text or "" for r in rows], [r.toxic for r in rows]
 
 
