@@ -6,8 +6,9 @@ from pathlib import Path
 import pytest
 
 import corpus_pipeline
+from weirflow import durable
 from weirflow.durable import materialize
-from weirflow.llm import lines, mixing, quality
+from weirflow.llm import lines, mixing, quality, simhash
 
 sys.path.insert(0, str(Path(__file__).parent))
 import test_packing as cut  # noqa: E402
@@ -81,3 +82,31 @@ def test_run(spark, sf_dir, steps):
 def test_empty_documents(spark, tmp_path, sf_dir):
     spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_finished_run_leaves_its_last_table_only(spark, sf_dir):
+    def folders():
+        path = spark._jvm.org.apache.hadoop.fs.Path(durable.app_dir(spark))
+        return {x.getPath().getName() for x in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)}
+
+    materialize(spark.range(1), "first")
+    before = folders()
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert {x.rsplit("-", 1)[0] for x in folders() - before} == {"mixing"} and out.count() > 0
+
+
+def test_no_plan_depends_on_broadcasts(spark, sf_dir, steps):
+    """Line dedup and SimHash dedup give the same rows if nothing at all may be broadcast."""
+    off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k, None) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        plan = lines.dedup_lines(steps[1])
+        got = sorted((r.doc_id, r.text) for r in plan.collect())
+        assert "BroadcastHashJoin" not in plan._jdf.queryExecution().executedPlan().toString()
+        kept = ids(simhash.drop_near_duplicates(steps[2]))
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == sorted((r.doc_id, r.text) for r in steps[2].collect()) and kept == ids(steps[3])
