@@ -8,13 +8,13 @@ distributed tables that grow with the input.
 Seating is sampled by blocked Gibbs sweeps: the customers of a dish leave a restaurant and are seated anew one
 by one (beyond 16 customers in steps of a sixteenth, by a binomial draw), at a new table with weight
 ``(strength + discount * tables) * parent(dish)``; tables send customers to the parent, whose dishes are then
-seated in turn.  Dishes are sampled in parallel given the last state.  A dish of one customer has one
+seated in turn (the head's on the driver, all others where they lie).  Dishes are sampled in parallel given the last state.  A dish of one customer has one
 table, so pairs that occur once are never stored: their numbers follow from the counts of words.  Predictive
 probabilities are averaged over the sweeps after the burn-in.  Discounts come from the numbers of counts one and two.
 
 A text is scored where it is read, as far as two bounded tables that are sent to all tasks reach (at most ``HEAD``
-words with their figures, ``PAIRS`` pairs with their predictions); they save work and change no score.  All other pairs, and
-those of rare words, are joined with the distributed tables.  To bound the disk, pairs are counted and joined
+words with their figures, ``PAIRS`` pairs with their predictions); they save work, of the results only the random draws
+differ with ``HEAD``.  All other pairs, and those of rare words, are joined with the distributed tables.  To bound the disk, pairs are counted and joined
 in ``COUNTED`` and ``JOINED`` slices by hash, each with a pass over the texts.
 
 Words are identified by a 64-bit hash, rows by a hash of doc_id and text.  Defined cases: null and empty texts are
@@ -38,7 +38,7 @@ STRENGTH = 1.0
 HEAD, PAIRS = 400_000, 1_000_000
 COUNTED, JOINED = 2, 4
 #: Bytes of text that are read at once, and tokens that are counted before they are sent.
-PIECE, WINDOW = 1 << 21, 3_000_000
+PIECE, WINDOW = 1 << 19, 1_500_000
 END, START = 1, 2
 
 
@@ -133,7 +133,7 @@ class Reader:
             row, first, last = np.array(spans, np.int64).T
             low = int(first[0])
             raw = self.data[low : int(last[-1])]
-            table, power, inverse = hashing(1 << max(22, len(raw).bit_length()))
+            table, power, inverse = hashing(1 << max(20, len(raw).bit_length()))
             codes = table[raw]
             inside = np.concatenate(([False], codes != 0, [False]))
             starts = inside[1:-1] & ~inside[:-2]
@@ -248,20 +248,79 @@ def discount_of(ones: int, twos: int) -> float:
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
 
 
-def _seat_all(customers: str, prior: str, others: str, discount: float, sweep: int, keep: list[str]):
-    """A mapInArrow function that seats the dishes of rows anew: ``t`` follows from the columns named."""
+def _rng(sweep: int, *values):
+    """Random numbers that depend on the seed, the sweep and the rows alone."""
+    import numpy as np
+
+    return np.random.default_rng([SEED, sweep, *(int(x.sum()) % (1 << 63) for x in values)])
+
+
+def _seat_words(even: float, tables: int, discount: float, sweep: int):
+    """A mapInArrow function that seats the parent's dishes anew: rows (w, c, t, guests)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+
+        for batch in batches:
+            w, c, t, guests = (x.to_numpy() for x in batch.columns)
+            if len(w):
+                yield _batch({"w": w, "c": c, "t": seat(guests, np.full(len(w), even), discount, STRENGTH, tables - t, _rng(sweep, w, t)), "guests": guests})
+
+    return run
+
+
+NEAR, FAR = "iu int, iw int, c long, t long, acc double", "u long, w long, c long, cu long, t long, acc double, iu int, iw int"
+
+
+def _indexed_pairs(sent):
+    """A mapInArrow function over (u, w, c): adds the places of both words in the head, -1 for others."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+
+        words = indexes(sent.value)[0]
+        for batch in batches:
+            u, w, c = (x.to_numpy() for x in batch.columns)
+            yield _batch({"u": u, "w": w, "c": c, "iu": words.get_indexer(u).astype(np.int32), "iw": words.get_indexer(w).astype(np.int32)})
+
+    return run
+
+
+def _advance(figures, discount: float, sweep: int, kept: bool, names: list[str]):
+    """A mapInArrow function that adds the predictions of a kept state to ``acc`` and seats its pairs anew.
+
+    The head's figures are sent (words' probabilities, contexts' customers and tables); rows of other words have them as columns p, tu and tc.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        head_p, head_c, head_t = figures.value
         for batch in batches:
-            if not len(batch):
+            get = lambda name: batch.column(name).to_numpy(zero_copy_only=False)  # noqa: E731, B023
+            iu, iw, c, t, acc = (get(x) for x in ("iu", "iw", "c", "t", "acc"))
+            if not len(c):
                 continue
-            get = lambda name: batch.column(name).to_numpy()  # noqa: E731, B023
-            rng = np.random.default_rng([SEED, sweep, *(int(x) % (1 << 63) for x in (get("w")[0], get("t").sum()))])
-            t = seat(get(customers), get(prior), discount, STRENGTH, get(others) - get("t"), rng)
-            yield pa.RecordBatch.from_arrays([pa.array(t) if x == "t" else batch.column(x) for x in keep], names=keep)
+            p, cu, tu = head_p[iw], head_c[iu], head_t[iu]
+            if "p" in batch.schema.names:
+                p, cu, tu = np.where(iw < 0, get("p"), p), np.where(iu < 0, get("cu"), cu), np.where(iu < 0, get("tu"), tu)
+            if kept:
+                acc = acc + (c - discount * t) / (STRENGTH + cu) + (STRENGTH + discount * tu) / (STRENGTH + cu) * p
+            new = {"t": seat(c, p, discount, STRENGTH, tu - t, _rng(sweep, c, t, iu, iw)) if sweep <= SWEEPS else t, "acc": acc}
+            yield pa.RecordBatch.from_arrays([pa.array(new[x]) if x in new else batch.column(x) for x in names], names=names)
+
+    return run
+
+
+def _hashed_pairs(sent):
+    """A mapInArrow function over (iu, iw, c, acc): (k, c, acc)."""
+
+    def run(batches: Iterator) -> Iterator:
+        words = sent.value["w"]
+        for batch in batches:
+            iu, iw, c, acc = (x.to_numpy() for x in batch.columns)
+            yield _batch({"k": pair_hash(words[iu], words[iw]), "c": c, "acc": acc})
 
     return run
 
@@ -281,7 +340,7 @@ def at_most(df: DataFrame, limit: int) -> int:
 class Model:
     """What training leaves: scalars, ``words`` (w, c, b<s>, p<s>) and ``pairs`` (k, c, lp) as written tables.
 
-    For a kept sweep s, b is a context's share for the parent and p the parent's probability of a word.  ``pairs`` has
+    ``words`` has the start among its contexts.  For a kept sweep s, b is a context's share for the parent and p the parent's probability of a word.  ``pairs`` has
     the predictions of pairs that occur twice or more, and those of the held-out texts that occur once without one.
     """
 
@@ -291,65 +350,95 @@ class Model:
         few = [F.sum((F.col("c") == x).cast("long")).alias(f"n{x}") for x in (1, 2)]
         facts = vocab.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("w") == END, F.col("c"))).alias("texts"), *few).first()
         self.n, self.v = facts.n or 0, facts.v
-        ones = facts.n1 or 0
         self.even = 1.0 / (self.v + 1)
         flagged = docs.select((fold() == 1).alias("held_out"), "text")
         parts = []
         for part in range(COUNTED):
-            found = flagged.mapInArrow(_count_pairs(part), "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c"), F.min("c").alias("least"))
+            found = flagged.mapInArrow(_count_pairs(part), "u long, w long, c long").repartition("u", "w").groupBy("u", "w").agg(F.sum("c").alias("c"), F.min("c").alias("least"))
             parts.append(materialize(found.filter("c > 1 or c = 1 and least = 0").select("u", "w", "c"), "counted"))
         cells = reduce(DataFrame.union, parts)
         facts2 = cells.filter("c > 1").agg(F.sum("c").alias("n"), few[1]).first()
         self.discount = d = discount_of(self.n - (facts2.n or 0), facts2.n2 or 0)
-        lower = discount_of(ones, facts.n2 or 0)
-        spark = docs.sparkSession
-        contexts = vocab.filter(F.col("w") != END).union(spark.createDataFrame([(START, facts.texts or 0)], "w long, c long"))
-        state = cells.filter("c > 1").join(contexts.select(F.col("w").alias("u"), F.col("c").alias("cu")), "u")
-        state = materialize(state.select("u", "w", "c", "cu", F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("acc")), "seats")
-        root = vocab.filter("c > 1").select("w", "c", F.lit(1).cast("long").alias("t"))
-        tables, kept, shares, self.unseen, self.once = self.v, 0, [], [], []
+        self._sample(docs.sparkSession, vocab, cells, d, discount_of(facts.n1 or 0, facts.n2 or 0), facts.n1 or 0, facts.texts or 0)
+        discard(*parts)
+
+    def _sample(self, spark, vocab: DataFrame, cells: DataFrame, d: float, lower: float, ones: int, texts: int) -> None:
+        """Run the sweeps.  The head's words are seated on the driver, with all figures in arrays; all others are tables."""
+        import numpy as np
+        import pandas as pd
+
+        least = at_most(vocab, HEAD)
+        head = vocab.filter(F.col("c") >= least).toArrow()
+        ones = ones if least > 1 else 0  # outside the head
+        words, c = np.append(head["w"].to_numpy(), START), np.append(head["c"].to_numpy(), texts)
+        h, start = len(words), len(words) - 1
+        sent = spark.sparkContext.broadcast({"w": words, "k": words[:0]})
+        tail = vocab.filter((F.col("c") < least) & (F.col("c") > 1))
+        placed = cells.filter("c > 1").mapInArrow(_indexed_pairs(sent), "u long, w long, c long, iu int, iw int")
+        one, none = F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("acc")
+        placed = materialize(placed, "placed")
+        near = materialize(placed.filter("iu >= 0 and iw >= 0").select("iu", "iw", "c", one, none), "near")
+        contexts = vocab.select(F.col("w").alias("u"), F.col("c").alias("cu"))
+        far = placed.filter("iu < 0 or iw < 0").join(contexts.hint("shuffle_hash"), "u", "left")
+        far = materialize(far.select("u", "w", "c", F.coalesce("cu", F.lit(texts)).alias("cu"), one, none, "iu", "iw"), "far")
+        discard(placed)
+        root, t = tail.select("w", "c", one), np.minimum(c, 1)
+        t[start] = 0
+        tables, shares, head_b, head_p, self.unseen, self.once = self.v, [], [], [], [], []
+        moved = F.sum(F.col("c") - F.col("t")).alias("less")
         for sweep in range(1, SWEEPS + 2):
-            # Customers of the parent are the tables of all contexts; then the state's figures, then the next state.
-            moved = state.groupBy("w").agg(F.sum(F.col("c") - F.col("t")).alias("less"))
-            guests = root.join(moved, "w", "left").withColumn("guests", F.col("c") - F.coalesce("less", F.lit(0))).drop("less")
-            guests = guests.withColumns({"even": F.lit(self.even), "tables": F.lit(tables).cast("long")})
-            names = [*root.columns, "guests"]
-            kinds = ", ".join(f"{x} {'double' if x[0] == 'p' else 'long'}" for x in names)
-            raw = materialize(guests.mapInArrow(_seat_all("guests", "even", "tables", lower, sweep + 1000, names), kinds), "parent")
-            seated = raw
-            sums = raw.agg(F.sum("t").alias("t"), F.sum("guests").alias("g")).first()
-            tables, total = (sums.t or 0) + ones, STRENGTH + (sums.g or 0) + ones
+            kept = sweep > BURN + 1
+            # What customers share tables, by word and context: of the head in arrays, of others in tables.
+            less = {}
+            for side in ("iu", "iw"):
+                found = near.groupBy(side).agg(moved).union(far.filter(F.col(side) >= 0).groupBy(side).agg(moved)).toArrow()
+                less[side] = np.bincount(found[side].to_numpy(), found["less"].to_numpy(), minlength=h).astype(np.int64)
+            # The parent's customers are the tables of all contexts.
+            guests = c - less["iw"]
+            guests[start] = 0
+            t = seat(guests, np.full(h, self.even), lower, STRENGTH, tables - t, np.random.default_rng([SEED, 1000 + sweep]))
+            fewer = far.filter("iw < 0").groupBy("w").agg(moved)
+            asked = root.select("w", "c", "t").join(fewer, "w", "left").select("w", "c", "t", (F.col("c") - F.coalesce("less", F.lit(0))).alias("guests"))
+            seated = materialize(asked.mapInArrow(_seat_words(self.even, tables, lower, 1000 + sweep), "w long, c long, t long, guests long"), "parent")
+            sums = seated.agg(F.sum("t").alias("t"), F.sum("guests").alias("g")).first()
+            tables = int(t.sum()) + (sums.t or 0) + ones
+            total = STRENGTH + int(guests.sum()) + (sums.g or 0) + ones
             new = (STRENGTH + lower * tables) / total * self.even
-            p = (F.col("guests") - lower * F.col("t")) / total + new
-            mine = state.groupBy("u").agg((F.max("cu") - F.sum(F.col("c") - F.col("t"))).alias("tu"), F.max("cu").alias("tc"))
-            share = (STRENGTH + d * F.col("tu")) / (STRENGTH + F.col("tc"))
-            if sweep > BURN + 1:
-                kept += 1
-                shares.append(materialize(mine.select("u", F.lit(kept).alias("s"), share.alias("b")), "shares"))
+            p, tu = (guests - lower * t) / total + new, c - less["iu"]
+            root = seated.withColumn("p", (F.col("guests") - lower * F.col("t")) / total + new)
+            mine = far.filter("iu < 0").groupBy("u").agg((F.max("cu") - F.sum(F.col("c") - F.col("t"))).alias("tu"), F.max("cu").alias("tc"))
+            if kept:
+                mine = materialize(mine, "contexts")
+                s = len(head_p) + 1
+                shares.append((mine.select(F.col("u").alias("w"), ((STRENGTH + d * F.col("tu")) / (STRENGTH + F.col("tc"))).alias(f"b{s}")), root.select("w", F.col("p").alias(f"p{s}"))))
+                head_b.append((STRENGTH + d * tu) / (STRENGTH + c))
+                head_p.append(p)
                 self.unseen.append(new)
                 self.once.append((1 - lower) / total + new)
-                seated = seated.withColumn(f"p{kept}", p)
-            joined = state.join(seated.select("w", p.alias("p")), "w").join(mine.select("u", "tu", share.alias("b")), "u")
-            if sweep > BURN + 1:
-                joined = joined.withColumn("acc", F.col("acc") + (F.col("c") - d * F.col("t")) / (STRENGTH + F.col("cu")) + F.col("b") * F.col("p"))
-            if sweep > 1:
-                discard(root)
-            root = seated.drop("guests")
-            if sweep > SWEEPS:
-                break
-            names = ["u", "w", "c", "cu", "t", "acc"]
-            old, state = state, materialize(joined.mapInArrow(_seat_all("c", "p", "tu", d, sweep, names), "u long, w long, c long, cu long, t long, acc double"), "seats")
-            discard(old)
-        self.kept = kept
+            figures = spark.sparkContext.broadcast((p, c.astype(float), tu.astype(float)))
+            names = [x.split()[0] for x in FAR.split(", ")]
+            # Rows whose word or context is in the head ask for nothing: they are dealt by hashes that no table has.
+            own = lambda x: F.when(F.col(f"i{x}") < 0, F.col(x)).otherwise(F.xxhash64("u", "w", F.lit(x)))
+            joined = far.withColumns({"ku": own("u"), "kw": own("w")}).join(root.select(F.col("w").alias("kw"), "p").hint("shuffle_hash"), "kw", "left")
+            joined = joined.join(mine.select(F.col("u").alias("ku"), "tu").hint("shuffle_hash"), "ku", "left").select(*names, "p", "tu")
+            old = near, far
+            near = materialize(near.mapInArrow(_advance(figures, d, sweep, kept, [x.split()[0] for x in NEAR.split(", ")]), NEAR), "near")
+            far = materialize(joined.mapInArrow(_advance(figures, d, sweep, kept, names), FAR), "far")
+            discard(*old)
+        self.kept = len(head_p)
         k = F.xxhash64("u", "w").alias("k")
-        predicted = joined.select(k, "c", F.log10(F.col("acc") / kept).alias("lp"))
-        self.pairs = materialize(predicted.union(cells.filter("c = 1").select(k, "c", F.lit(None).cast("double"))), "pairs")
-        discard(state, *parts)
-        by = reduce(DataFrame.union, shares).groupBy("u").agg(*[F.max(F.when(F.col("s") == s, F.col("b"))).alias(f"b{s}") for s in self.sweeps])
-        known = vocab.union(contexts.filter(F.col("w") == START)).join(by.withColumnRenamed("u", "w"), "w", "left").join(root.drop("c", "t"), "w", "left")
+        found = near.select("iu", "iw", "c", "acc").mapInArrow(_hashed_pairs(sent), "k long, c long, acc double").union(far.select(k, "c", "acc"))
+        found = found.select("k", "c", F.log10(F.col("acc") / self.kept).alias("lp"))
+        self.pairs = materialize(found.union(cells.filter("c = 1").select(k, "c", F.lit(None).cast("double"))), "pairs")
+        discard(near, far)
+        self.head_words = {"w": words, "c": c, "b": np.stack(head_b, axis=1), "p": np.stack(head_p, axis=1)}
+        known = vocab.filter(F.col("c") < least)
+        for b, q in shares:
+            known = known.join(b.hint("shuffle_hash"), "w", "left").join(q.hint("shuffle_hash"), "w", "left")
         plain = (STRENGTH + d * F.col("c")) / (STRENGTH + F.col("c"))
-        figures = [F.coalesce(f"b{s}", plain).alias(f"b{s}") for s in self.sweeps] + [F.coalesce(f"p{s}", F.lit(self.once[s - 1])).alias(f"p{s}") for s in self.sweeps]
-        self.words = materialize(known.select("w", "c", *figures), "words")
+        known = known.select("w", "c", *[F.coalesce(f"b{s}", plain).alias(f"b{s}") for s in self.sweeps], *[F.coalesce(f"p{s}", F.lit(self.once[s - 1])).alias(f"p{s}") for s in self.sweeps])
+        listed = {"w": words, "c": c} | {f"{x}{s}": v[s - 1] for x, v in (("b", head_b), ("p", head_p)) for s in self.sweeps}
+        self.words = materialize(known.union(spark.createDataFrame(pd.DataFrame(listed))), "words")
 
     @property
     def sweeps(self) -> range:
@@ -357,14 +446,9 @@ class Model:
 
     def head(self) -> dict:
         """The bounded tables that are sent to all tasks."""
-        import numpy as np
-
-        least = at_most(self.words, HEAD)
-        words = self.words.filter((F.col("c") >= least) | (F.col("w") == START)).toArrow()
         pairs = self.pairs.filter("c > 1")
         pairs = pairs.filter(F.col("c") >= at_most(pairs, PAIRS)).select("k", "lp").toArrow()
-        figures = lambda x: np.stack([words[f"{x}{s}"].to_numpy() for s in self.sweeps], axis=1)
-        return {"w": words["w"].to_numpy(), "c": words["c"].to_numpy(), "b": figures("b"), "p": figures("p"), "k": pairs["k"].to_numpy(), "lp": pairs["lp"].to_numpy()}
+        return self.head_words | {"k": pairs["k"].to_numpy(), "lp": pairs["lp"].to_numpy()}
 
 
 _indexed: list = []
@@ -379,13 +463,14 @@ def indexes(head: dict) -> list:
     return _indexed[1:]
 
 
-SCORED = "uid long, n_tokens long, known long, base double, score double, held_out boolean, k array<long>, alt array<double>, one array<double>, u array<long>, w array<long>"
+SCORED = "uid long, held_out boolean, n_tokens long, known long, base double, score double, k long, alt double, one double, u long, w long"
 
 
 def _score(sent, n: int, v: int, discount: float, part: int):
     """A mapInArrow function over (uid, held_out, text): sums of a slice's pairs as far as the head reaches, and all others.
 
-    ``alt`` is the score of a pair that the written pairs lack, ``one`` that of a pair seen once (if it differs).
+    A row has the sums of a text, or a pair by ``k`` with its score if the written pairs lack it (``alt``) or name it as seen
+    once (``one``), or a pair (u, w) of rare words.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -397,16 +482,20 @@ def _score(sent, n: int, v: int, discount: float, part: int):
         base = np.log10((head["c"] + 0.5) / (n + 0.5 * (v + 1)))
         single = (1 - discount) / (STRENGTH + head["c"])
 
-        def lists(row, values, size):
-            ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=size))))
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+        names, types = zip(*[x.split() for x in SCORED.split(", ")], strict=True)
+        kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+
+        def out(batch, row, **columns):
+            """Rows of texts by place, with the columns given and nulls for the others."""
+            row, n = pa.array(row), len(row)
+            columns = {"uid": batch.column(0).take(row), "held_out": batch.column(1).take(row)} | {k: pa.array(v) for k, v in columns.items()}
+            return pa.RecordBatch.from_arrays([columns[x] if x in columns else pa.nulls(n, kinds[t]) for x, t in zip(names, types, strict=True)], names=list(names))
 
         for whole in batches:
             for at in range(0, len(whole), 500):
                 batch = whole.slice(at, 500)
                 size, held = len(batch), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
                 sums, tokens = np.zeros((3, size)), np.zeros(size, np.int64)
-                near, far = [], []
                 for row, u, w in Reader(batch.column(2)):
                     tokens += np.bincount(row, minlength=size)
                     k = pair_hash(u, w)
@@ -420,19 +509,12 @@ def _score(sent, n: int, v: int, discount: float, part: int):
                     here = known & ~hit & (iu >= 0)
                     i, j = iu[here], iw[here]
                     back = (head["b"][i] * head["p"][j]).mean(axis=1)
-                    near.append((row[here], k[here], np.log10(back + np.where(held[row[here]], 0, single[i])), np.log10(back + single[i])))
+                    yield out(batch, row[here], k=k[here], alt=np.log10(back + np.where(held[row[here]], 0, single[i])), one=np.log10(back + single[i]))
                     there = ~hit & ~here
                     sums[0] -= np.bincount(row[there & known], minlength=size)
                     sums[1] -= np.bincount(row[there & known], base[iw[there & known]], minlength=size)
-                    far.append((row[there], u[there], w[there]))
-                row, k, alt, one = (np.concatenate(x) for x in zip(*near, strict=True)) if near else [np.zeros(0, np.int64)] * 4
-                far_row, u, w = (np.concatenate(x) for x in zip(*far, strict=True)) if far else [np.zeros(0, np.int64)] * 3
-                asked = held[row]
-                columns = [
-                    batch.column(0), pa.array(tokens if part == 0 else np.zeros_like(tokens)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), batch.column(1),
-                    lists(row, k, size), lists(row, alt.astype(float), size), lists(row[asked], one[asked].astype(float), size), lists(far_row, u, size), lists(far_row, w, size),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCORED.split(", ")])
+                    yield out(batch, row[there], u=u[there], w=w[there])
+                yield out(batch, np.arange(size), n_tokens=tokens if part == 0 else np.zeros_like(tokens), known=sums[0].astype(np.int64), base=sums[1], score=sums[2])
 
     return run
 
@@ -453,14 +535,14 @@ def score_documents(docs: DataFrame) -> DataFrame:
         for part in range(JOINED):
             here = rows.select("uid", "held_out", "text").mapInArrow(_score(sent, model.n, model.v, model.discount, part), SCORED)
             here = materialize(here, "asked")
-            near = here.select("uid", F.explode(F.arrays_zip("k", "alt", "one")).alias("x")).select("uid", "x.k", "x.alt", F.coalesce("x.one", "x.alt").alias("one"), F.lit(0).alias("known"), F.lit(0.0).alias("base"))
-            far = here.select("uid", "held_out", F.explode(F.arrays_zip("u", "w")).alias("x")).select("uid", "held_out", "x.u", "x.w").join(of("w"), "w", "left").join(of("u"), "u", "left")
+            near = here.filter("k is not null").select("uid", "k", "alt", "one", F.lit(0).alias("known"), F.lit(0.0).alias("base"))
+            far = here.filter("u is not null").select("uid", "held_out", "u", "w").join(of("w").hint("shuffle_hash"), "w", "left").join(of("u").hint("shuffle_hash"), "u", "left")
             far = far.select("uid", F.xxhash64("u", "w").alias("k"), F.log10(back + F.when(F.col("held_out"), 0.0).otherwise(single)).alias("alt"), F.log10(back + single).alias("one"), F.col("wc").isNotNull().cast("int").alias("known"), base.alias("base"))
             pairs = model.pairs.filter(F.col("k").bitwiseAND(JOINED - 1) == part)
-            each = near.union(far).join(pairs, "k", "left")
+            each = near.union(far).join(pairs.hint("shuffle_hash"), "k", "left")
             score = F.coalesce("lp", F.when(F.col("c") == 1, F.col("one")), "alt")
             sums = each.groupBy("uid").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum(score).alias("score"))
-            own = here.select("uid", "n_tokens", "known", "base", "score")
+            own = here.filter("n_tokens is not null").select("uid", "n_tokens", "known", "base", "score")
             found.append(materialize(own.unionByName(sums.withColumn("n_tokens", F.lit(0))).groupBy("uid").agg(*[F.sum(x).alias(x) for x in own.columns[1:]]), "sums"))
             discard(here)
         # Rows that share doc_id and text were added up: each has its part.
