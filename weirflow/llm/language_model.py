@@ -38,7 +38,7 @@ STRENGTH = 1.0
 HEAD, PAIRS = 400_000, 1_000_000
 COUNTED, JOINED = 2, 4
 #: Bytes of text that are read at once, and tokens that are counted before they are sent.
-PIECE, WINDOW = 1 << 19, 1_500_000
+PIECE, WINDOW = 1 << 18, 1_000_000
 END, START = 1, 2
 
 
@@ -133,7 +133,7 @@ class Reader:
             row, first, last = np.array(spans, np.int64).T
             low = int(first[0])
             raw = self.data[low : int(last[-1])]
-            table, power, inverse = hashing(1 << max(20, len(raw).bit_length()))
+            table, power, inverse = hashing(1 << max(19, len(raw).bit_length()))
             codes = table[raw]
             inside = np.concatenate(([False], codes != 0, [False]))
             starts = inside[1:-1] & ~inside[:-2]
@@ -469,8 +469,8 @@ SCORED = "uid long, held_out boolean, n_tokens long, known long, base double, sc
 def _score(sent, n: int, v: int, discount: float, part: int):
     """A mapInArrow function over (uid, held_out, text): sums of a slice's pairs as far as the head reaches, and all others.
 
-    A row has the sums of a text, or a pair by ``k`` with its score if the written pairs lack it (``alt``) or name it as seen
-    once (``one``), or a pair (u, w) of rare words.
+    A row has the sums of a text, or a pair by ``k`` with its score if the written pairs lack it (``alt``) or, for a held-out
+    text, name it as seen once (``one``), or a pair (u, w) of rare words.
     """
 
     def run(batches: Iterator) -> Iterator:
@@ -488,7 +488,7 @@ def _score(sent, n: int, v: int, discount: float, part: int):
         def out(batch, row, **columns):
             """Rows of texts by place, with the columns given and nulls for the others."""
             row, n = pa.array(row), len(row)
-            columns = {"uid": batch.column(0).take(row), "held_out": batch.column(1).take(row)} | {k: pa.array(v) for k, v in columns.items()}
+            columns = {"uid": batch.column(0).take(row), "held_out": batch.column(1).take(row)} | {k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()}
             return pa.RecordBatch.from_arrays([columns[x] if x in columns else pa.nulls(n, kinds[t]) for x, t in zip(names, types, strict=True)], names=list(names))
 
         for whole in batches:
@@ -507,9 +507,9 @@ def _score(sent, n: int, v: int, discount: float, part: int):
                     sums[1] += np.bincount(row[known], base[iw[known]], minlength=size)
                     sums[2] += np.bincount(row[hit], head["lp"][ik[hit]], minlength=size)
                     here = known & ~hit & (iu >= 0)
-                    i, j = iu[here], iw[here]
+                    i, j, asked = iu[here], iw[here], held[row[here]]
                     back = (head["b"][i] * head["p"][j]).mean(axis=1)
-                    yield out(batch, row[here], k=k[here], alt=np.log10(back + np.where(held[row[here]], 0, single[i])), one=np.log10(back + single[i]))
+                    yield out(batch, row[here], k=k[here], alt=np.log10(back + np.where(asked, 0, single[i])), one=pa.array(np.log10(back + single[i]), mask=~asked))
                     there = ~hit & ~here
                     sums[0] -= np.bincount(row[there & known], minlength=size)
                     sums[1] -= np.bincount(row[there & known], base[iw[there & known]], minlength=size)
@@ -540,7 +540,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
             far = far.select("uid", F.xxhash64("u", "w").alias("k"), F.log10(back + F.when(F.col("held_out"), 0.0).otherwise(single)).alias("alt"), F.log10(back + single).alias("one"), F.col("wc").isNotNull().cast("int").alias("known"), base.alias("base"))
             pairs = model.pairs.filter(F.col("k").bitwiseAND(JOINED - 1) == part)
             each = near.union(far).join(pairs.hint("shuffle_hash"), "k", "left")
-            score = F.coalesce("lp", F.when(F.col("c") == 1, F.col("one")), "alt")
+            score = F.coalesce("lp", F.when(F.col("c") == 1, F.coalesce("one", "alt")), "alt")
             sums = each.groupBy("uid").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum(score).alias("score"))
             own = here.filter("n_tokens is not null").select("uid", "n_tokens", "known", "base", "score")
             found.append(materialize(own.unionByName(sums.withColumn("n_tokens", F.lit(0))).groupBy("uid").agg(*[F.sum(x).alias(x) for x in own.columns[1:]]), "sums"))
