@@ -30,7 +30,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.durable import columns, materialize, scope
+from weirflow.durable import columns, discard, materialize, scope
 from weirflow.llm.components import components
 
 CHARS, BANDS, ROWS, SIMILAR = 8, 10, 4, (4, 5)
@@ -89,6 +89,23 @@ def signatures(codes, starts, ends):
     return (sig >> np.uint64(16)).astype(np.uint16)
 
 
+def signatures_of(lines: list[str]):
+    """Signatures of lines, made by pieces."""
+    import numpy as np
+
+    out, at = [], 0
+    while at < len(lines):
+        end, chars = at, 0
+        while end < len(lines) and chars < PIECE:
+            chars += len(lines[end])
+            end += 1
+        length = np.fromiter(map(len, lines[at:end]), np.int64, end - at)
+        starts = np.cumsum(length + 1) - length - 1
+        out.append(signatures(np.frombuffer("\n".join(lines[at:end]).encode("utf-32-le", "surrogatepass"), np.uint32), starts, starts + length))
+        at = end
+    return np.concatenate(out)
+
+
 def _split(batches: Iterator) -> Iterator:
     """(doc_id, text) to one row per document with its lines' hashes, and signatures of lines new to this task."""
     import numpy as np
@@ -149,6 +166,19 @@ def cut(line: str) -> frozenset[str]:
     return frozenset(line[i : i + CHARS] for i in range(max(1, len(line) - CHARS + 1)))
 
 
+def numbers(line: str) -> frozenset:
+    """The same with eight characters up to U+00FF as the number that their bytes make: faster to make, slower to intersect."""
+    import numpy as np
+
+    if len(line) < CHARS:
+        return frozenset((line,))
+    try:
+        raw = line.encode("latin-1")
+    except UnicodeEncodeError:
+        return frozenset(int.from_bytes(x.encode("latin-1"), "little") if max(x) < "\u0100" else x for x in cut(line))
+    return frozenset(np.ndarray((len(raw) - CHARS + 1,), "<u8", raw, strides=(1,)).tolist())
+
+
 def similar(x: frozenset, y: frozenset) -> bool:
     """Exact Jaccard against SIMILAR; sets whose sizes alone are too far apart are not intersected."""
     small, large = (len(x), len(y)) if len(x) < len(y) else (len(y), len(x))
@@ -161,14 +191,14 @@ def similar(x: frozenset, y: frozenset) -> bool:
 class Shingled:
     """Shingles of lines by hash; forgets all when they are over a million."""
 
-    def __init__(self):
-        self.held, self.size = {}, 0
+    def __init__(self, make=cut):
+        self.make, self.held, self.size = make, {}, 0
 
     def of(self, h: int, line: str) -> frozenset[str]:
         if h not in self.held:
             if self.size > 1_000_000:
                 self.held, self.size = {}, 0
-            self.held[h] = cut(line)
+            self.held[h] = self.make(line)
             self.size += len(self.held[h])
         return self.held[h]
 
@@ -177,7 +207,7 @@ def _verify(batches: Iterator) -> Iterator:
     """The pairs (a, b) among rows (a, b, x, y) whose lines x and y are similar."""
     import pyarrow as pa
 
-    shingled = Shingled()
+    shingled = Shingled(numbers)
     for batch in batches:
         a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         keep = [similar(shingled.of(i, x), shingled.of(j, y)) for i, j, x, y in zip(a, b, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
@@ -213,7 +243,7 @@ def forest(band: int, side, hashes, comps, sigs, line_at, shingled: Shingled) ->
 
 
 def _compare(batches: Iterator) -> Iterator:
-    """Links of components from rows (band, key, part, side, h, c, sig, line), those of a bucket's part together."""
+    """Links of components from rows (band, key, part, side, h, c, line), those of a bucket's part together."""
     import numpy as np
     import pyarrow as pa
 
@@ -228,9 +258,10 @@ def _compare(batches: Iterator) -> Iterator:
         done, found = rows.slice(0, bounds[-1]).combine_chunks(), []
         if len(done):
             band, side, h, c = (done[x].to_numpy() for x in ("band", "side", "h", "c"))
-            sigs = np.frombuffer(b"".join(done["sig"].to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
+            lines = done["line"].to_pylist()
+            sigs = signatures_of(lines)
             for i, j in zip(bounds, bounds[1:], strict=False):
-                found += forest(band[i], side[i:j], h[i:j], c[i:j], sigs[i:j], lambda k, i=i: done["line"][i + k].as_py(), shingled)
+                found += forest(band[i], side[i:j], h[i:j], c[i:j], sigs[i:j], lambda k, i=i: lines[i + k], shingled)
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"]), rows.slice(bounds[-1])
 
     for batch in batches:
@@ -243,15 +274,20 @@ def _compare(batches: Iterator) -> Iterator:
 
 
 def parted(members: DataFrame) -> DataFrame:
-    """Rows (band, key, part, side, h, c) to compare, from (band, key, pivot, h, c): buckets of several components."""
-    main = F.max(F.when(F.col("h") == F.col("pivot"), F.col("c")))
-    keys = members.groupBy("key").agg(main.alias("main"), F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most").select("key", "main")
-    mine = materialize(members.join(keys, "key").withColumn("inner", F.col("c") == F.col("main")), "open_members")
+    """Rows (band, key, part, side, h, c) to compare, from (band, key, pivot, h, c): buckets of several components.
+
+    The pivots have been compared with all of their buckets, so only the other lines are left.
+    """
+    other = F.when(F.col("h") != F.col("pivot"), F.col("c"))
+    keys = members.groupBy("key").agg(F.max(F.when(F.col("h") == F.col("pivot"), F.col("c"))).alias("main"), F.min(other).alias("least"), F.max(other).alias("most"))
+    # Written, so that a hot bucket's rows may be split in the joins.
+    keys = materialize(keys.filter("least < most").select("key", "main"), "open_keys")
+    mine = materialize(members.filter("h <> pivot").join(keys, "key").withColumn("inner", F.col("c") == F.col("main")), "open_members")
     blocks = lambda flag: F.ceil(F.count(F.when(flag, 1)) / BLOCK).cast("int")
     sizes = mine.groupBy("key").agg(F.count("*").alias("n"), blocks(F.col("inner")).alias("bi"), blocks(~F.col("inner")).alias("bo"))
-    rows = mine.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("h"), F.when(F.col("inner"), F.col("bi")).otherwise(F.col("bo"))).cast("long"))
+    rows = mine.join(materialize(sizes, "sizes"), "key").withColumn("own", F.pmod(F.xxhash64("h"), F.when(F.col("inner"), F.col("bi")).otherwise(F.col("bo"))).cast("long"))
     part = lambda kind, i, j: F.struct((F.lit(kind).cast("long") * (1 << 60) + i * (1 << 30) + j).alias("part"))
-    every = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
+    every = lambda n, f: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), f)).otherwise(F.array().cast("array<struct<part:bigint>>"))
     own = F.col("own")
     # 0: a small bucket whole; 1: a block of the main component with one of the others; 2: the others among themselves.
     others = F.concat(every(F.col("bi"), lambda i: part(1, i.cast("long"), own)), every(F.col("bo"), lambda j: part(2, F.least(own, j.cast("long")), F.greatest(own, j.cast("long")))))
@@ -273,14 +309,16 @@ def link(table: DataFrame, docs: DataFrame) -> DataFrame:
         members = materialize(rows.join(pivots.hint("shuffle_hash"), "key").distinct(), "members")
         wanted = members.select("h").distinct()
         texts = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).select(F.xxhash64("line").alias("h"), "line")
-        known = texts.join(wanted.hint("shuffle_hash"), "h", "left_semi").groupBy("h").agg(F.max("line").alias("line"))
-        known = materialize(known.join(lines_.join(wanted.hint("shuffle_hash"), "h", "left_semi").groupBy("h").agg(F.max("sig").alias("sig")), "h"), "known_lines")
-        line = known.select("h", "line")
+        # Written before it is summed up, so that a line that is everywhere may be split in the join.
+        known = materialize(texts.join(wanted.hint("shuffle_hash"), "h", "left_semi"), "wanted_lines")
+        line = materialize(known.groupBy("h").agg(F.max("line").alias("line")), "known_lines")
+        discard(known)
         stars = members.filter("h <> pivot").select(F.col("pivot").alias("a"), F.col("h").alias("b")).distinct()
-        stars = stars.join(line.withColumnsRenamed({"h": "a", "line": "x"}), "a").join(line.withColumnsRenamed({"h": "b", "line": "y"}), "b")
+        # The last join leaves the pairs of a pivot together, so its shingles are made once.
+        stars = stars.join(line.withColumnsRenamed({"h": "b", "line": "y"}), "b").join(line.withColumnsRenamed({"h": "a", "line": "x"}), "a")
         first = components(stars.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"))
         placed = members.join(first.withColumnsRenamed({"node": "h", "root": "c"}), "h", "left").withColumn("c", F.coalesce("c", "h"))
-        full = parted(materialize(placed, "placed")).join(known, "h").select("band", "key", "part", "side", "h", "c", "sig", "line")
+        full = parted(materialize(placed, "placed")).join(line, "h").select("band", "key", "part", "side", "h", "c", "line")
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
         dealt = full.repartition(parts, "key", "part").sortWithinPartitions("key", "part")
         second = components(dealt.mapInArrow(_compare, "a long, b long"))
@@ -299,7 +337,7 @@ def drops(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         classed = materialize(occurs.join(linked, "h", "left").withColumn("c", F.coalesce("c", "h")).drop("h"), "classed")
         here = F.struct("doc_id", "th", "no")
         first = classed.groupBy("c").agg(F.min(here).alias("first"), F.max(here).alias("end")).filter("first < end").select("c", "first")
-        gone = classed.join(first, "c").filter(here > F.col("first"))
+        gone = classed.join(materialize(first, "first_lines"), "c").filter(here > F.col("first"))
         return table, keep(materialize(gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("no")).alias("drop")), "drops"))
 
 
@@ -309,7 +347,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         gone = keep(drops(docs)[1])
     gone = gone.select(F.col("doc_id").alias("__l_rid"), F.col("th").alias("__l_rth"), F.col("drop").alias("__l_drop"))
     rows = docs.withColumn("__l_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__l_rid")) & (F.col("__l_th") == F.col("__l_rth")), "left")
+    # The hint keeps the plan of large tables for small ones.
+    joined = rows.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__l_rid")) & (F.col("__l_th") == F.col("__l_rth")), "left")
     rest = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("__l_drop", i)), "\n")
     out = joined.withColumn("text", F.when(F.col("__l_drop").isNull(), F.col("text")).otherwise(rest))
     if "n_chars" in docs.columns:
