@@ -4,8 +4,8 @@ A fingerprint has 64 bits, cut into a ring of five segments.  If two fingerprint
 four bits, some segment starts a chain in which every prefix of k segments differs in at most
 ``floor(4 * k / 5)`` bits: none in the first, one in the first two, two in the first three, and so on
 round the ring.  So the first segment and the second, up to one flipped bit, make a 26-bit join key:
-each fingerprint is stored under five keys and probes with 5 * 14.  With a third segment in the key, which then has
-39 bits, it probes with 5 * 274.  Either finds all; the one with the fewer rows to join for the number of
+each fingerprint is stored under five keys and probes with 69.  With a third segment in the key, which then has
+39 bits, it probes with 1330.  Either finds all; the one with the fewer rows to join for the number of
 fingerprints is taken (:func:`chain_for`).  The rest of the chain and then the whole distance are checked inside the join.
 
 Equal fingerprints are one row.  Before pairs are looked for, each fingerprint is compared with the
@@ -160,7 +160,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     rows = materialize(fingerprints(whole, "__s_text", ("__s_row", "__s_uid")), "with_fingerprints")
     slim = rows.select("__s_fp", "__s_uid", F.col("__s_row.doc_id").alias("id"))
     by = groups(slim, F.struct(F.col("id").isNull(), F.col("id"), F.col("__s_uid").alias("uid")))
-    joined = rows.join(by, "__s_fp", "left")
+    # The hint keeps the plan of large tables for small ones.
+    joined = rows.join(by.hint("shuffle_hash"), "__s_fp", "left")
     return joined.filter("first is null or first.uid = __s_uid").select("__s_row.*")
 
 
