@@ -102,6 +102,17 @@ def test_keys_grow_with_the_number_of_fingerprints():
     assert [len(simhash.flips(0, chain)) for chain in (1, 2, 3)] == [1, 14, 274]
 
 
+def test_no_join_is_broadcast_by_estimates(spark, sf_dir, monkeypatch):
+    """Spark's estimate of a table knows nothing of the keys made of each fingerprint."""
+    plans = []
+    note = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    for name in ("materialize", "components"):
+        monkeypatch.setattr(simhash, name, lambda df, *a, f=getattr(simhash, name): (note(df), f(df, *a))[1])
+    note(simhash.op5_simhash(spark, sf_dir))
+    assert sum("Join" in p for p in plans) >= 7
+    assert [p for p in plans if "Broadcast" in p] == []
+
+
 def test_names_with_dots(spark):
     docs = spark.createDataFrame([(1, "some words here", 3)], "doc_id long, text string, `a.b` int")
     assert simhash.drop_near_duplicates(docs).columns == docs.columns

@@ -13,6 +13,9 @@ smallest that shares a stored key; those links are contracted, and the join yiel
 different components.  A cluster of near copies is therefore linked by stars, not by all its pairs, and
 no link between components is lost.
 
+Spark takes a table that is exploded for as large as its file, so 69 keys of each fingerprint may look small enough to be
+broadcast; all joins of fingerprints therefore name their kind.
+
 Defined cases: null and blank texts have fingerprint zero; a component without any doc_id has null;
 of repeated rows one stays in the filtering form; an empty table gives an empty result; other columns
 pass through (working columns start with ``__s``).  The plan is the same at every size: nothing is broadcast by this module.
@@ -121,19 +124,19 @@ def link(prints: DataFrame, chain: int | None = None) -> DataFrame:
     chain = chain or chain_for(prints.count())
     stored = prints.select("fp", _keys(F.col("fp"), False, chain).alias("key"))
     pivots = stored.groupBy("key").agg(F.min("fp").alias("pivot"), F.max("fp").alias("top")).filter("pivot < top").select("key", "pivot")
-    stars = stored.join(pivots, "key").filter("pivot < fp and bit_count(fp ^ pivot) <= 4")
+    stars = stored.join(pivots.hint("merge"), "key").filter("pivot < fp and bit_count(fp ^ pivot) <= 4")
     first = components(stars.select(F.col("fp").alias("a"), F.col("pivot").alias("b")))
-    known = prints.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("c"))
+    known = prints.join(first.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("c"))
     known = materialize(known, "known")
     index = known.select(F.col("fp").alias("x"), F.col("c").alias("cx"), _keys(F.col("fp"), False, chain).alias("key"))
     probes = known.select(F.col("fp").alias("y"), F.col("c").alias("cy"), _keys(F.col("fp"), True, chain).alias("ykey"))
     diff = F.col("x").bitwiseXOR(F.col("y"))
-    near = index.join(probes, (F.col("key") == F.col("ykey")) & (F.col("cx") < F.col("cy")) & chained(diff, F.col("key"), chain))
+    near = index.join(probes.hint("merge"), (F.col("key") == F.col("ykey")) & (F.col("cx") < F.col("cy")) & chained(diff, F.col("key"), chain))
     # cx < cy sees each pair of components from either side, as both are stored and probed.
     second = components(near.select(F.col("cx").alias("a"), F.col("cy").alias("b")))
-    both = materialize(known.join(second.withColumnRenamed("node", "c"), "c", "left").select("fp", F.coalesce("root", "c").alias("root")), "rooted")
+    both = materialize(known.join(second.withColumnRenamed("node", "c").hint("merge"), "c", "left").select("fp", F.coalesce("root", "c").alias("root")), "rooted")
     linked = both.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root")
-    return both.join(linked, "root", "left_semi").select("fp", "root")
+    return both.join(linked.hint("merge"), "root", "left_semi").select("fp", "root")
 
 
 def groups(rows: DataFrame, first: Column) -> DataFrame:
@@ -141,16 +144,16 @@ def groups(rows: DataFrame, first: Column) -> DataFrame:
     with scope(rows.sparkSession) as keep:
         prints = materialize(rows.groupBy(F.col("__s_fp").alias("fp")).agg(F.min(first).alias("first"), F.count("*").alias("n")), "prints")
         roots = link(prints.select("fp"))
-        both = prints.join(roots, "fp", "left").filter("n > 1 or root is not null").withColumn("root", F.coalesce("root", "fp"))
+        both = prints.join(roots.hint("merge"), "fp", "left").filter("n > 1 or root is not null").withColumn("root", F.coalesce("root", "fp"))
         both = materialize(both, "grouped")
         least = both.groupBy("root").agg(F.min("first").alias("least"))
-        return keep(materialize(both.join(least, "root").select(F.col("fp").alias("__s_fp"), F.col("least").alias("first")), "groups"))
+        return keep(materialize(both.join(least.hint("merge"), "root").select(F.col("fp").alias("__s_fp"), F.col("least").alias("first")), "groups"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id), one row per document."""
     rows = materialize(fingerprints(docs, keep=("doc_id",)), "fingerprints")
-    by = rows.join(groups(rows, F.struct(F.col("doc_id").isNull(), F.col("doc_id"))), "__s_fp", "left")
+    by = rows.join(groups(rows, F.struct(F.col("doc_id").isNull(), F.col("doc_id"))).hint("merge"), "__s_fp", "left")
     return by.select("doc_id", F.col("__s_fp").alias("fp"), F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"))
 
 
