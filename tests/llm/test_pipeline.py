@@ -95,6 +95,19 @@ def test_a_finished_run_leaves_its_last_table_only(spark, sf_dir):
     assert {x.rsplit("-", 1)[0] for x in folders() - before} == {"mixing"} and out.count() > 0
 
 
+def test_near_duplicate_stage_broadcasts_nothing_by_estimates(spark, sf_dir, steps, monkeypatch):
+    """Under the default limit of broadcasts: Spark takes exploded keys for as small as their file."""
+    plans = []
+    note = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    for name in ("materialize", "components"):
+        monkeypatch.setattr(simhash, name, lambda df, *a, f=getattr(simhash, name): (note(df), f(df, *a))[1])
+    name, stage = corpus_pipeline.STAGES[2]
+    out = stage(spark, steps[2], sf_dir)
+    note(out)
+    assert name == "simhash_dedup" and ids(out) == ids(steps[3])
+    assert sum("Join" in p for p in plans) >= 7 and [p for p in plans if "Broadcast" in p] == []
+
+
 def test_no_plan_depends_on_broadcasts(spark, sf_dir, steps):
     """Line dedup and SimHash dedup give the same rows if nothing at all may be broadcast."""
     off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
