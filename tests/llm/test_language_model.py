@@ -170,3 +170,15 @@ def test_empty_and_untrained(spark):
     only = [(next(i for i in range(100) if held(i)), "never trained words")]
     got = lm.score_documents(spark.createDataFrame(only, "doc_id long, text string")).collect()
     assert (got[0].n_tokens, got[0].n_known, got[0].train_tokens) == (4, 0, 0) and math.isfinite(got[0].score)
+
+
+def test_texts_reach_workers_in_small_batches(spark, monkeypatch):
+    key, during, real = "spark.sql.execution.arrow.maxBytesPerBatch", set(), lm.materialize
+    before = spark.conf.get(key)
+    monkeypatch.setattr(lm, "materialize", lambda df, name: (during.add(spark.conf.get(key)), real(df, name))[1])
+    assert lm.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert during == {"4m"} and spark.conf.get(key) == before
+    sizes = lambda batches: (b.from_arrays([b.column(0).slice(0, 1)], names=["text"]) for b in batches)
+    texts = spark.range(0, 400, 1, 1).selectExpr("repeat('word ', 20000) as text")
+    with lm.small_batches(spark):
+        assert texts.mapInArrow(sizes, "text string").count() >= 8

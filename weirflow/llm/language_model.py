@@ -26,6 +26,7 @@ they occur; texts of any length are read in pieces; an empty table gives an empt
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
@@ -42,6 +43,22 @@ PIECE, WINDOW = 1 << 18, 1_000_000
 END, START = 1, 2
 
 
+#: Bytes that are sent to a Python worker at once; texts in Spark's default of 64 MB stand in the executor's memory several times.
+BATCH = "4m"
+
+
+@contextmanager
+def small_batches(spark) -> Iterator[None]:
+    """Queries that run inside send BATCH bytes at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def fold() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
 
@@ -522,7 +539,7 @@ def _score(sent, n: int, v: int, discount: float, part: int):
 def score_documents(docs: DataFrame) -> DataFrame:
     """Train on all texts outside the held-out fold and score all."""
     spark = docs.sparkSession
-    with scope(spark) as keep:
+    with small_batches(spark), scope(spark) as keep:
         model = Model(docs)
         sent = spark.sparkContext.broadcast(model.head())
         rows = docs.select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", (fold() == 1).alias("held_out"), "text")
