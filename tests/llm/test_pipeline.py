@@ -8,6 +8,7 @@ import pytest
 import corpus_pipeline
 from weirflow import durable
 from weirflow.durable import materialize
+from weirflow.llm import components as union_find
 from weirflow.llm import lines, mixing, quality, simhash
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -108,6 +109,15 @@ def test_near_duplicate_stage_broadcasts_nothing_by_estimates(spark, sf_dir, ste
     assert sum("Join" in p for p in plans) >= 7 and [p for p in plans if "Broadcast" in p] == []
 
 
+def test_components_are_never_broadcast(spark, monkeypatch):
+    """Links and nodes of a stage grow with its input; this chain takes several rounds."""
+    plans, real = [], union_find.materialize
+    monkeypatch.setattr(union_find, "materialize", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df, name))[1])
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
+    assert {(r.node, r.root) for r in union_find.components(chain).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
+    assert sum("Join" in p for p in plans) > 3 and [p for p in plans if "Broadcast" in p] == []
+
+
 def test_no_plan_depends_on_broadcasts(spark, sf_dir, steps):
     """Line dedup and SimHash dedup give the same rows if nothing at all may be broadcast."""
     off = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
