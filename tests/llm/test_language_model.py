@@ -182,3 +182,31 @@ def test_texts_reach_workers_in_small_batches(spark, monkeypatch):
     texts = spark.range(0, 400, 1, 1).selectExpr("repeat('word ', 20000) as text")
     with lm.small_batches(spark):
         assert texts.mapInArrow(sizes, "text string").count() >= 8
+
+
+def test_pairs_travel_in_buckets(spark, monkeypatch):
+    """Pairs that the head's table misses are neither counted nor asked for as a row each, and scores stay the same."""
+    import pyarrow as pa
+
+    rows = [(i, " ".join(f"w{(i * j * j) % 89}" for j in range(120))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    want = {r.doc_id: r.score for r in lm.score_documents(docs).collect()}
+    asked, real = [], lm.materialize
+
+    def spy(df, name):
+        out = real(df, name)
+        if name == "asked":
+            asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(lm, "PAIRS", 0)
+    monkeypatch.setattr(lm, "materialize", spy)
+    got = {r.doc_id: r.score for r in lm.score_documents(docs).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+    # A row a text, a window and a bucket of it in each slice, instead of one for each of 36,300 tokens.
+    assert sum(asked) <= lm.JOINED * (300 + 2 * (1 + 64)) < 2000
+    k = np.arange(1000, dtype=np.int64) * 7 - 3000
+    buckets, ks, twice = lm.dealt(64, k, k * 2)
+    assert all((np.frombuffer(x, np.int64) & 63 == b).all() for b, x in zip(buckets, ks.to_pylist(), strict=True))
+    back = lm.unpacked(pa.chunked_array([ks]), np.int64)[0]
+    assert sorted(back) == sorted(k) and (lm.unpacked(pa.chunked_array([twice]), np.int64)[0] == back * 2).all()

@@ -14,8 +14,10 @@ probabilities are averaged over the sweeps after the burn-in.  Discounts come fr
 
 A text is scored where it is read, as far as two bounded tables that are sent to all tasks reach (at most ``HEAD``
 words with their figures, ``PAIRS`` pairs with their predictions); they save work, of the results only the random draws
-differ with ``HEAD``.  All other pairs, and those of rare words, are joined with the distributed tables.  To bound the disk, pairs are counted and joined
-in ``COUNTED`` and ``JOINED`` slices by hash, each with a pass over the texts.
+differ with ``HEAD``.  All other pairs of the head's words are scored as pairs that no table has, and asked for: the hashes that a window
+of texts asks for go to buckets, one binary row for each bucket, meet what the pairs there add, and go back to their window.  The number of buckets grows with the
+tokens.  Pairs with rarer words are joined row by row with the distributed tables.  Pairs are counted in such buckets too.  To bound the disk, pairs are counted and joined
+in ``COUNTED`` and ``JOINED`` slices by hash, each with a pass over the texts, pairs with rarer words in ``FAR_JOINED``, and no two joins of a slice keep their exchanges at once.
 
 Words are identified by a 64-bit hash, rows by a hash of doc_id and text.  Defined cases: null and empty texts are
 the end alone; a null doc_id counts as the text '' for the fold; without training texts the vocabulary is empty
@@ -37,9 +39,11 @@ from weirflow.durable import discard, materialize, scope
 SWEEPS, BURN, SEED = 3, 1, 5
 STRENGTH = 1.0
 HEAD, PAIRS = 400_000, 1_000_000
-COUNTED, JOINED = 2, 4
+COUNTED, JOINED, FAR_JOINED = 2, 2, 4
 #: Bytes of text that are read at once, and tokens that are counted before they are sent.
 PIECE, WINDOW = 1 << 18, 1_000_000
+#: Tokens of the training texts for each bucket of pairs.
+BUCKET = 250_000
 END, START = 1, 2
 
 
@@ -182,28 +186,72 @@ def _batch(columns: dict):
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], names=list(columns))
 
 
-def _count_words(batches: Iterator) -> Iterator:
+def packed(values, counts):
+    """An array as binary values of so many elements each."""
     import numpy as np
+    import pyarrow as pa
 
-    held, size = [], 0
+    offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(counts))) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
-    def out():
-        w, c = np.unique(np.concatenate(held), return_counts=True)
-        return _batch({"w": w, "c": c})
 
-    for batch in batches:
-        for _, _, w in Reader(batch.column(0)):
-            held.append(w)
-            size += len(w)
-            if size > WINDOW:
-                yield out()
-                held, size = [], 0
-    if held:
-        yield out()
+def unpacked(column, kind):
+    """The elements of a column of binary values in one array, and their numbers by value."""
+    import numpy as np
+
+    found = column.to_pylist()
+    return np.frombuffer(b"".join(found), kind), np.array([len(x) for x in found], np.int64) // np.dtype(kind).itemsize
 
 
-def _count_pairs(part: int):
-    """A mapInArrow function over (held_out, text): (u, w, c) of the pairs in a slice; c is 0 for held-out texts."""
+def dealt(buckets: int, k, *columns):
+    """Rows by bucket, the low bits of ``k``: the buckets that have any, and ``k`` and the columns as binary values."""
+    import numpy as np
+
+    of = (k & (buckets - 1)).astype(np.min_scalar_type(buckets - 1))
+    order = np.argsort(of, kind="stable")
+    counts = np.bincount(of, minlength=buckets)
+    used = np.flatnonzero(counts)
+    return used.astype(np.int32), *[packed(x[order], counts[used]) for x in (k, *columns)]
+
+
+def _count_words(buckets: int):
+    """A mapInArrow function over texts: (w, c) by bucket."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+
+        held, size = [], 0
+
+        def out():
+            return _batch(dict(zip(("bucket", "w", "c"), dealt(buckets, *np.unique(np.concatenate(held), return_counts=True)), strict=True)))
+
+        for batch in batches:
+            for _, _, w in Reader(batch.column(0)):
+                held.append(w)
+                size += len(w)
+                if size > WINDOW:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    return run
+
+
+def _added_words(rows):
+    """The words of a bucket with their counts."""
+    import numpy as np
+    import pyarrow as pa
+
+    (w, _), (c, _) = unpacked(rows["w"], np.int64), unpacked(rows["c"], np.int64)
+    order = np.argsort(w)
+    w, c = w[order], c[order]
+    first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+    return pa.table({"w": w[first], "c": np.add.reduceat(c, first)})
+
+
+def _count_pairs(buckets: int, part: int):
+    """A mapInArrow function over (held_out, text): (u, w, c) of the pairs in a slice by bucket; c is 0 for held-out texts."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -215,7 +263,8 @@ def _count_pairs(part: int):
                 if held[flag]:
                     u, w, k = (np.concatenate(x) for x in zip(*held[flag], strict=True))
                     _, at, c = np.unique(k, return_index=True, return_counts=True)
-                    yield _batch({"u": u[at], "w": w[at], "c": c * (1 - flag)})
+                    of, _, *columns = dealt(buckets, k[at], u[at], w[at], (c * (1 - flag)).astype(np.int32))
+                    yield _batch(dict(zip(("bucket", "u", "w", "c"), (of, *columns), strict=True)))
                     held[flag].clear()
 
         for batch in batches:
@@ -235,6 +284,27 @@ def _count_pairs(part: int):
     return run
 
 
+def _added_up(rows, sent):
+    """The pairs of a bucket that occur twice or more in training texts, or once and in held-out texts too.
+
+    With the places of both words in the head, -1 for others.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    words = indexes(sent.value)[0]
+    (u, _), (w, _), (c, _) = (unpacked(rows[x], kind) for x, kind in (("u", np.int64), ("w", np.int64), ("c", np.int32)))
+    k = pair_hash(u, w)
+    order = np.argsort(k)
+    k, c = k[order], c[order].astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    total, least = np.add.reduceat(c, first), np.minimum.reduceat(c, first)
+    kept = (total > 1) | (total == 1) & (least == 0)
+    at = order[first[kept]]
+    u, w = u[at], w[at]
+    return pa.table({"u": u, "w": w, "c": total[kept], "iu": words.get_indexer(u).astype(np.int32), "iw": words.get_indexer(w).astype(np.int32)})
+
+
 def seat(counts, prior, discount: float, strength: float, others, rng):
     """Tables for each dish after its customers were seated anew.
 
@@ -289,20 +359,6 @@ def _seat_words(even: float, tables: int, discount: float, sweep: int):
 NEAR, FAR = "iu int, iw int, c long, t long, acc double", "u long, w long, c long, cu long, t long, acc double, iu int, iw int"
 
 
-def _indexed_pairs(sent):
-    """A mapInArrow function over (u, w, c): adds the places of both words in the head, -1 for others."""
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-
-        words = indexes(sent.value)[0]
-        for batch in batches:
-            u, w, c = (x.to_numpy() for x in batch.columns)
-            yield _batch({"u": u, "w": w, "c": c, "iu": words.get_indexer(u).astype(np.int32), "iw": words.get_indexer(w).astype(np.int32)})
-
-    return run
-
-
 def _advance(figures, discount: float, sweep: int, kept: bool, names: list[str]):
     """A mapInArrow function that adds the predictions of a kept state to ``acc`` and seats its pairs anew.
 
@@ -330,18 +386,101 @@ def _advance(figures, discount: float, sweep: int, kept: bool, names: list[str])
     return run
 
 
-def _hashed_pairs(sent):
-    """A mapInArrow function over (iu, iw, c, acc): (k, c, acc)."""
+def unlisted(head: dict, iu, iw, discount: float):
+    """What pairs of the head's words have without a row: the share of the parent, and that of a single customer."""
+    return (head["b"][iu] * head["p"][iw]).mean(axis=1), (1 - discount) / (STRENGTH + head["c"][iu])
+
+
+PRICED = "k long, c long, lp double, train double, held double"
+
+
+def _priced_pairs(sent, discount: float, kept: int):
+    """A mapInArrow function over (iu, iw, c, acc): PRICED, with what the pair adds to a score that was made without it."""
 
     def run(batches: Iterator) -> Iterator:
-        words = sent.value["w"]
+        import numpy as np
+
+        head = sent.value
         for batch in batches:
             iu, iw, c, acc = (x.to_numpy() for x in batch.columns)
-            yield _batch({"k": pair_hash(words[iu], words[iw]), "c": c, "acc": acc})
+            back, single = unlisted(head, iu, iw, discount)
+            lp = np.log10(acc / kept)
+            yield _batch({"k": pair_hash(head["w"][iu], head["w"][iw]), "c": c, "lp": lp, "train": lp - np.log10(back + single), "held": lp - np.log10(back)})
+
+    return run
+
+
+def _priced_singles(sent, discount: float):
+    """A mapInArrow function over (u, w, iu, iw), pairs seen once: PRICED, with nulls for pairs of rarer words."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        head = sent.value
+        for batch in batches:
+            u, w, iu, iw = (x.to_numpy() for x in batch.columns)
+            back, single = unlisted(head, iu, iw, discount)
+            far, held = (iu < 0) | (iw < 0), np.log10(back + single) - np.log10(back)
+            yield _batch({"k": pair_hash(u, w), "c": np.ones_like(u), "lp": pa.nulls(len(u), pa.float64()), "train": pa.array(np.zeros(len(u)), mask=far), "held": pa.array(held, mask=far)})
 
     return run
 
 
+def _dealt_pairs(buckets: int):
+    """A mapInArrow function over (k, train, held): rows of many pairs by bucket."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+
+        held, size = [], 0
+
+        def out():
+            return _batch(dict(zip(("bucket", "k", "train", "held"), dealt(buckets, *(np.concatenate(x) for x in zip(*held, strict=True))), strict=True)))
+
+        for batch in batches:
+            held.append([x.to_numpy() for x in batch.columns])
+            size += len(batch)
+            if size > WINDOW:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    return run
+
+
+def _answered(asks, pairs):
+    """What a bucket's pairs add to the texts that ask for them: rows (window, at, gain) of the windows with any."""
+    import numpy as np
+    import pyarrow as pa
+
+    (k, counts), (at, _) = unpacked(asks["k"], np.int64), unpacked(asks["at"], np.int32)
+    (known, _), (train, _), (held, _) = unpacked(pairs["k"], np.int64), unpacked(pairs["train"], np.float64), unpacked(pairs["held"], np.float64)
+    order = np.argsort(known)
+    known = known[order]
+    place = np.searchsorted(known, k)
+    found = np.flatnonzero(known[np.minimum(place, len(known) - 1)] == k) if len(known) else np.zeros(0, np.int64)
+    place, at, window = order[place[found]], at[found], np.repeat(np.arange(len(counts)), counts)[found]
+    gain = np.where(at & 1, held[place], train[place])
+    # A window's texts come in order, so those of a text lie together.
+    text = at >> 1
+    first = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (window[1:] != window[:-1]))))[: len(at)]
+    sums = np.add.reduceat(gain, first) if len(at) else gain
+    counts = np.bincount(window[first], minlength=len(counts))
+    some = np.flatnonzero(counts)
+    return pa.table({"window": asks["window"].take(pa.array(some)), "at": packed(text[first], counts[some]), "gain": packed(sums, counts[some])})
+
+
+def _returned(rows):
+    """What was added to the texts of a window: rows (uid, score)."""
+    import numpy as np
+    import pyarrow as pa
+
+    (uid, _), (at, _), (gain, _) = (unpacked(rows[x].drop_null(), kind) for x, kind in (("uids", np.int64), ("at", np.int32), ("gain", np.float64)))
+    return pa.table({"uid": uid, "score": np.bincount(at, gain, minlength=len(uid)).astype(np.float64)})
+
+
 def at_most(df: DataFrame, limit: int) -> int:
     """The least count c so that at most ``limit`` rows have c or more."""
     bins = df.filter("c > 0").groupBy(F.floor(F.log2("c") * 16).alias("b")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect()
@@ -358,47 +497,51 @@ class Model:
     """What training leaves: scalars, ``words`` (w, c, b<s>, p<s>) and ``pairs`` (k, c, lp) as written tables.
 
     ``words`` has the start among its contexts.  For a kept sweep s, b is a context's share for the parent and p the parent's probability of a word.  ``pairs`` has
-    the predictions of pairs that occur twice or more, and those of the held-out texts that occur once without one.
+    the predictions of pairs that occur twice or more, and those of the held-out texts that occur once without one.  For pairs of the head's words ``train`` and ``held``
+    are what they add to the score of a text of that fold.
     """
 
     def __init__(self, docs: DataFrame):
+        import numpy as np
+
         train = docs.filter(fold() != 1)
-        vocab = materialize(train.select("text").mapInArrow(_count_words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "vocabulary")
+        # The tokens are not known yet: as many buckets as an exchange has partitions, or up to twice that.
+        buckets = 1 << max(6, (int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+        counted = train.select("text").mapInArrow(_count_words(buckets), "bucket int, w binary, c binary").groupBy("bucket")
+        vocab = materialize(counted.applyInArrow(_added_words, "w long, c long"), "vocabulary")
         few = [F.sum((F.col("c") == x).cast("long")).alias(f"n{x}") for x in (1, 2)]
         facts = vocab.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("w") == END, F.col("c"))).alias("texts"), *few).first()
         self.n, self.v = facts.n or 0, facts.v
         self.even = 1.0 / (self.v + 1)
         flagged = docs.select((fold() == 1).alias("held_out"), "text")
+        least = at_most(vocab, HEAD)
+        head = vocab.filter(F.col("c") >= least).toArrow()
+        words, c = np.append(head["w"].to_numpy(), START), np.append(head["c"].to_numpy(), facts.texts or 0)
+        sent = docs.sparkSession.sparkContext.broadcast({"w": words, "k": words[:0]})
         parts = []
         for part in range(COUNTED):
-            found = flagged.mapInArrow(_count_pairs(part), "u long, w long, c long").repartition("u", "w").groupBy("u", "w").agg(F.sum("c").alias("c"), F.min("c").alias("least"))
-            parts.append(materialize(found.filter("c > 1 or c = 1 and least = 0").select("u", "w", "c"), "counted"))
+            found = flagged.mapInArrow(_count_pairs(self.buckets, part), "bucket int, u binary, w binary, c binary").groupBy("bucket").applyInArrow(lambda rows: _added_up(rows, sent), "u long, w long, c long, iu int, iw int")
+            parts.append(materialize(found, "counted"))
         cells = reduce(DataFrame.union, parts)
         facts2 = cells.filter("c > 1").agg(F.sum("c").alias("n"), few[1]).first()
         self.discount = d = discount_of(self.n - (facts2.n or 0), facts2.n2 or 0)
-        self._sample(docs.sparkSession, vocab, cells, d, discount_of(facts.n1 or 0, facts.n2 or 0), facts.n1 or 0, facts.texts or 0)
+        self._sample(docs.sparkSession, vocab, words, c, least, cells, d, discount_of(facts.n1 or 0, facts.n2 or 0), facts.n1 or 0, facts.texts or 0)
         discard(*parts)
 
-    def _sample(self, spark, vocab: DataFrame, cells: DataFrame, d: float, lower: float, ones: int, texts: int) -> None:
+    def _sample(self, spark, vocab: DataFrame, words, c, least: int, cells: DataFrame, d: float, lower: float, ones: int, texts: int) -> None:
         """Run the sweeps.  The head's words are seated on the driver, with all figures in arrays; all others are tables."""
         import numpy as np
         import pandas as pd
 
-        least = at_most(vocab, HEAD)
-        head = vocab.filter(F.col("c") >= least).toArrow()
         ones = ones if least > 1 else 0  # outside the head
-        words, c = np.append(head["w"].to_numpy(), START), np.append(head["c"].to_numpy(), texts)
         h, start = len(words), len(words) - 1
-        sent = spark.sparkContext.broadcast({"w": words, "k": words[:0]})
         tail = vocab.filter((F.col("c") < least) & (F.col("c") > 1))
-        placed = cells.filter("c > 1").mapInArrow(_indexed_pairs(sent), "u long, w long, c long, iu int, iw int")
+        placed = cells.filter("c > 1")
         one, none = F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("acc")
-        placed = materialize(placed, "placed")
         near = materialize(placed.filter("iu >= 0 and iw >= 0").select("iu", "iw", "c", one, none), "near")
         contexts = vocab.select(F.col("w").alias("u"), F.col("c").alias("cu"))
         far = placed.filter("iu < 0 or iw < 0").join(contexts.hint("shuffle_hash"), "u", "left")
         far = materialize(far.select("u", "w", "c", F.coalesce("cu", F.lit(texts)).alias("cu"), one, none, "iu", "iw"), "far")
-        discard(placed)
         root, t = tail.select("w", "c", one), np.minimum(c, 1)
         t[start] = 0
         tables, shares, head_b, head_p, self.unseen, self.once = self.v, [], [], [], [], []
@@ -443,12 +586,13 @@ class Model:
             far = materialize(joined.mapInArrow(_advance(figures, d, sweep, kept, names), FAR), "far")
             discard(*old)
         self.kept = len(head_p)
-        k = F.xxhash64("u", "w").alias("k")
-        found = near.select("iu", "iw", "c", "acc").mapInArrow(_hashed_pairs(sent), "k long, c long, acc double").union(far.select(k, "c", "acc"))
-        found = found.select("k", "c", F.log10(F.col("acc") / self.kept).alias("lp"))
-        self.pairs = materialize(found.union(cells.filter("c = 1").select(k, "c", F.lit(None).cast("double"))), "pairs")
-        discard(near, far)
         self.head_words = {"w": words, "c": c, "b": np.stack(head_b, axis=1), "p": np.stack(head_p, axis=1)}
+        sent = spark.sparkContext.broadcast(self.head_words | {"k": words[:0]})
+        none = F.lit(None).cast("double")
+        found = near.select("iu", "iw", "c", "acc").mapInArrow(_priced_pairs(sent, d, self.kept), PRICED)
+        found = found.union(cells.filter("c = 1").select("u", "w", "iu", "iw").mapInArrow(_priced_singles(sent, d), PRICED))
+        self.pairs = materialize(found.union(far.select(F.xxhash64("u", "w"), "c", F.log10(F.col("acc") / self.kept), none, none)), "pairs")
+        discard(near, far)
         known = vocab.filter(F.col("c") < least)
         for b, q in shares:
             known = known.join(b.hint("shuffle_hash"), "w", "left").join(q.hint("shuffle_hash"), "w", "left")
@@ -467,6 +611,17 @@ class Model:
         pairs = pairs.filter(F.col("c") >= at_most(pairs, PAIRS)).select("k", "lp").toArrow()
         return self.head_words | {"k": pairs["k"].to_numpy(), "lp": pairs["lp"].to_numpy()}
 
+    @property
+    def buckets(self) -> int:
+        return 1 << max(6, int(self.n // BUCKET).bit_length())
+
+    def split(self) -> tuple[DataFrame, DataFrame]:
+        """The pairs of the head's words by bucket, and all others; ``pairs`` goes."""
+        near = self.pairs.filter("held is not null").select("k", "train", "held").mapInArrow(_dealt_pairs(self.buckets), "bucket int, k binary, train binary, held binary")
+        near = materialize(near, "near"), materialize(self.pairs.filter("held is null").select("k", "c", "lp"), "far")
+        discard(self.pairs)
+        return near
+
 
 _indexed: list = []
 
@@ -480,58 +635,74 @@ def indexes(head: dict) -> list:
     return _indexed[1:]
 
 
-SCORED = "uid long, held_out boolean, n_tokens long, known long, base double, score double, k long, alt double, one double, u long, w long"
+SCORED = "uid long, held_out boolean, n_tokens long, known long, base double, score double, u long, w long, bucket int, window long, k binary, at binary, uids binary"
 
 
-def _score(sent, n: int, v: int, discount: float, part: int):
+def _score(sent, n: int, v: int, discount: float, buckets: int, part: int):
     """A mapInArrow function over (uid, held_out, text): sums of a slice's pairs as far as the head reaches, and all others.
 
-    A row has the sums of a text, or a pair by ``k`` with its score if the written pairs lack it (``alt``) or, for a held-out
-    text, name it as seen once (``one``), or a pair (u, w) of rare words.
+    A row has the sums of a text, a pair (u, w) with a rarer word, the texts of a window (``uids``), or the pairs of a window in a
+    bucket by ``k`` with their texts (``at``: place in the window, twice, and one more if held out); the sums have these as if no table did.
     """
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
 
         head = sent.value
         words, pairs = indexes(head)
         base = np.log10((head["c"] + 0.5) / (n + 0.5 * (v + 1)))
-        single = (1 - discount) / (STRENGTH + head["c"])
+        window = TaskContext.get().partitionId() << 32
 
         names, types = zip(*[x.split() for x in SCORED.split(", ")], strict=True)
-        kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+        kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32(), "binary": pa.binary()}
+
+        def out(size, **columns):
+            """Rows with the columns given and nulls for the others."""
+            return pa.RecordBatch.from_arrays([pa.array(columns[x], kinds[t]) if x in columns else pa.nulls(size, kinds[t]) for x, t in zip(names, types, strict=True)], names=list(names))
+
+        uids, texts, asked, size = [], 0, [], 0
 
-        def out(batch, row, **columns):
-            """Rows of texts by place, with the columns given and nulls for the others."""
-            row, n = pa.array(row), len(row)
-            columns = {"uid": batch.column(0).take(row), "held_out": batch.column(1).take(row)} | {k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()}
-            return pa.RecordBatch.from_arrays([columns[x] if x in columns else pa.nulls(n, kinds[t]) for x, t in zip(names, types, strict=True)], names=list(names))
+        def close():
+            """The rows of the window."""
+            yield out(1, window=[window], uids=packed(np.concatenate(uids), [texts]))
+            used, k, at = dealt(buckets, *(np.concatenate(x) for x in zip(*asked, strict=True)))
+            yield out(len(used), bucket=used, window=np.full(len(used), window), k=k, at=at)
 
         for whole in batches:
-            for at in range(0, len(whole), 500):
-                batch = whole.slice(at, 500)
-                size, held = len(batch), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-                sums, tokens = np.zeros((3, size)), np.zeros(size, np.int64)
+            for start in range(0, len(whole), 500):
+                batch = whole.slice(start, 500)
+                many, held = len(batch), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                sums, tokens = np.zeros((3, many)), np.zeros(many, np.int64)
                 for row, u, w in Reader(batch.column(2)):
-                    tokens += np.bincount(row, minlength=size)
+                    tokens += np.bincount(row, minlength=many)
                     k = pair_hash(u, w)
                     mine = (k & (JOINED - 1)) == part
                     row, u, w, k = row[mine], u[mine], w[mine], k[mine]
                     iw, iu, ik = words.get_indexer(w), words.get_indexer(u), pairs.get_indexer(k)
-                    known, hit = iw >= 0, (iw >= 0) & (ik >= 0)
-                    sums[0] += np.bincount(row[known], minlength=size)
-                    sums[1] += np.bincount(row[known], base[iw[known]], minlength=size)
-                    sums[2] += np.bincount(row[hit], head["lp"][ik[hit]], minlength=size)
-                    here = known & ~hit & (iu >= 0)
-                    i, j, asked = iu[here], iw[here], held[row[here]]
-                    back = (head["b"][i] * head["p"][j]).mean(axis=1)
-                    yield out(batch, row[here], k=k[here], alt=np.log10(back + np.where(asked, 0, single[i])), one=pa.array(np.log10(back + single[i]), mask=~asked))
-                    there = ~hit & ~here
-                    sums[0] -= np.bincount(row[there & known], minlength=size)
-                    sums[1] -= np.bincount(row[there & known], base[iw[there & known]], minlength=size)
-                    yield out(batch, row[there], u=u[there], w=w[there])
-                yield out(batch, np.arange(size), n_tokens=tokens if part == 0 else np.zeros_like(tokens), known=sums[0].astype(np.int64), base=sums[1], score=sums[2])
+                    hit = (iw >= 0) & (ik >= 0)
+                    near = (iw >= 0) & ~hit & (iu >= 0)
+                    here = hit | near
+                    sums[0] += np.bincount(row[here], minlength=many)
+                    sums[1] += np.bincount(row[here], base[iw[here]], minlength=many)
+                    sums[2] += np.bincount(row[hit], head["lp"][ik[hit]], minlength=many)
+                    of = row[near]
+                    back, single = unlisted(head, iu[near], iw[near], discount)
+                    sums[2] += np.bincount(of, np.log10(back + np.where(held[of], 0, single)), minlength=many)
+                    asked.append((k[near], ((of + texts) * 2 + held[of]).astype(np.int32)))
+                    size += len(of)
+                    if not here.all():
+                        far = pa.array(row[~here])
+                        yield out(len(far), uid=batch.column(0).take(far), held_out=batch.column(1).take(far), u=u[~here], w=w[~here])
+                yield out(many, uid=batch.column(0), held_out=batch.column(1), n_tokens=tokens if part == 0 else np.zeros_like(tokens), known=sums[0].astype(np.int64), base=sums[1], score=sums[2])
+                uids.append(batch.column(0).to_numpy())
+                texts += many
+                if size > WINDOW or texts > WINDOW:
+                    yield from close()
+                    uids, texts, asked, size, window = [], 0, [], 0, window + 1
+        if asked:
+            yield from close()
 
     return run
 
@@ -542,6 +713,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     with small_batches(spark), scope(spark) as keep:
         model = Model(docs)
         sent = spark.sparkContext.broadcast(model.head())
+        dealt_pairs, others = model.split()
         rows = docs.select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", (fold() == 1).alias("held_out"), "text")
         figures = [f"{x}{s}" for x in "bp" for s in model.sweeps]
         of = lambda side: model.words.select(F.col("w").alias(side), F.col("c").alias(f"{side}c"), *[F.col(f"{x}{s}").alias(f"{side}{x}{s}") for x in ("b" if side == "u" else "p") for s in model.sweeps])
@@ -550,21 +722,26 @@ def score_documents(docs: DataFrame) -> DataFrame:
         single = (1 - model.discount) / (STRENGTH + F.coalesce("uc", F.lit(0)))
         found = []
         for part in range(JOINED):
-            here = rows.select("uid", "held_out", "text").mapInArrow(_score(sent, model.n, model.v, model.discount, part), SCORED)
+            here = rows.select("uid", "held_out", "text").mapInArrow(_score(sent, model.n, model.v, model.discount, model.buckets, part), SCORED)
             here = materialize(here, "asked")
-            near = here.filter("k is not null").select("uid", "k", "alt", "one", F.lit(0).alias("known"), F.lit(0.0).alias("base"))
-            far = here.filter("u is not null").select("uid", "held_out", "u", "w").join(of("w").hint("shuffle_hash"), "w", "left").join(of("u").hint("shuffle_hash"), "u", "left")
-            far = far.select("uid", F.xxhash64("u", "w").alias("k"), F.log10(back + F.when(F.col("held_out"), 0.0).otherwise(single)).alias("alt"), F.log10(back + single).alias("one"), F.col("wc").isNotNull().cast("int").alias("known"), base.alias("base"))
-            pairs = model.pairs.filter(F.col("k").bitwiseAND(JOINED - 1) == part)
-            each = near.union(far).join(pairs.hint("shuffle_hash"), "k", "left")
-            score = F.coalesce("lp", F.when(F.col("c") == 1, F.coalesce("one", "alt")), "alt")
-            sums = each.groupBy("uid").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum(score).alias("score"))
+            # What the pairs asked for add, by window and then by text.
+            asks = here.filter("bucket is not null").select("bucket", "window", "k", "at").groupBy("bucket")
+            gains = asks.cogroup(dealt_pairs.filter(F.col("bucket").bitwiseAND(JOINED - 1) == part).groupBy("bucket")).applyInArrow(_answered, "window long, at binary, gain binary")
+            gains = gains.unionByName(here.filter("uids is not null").select("window", "uids"), allowMissingColumns=True).groupBy("window").applyInArrow(_returned, "uid long, score double")
+            found.append(materialize(gains, "gains"))
             own = here.filter("n_tokens is not null").select("uid", "n_tokens", "known", "base", "score")
-            found.append(materialize(own.unionByName(sums.withColumn("n_tokens", F.lit(0))).groupBy("uid").agg(*[F.sum(x).alias(x) for x in own.columns[1:]]), "sums"))
+            found.append(materialize(own.groupBy("uid").agg(*[F.sum(x).alias(x) for x in own.columns[1:]]), "sums"))
+            for slice in range(part, FAR_JOINED, JOINED):
+                rare = here.filter("u is not null").filter(F.xxhash64("u", "w").bitwiseAND(FAR_JOINED - 1) == slice)
+                far = rare.select("uid", "held_out", "u", "w").join(of("w").hint("shuffle_hash"), "w", "left").join(of("u").hint("shuffle_hash"), "u", "left")
+                far = far.select("uid", F.xxhash64("u", "w").alias("k"), F.log10(back + F.when(F.col("held_out"), 0.0).otherwise(single)).alias("alt"), F.log10(back + single).alias("one"), F.col("wc").isNotNull().cast("long").alias("known"), base.alias("base"))
+                far = far.join(others.filter(F.col("k").bitwiseAND(FAR_JOINED - 1) == slice).hint("shuffle_hash"), "k", "left")
+                score = F.coalesce("lp", F.when(F.col("c") == 1, F.coalesce("one", "alt")), "alt")
+                found.append(materialize(far.groupBy("uid").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum(score).alias("score")), "sums"))
             discard(here)
         # Rows that share doc_id and text were added up: each has its part.
         listed = rows.select("uid", "doc_id", "held_out")
-        totals = reduce(DataFrame.union, found).groupBy("uid").agg(*[F.sum(x).alias(x) for x in ("n_tokens", "known", "base", "score")])
+        totals = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found).groupBy("uid").agg(*[F.sum(x).alias(x) for x in ("n_tokens", "known", "base", "score")])
         times = listed.groupBy("uid").agg(F.count("*").alias("m"))
         totals = keep(materialize(totals.join(times, "uid"), "totals"))
     out = listed.join(totals, "uid")
