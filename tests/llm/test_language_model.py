@@ -210,3 +210,26 @@ def test_pairs_travel_in_buckets(spark, monkeypatch):
     assert all((np.frombuffer(x, np.int64) & 63 == b).all() for b, x in zip(buckets, ks.to_pylist(), strict=True))
     back = lm.unpacked(pa.chunked_array([ks]), np.int64)[0]
     assert sorted(back) == sorted(k) and (lm.unpacked(pa.chunked_array([twice]), np.int64)[0] == back * 2).all()
+
+
+def test_pairs_of_the_head_stay_in_arrays(spark, monkeypatch):
+    """Tables of the head's pairs have a row for a bucket, not for a pair; what is asked for lies in a folder for each kind."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j * j) % 89}" for j in range(120))) for i in range(300)], "doc_id long, text string").coalesce(2)
+    rows, kinds, real = {}, set(), lm.materialize
+
+    def spy(df, name):
+        out = real(df, name)
+        rows[name] = max(rows.get(name, 0), out.count())
+        if name == "asked":
+            kinds.update(f.split("kind=")[1].split("/")[0] for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(lm, "materialize", spy)
+    monkeypatch.setattr(lm, "HEAD", 50)
+    model = lm.Model(docs)
+    pairs = model.pairs.count()
+    assert pairs > 1000 and sum(model.near.select("k").rdd.map(lambda r: len(r.k) // 8).collect()) > 500
+    # Of a bucket: twice and oftener, once; of the parent: a share or two in each task.
+    assert rows["near"] <= 2 * 64 + 2 * 64 and rows["counted"] <= 64 + model.far.count() < pairs
+    lm.score_documents(docs).count()
+    assert kinds == {str(x) for x in range(lm.RARE + lm.FAR_JOINED)}

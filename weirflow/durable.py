@@ -55,6 +55,27 @@ def new_path(spark: SparkSession, name: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: The column by whose values tables are written to folders of their own.
+_by: ContextVar[tuple[str, ...]] = ContextVar("by", default=())
+
+
+@contextmanager
+def folders_by(spark: SparkSession, column: str, values: int) -> Iterator[None]:
+    """Tables written inside have a folder for each of a column's few values, so that readers of one pass over the others.
+
+    A task writes up to ``values`` files at once, without sorting.
+    """
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key, "0")
+    spark.conf.set(key, values)
+    token = _by.set((column,))
+    try:
+        yield
+    finally:
+        _by.reset(token)
+        spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts its lineage.
 
@@ -63,8 +84,8 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write.mode("overwrite").option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
+    if by := partition_by or _by.get():
+        writer = writer.partitionBy(*by)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:

@@ -16,7 +16,8 @@ A text is scored where it is read, as far as two bounded tables that are sent to
 words with their figures, ``PAIRS`` pairs with their predictions); they save work, of the results only the random draws
 differ with ``HEAD``.  All other pairs of the head's words are scored as pairs that no table has, and asked for: the hashes that a window
 of texts asks for go to buckets, one binary row for each bucket, meet what the pairs there add, and go back to their window.  The number of buckets grows with the
-tokens.  Pairs with rarer words are joined row by row with the distributed tables.  Pairs are counted in such buckets too.  To bound the disk, pairs are counted and joined
+tokens.  Pairs with rarer words are joined row by row with the distributed tables.  Pairs are counted in such buckets too, and those of the head's
+words stay in them, an array for each figure, while they are seated, priced and asked for.  To bound the disk, pairs are counted and joined
 in ``COUNTED`` and ``JOINED`` slices by hash, each with a pass over the texts, pairs with rarer words in ``FAR_JOINED``, and no two joins of a slice keep their exchanges at once.
 
 Words are identified by a 64-bit hash, rows by a hash of doc_id and text.  Defined cases: null and empty texts are
@@ -34,7 +35,7 @@ from functools import lru_cache, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.durable import discard, materialize, scope
+from weirflow.durable import discard, folders_by, materialize, scope
 
 SWEEPS, BURN, SEED = 3, 1, 5
 STRENGTH = 1.0
@@ -44,6 +45,8 @@ COUNTED, JOINED, FAR_JOINED = 2, 2, 4
 PIECE, WINDOW = 1 << 18, 1_000_000
 #: Tokens of the training texts for each bucket of pairs.
 BUCKET = 250_000
+#: Words of the head whose sums travel together.
+SHARE = 8192
 END, START = 1, 2
 
 
@@ -284,10 +287,14 @@ def _count_pairs(buckets: int, part: int):
     return run
 
 
+CELLS = "u long, w long, c long, iu int, iw int, bucket int, n long, n2 long, hu binary, hw binary, hc binary"
+
+
 def _added_up(rows, sent):
-    """The pairs of a bucket that occur twice or more in training texts, or once and in held-out texts too.
+    """CELLS: the pairs of a bucket that occur twice or more in training texts, or once and in held-out texts too.
 
-    With the places of both words in the head, -1 for others.
+    A row for each pair with a rarer word, with the places of both words in the head (-1 for others), and one for those of the head's words: places and
+    counts as arrays (hu, hw, hc), the customers of all that occur twice or more (n), and how many occur twice (n2).
     """
     import numpy as np
     import pyarrow as pa
@@ -300,9 +307,15 @@ def _added_up(rows, sent):
     first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
     total, least = np.add.reduceat(c, first), np.minimum.reduceat(c, first)
     kept = (total > 1) | (total == 1) & (least == 0)
-    at = order[first[kept]]
+    at, c = order[first[kept]], total[kept]
     u, w = u[at], w[at]
-    return pa.table({"u": u, "w": w, "c": total[kept], "iu": words.get_indexer(u).astype(np.int32), "iw": words.get_indexer(w).astype(np.int32)})
+    iu, iw = words.get_indexer(u).astype(np.int32), words.get_indexer(w).astype(np.int32)
+    far = (iu < 0) | (iw < 0)
+    rows_of = [pa.concat_arrays([pa.array(x[far]), pa.nulls(1, pa.array(x[:0]).type)]) for x in (u, w, c, iu, iw)]
+    hu, hw, hc = iu[~far], iw[~far], c[~far]
+    own = [rows["bucket"].combine_chunks()[:1], pa.array([hc[hc > 1].sum()], pa.int64()), pa.array([(hc == 2).sum()], pa.int64()), *[packed(x, [len(x)]) for x in (hu, hw, hc)]]
+    own = [pa.concat_arrays([pa.nulls(int(far.sum()), x.type), x]) for x in own]
+    return pa.Table.from_arrays(rows_of + own, names=[x.split()[0] for x in CELLS.split(", ")])
 
 
 def seat(counts, prior, discount: float, strength: float, others, rng):
@@ -356,14 +369,86 @@ def _seat_words(even: float, tables: int, discount: float, sweep: int):
     return run
 
 
-NEAR, FAR = "iu int, iw int, c long, t long, acc double", "u long, w long, c long, cu long, t long, acc double, iu int, iw int"
+NEAR = "bucket int, iu binary, iw binary, c binary, t binary, acc binary, share int, less binary"
+FAR = "u long, w long, c long, cu long, t long, acc double, iu int, iw int"
+KINDS = {"iu": "i4", "iw": "i4", "c": "i8", "t": "i8", "acc": "f8", "hu": "i4", "hw": "i4", "hc": "i8", "k": "i8", "lp": "f8"}
 
 
-def _advance(figures, discount: float, sweep: int, kept: bool, names: list[str]):
-    """A mapInArrow function that adds the predictions of a kept state to ``acc`` and seats its pairs anew.
+def arrays(batches: Iterator, *names: str) -> Iterator[list]:
+    """The first column of each row, and the columns named as arrays."""
+    import numpy as np
+
+    for batch in batches:
+        for i in range(len(batch)):
+            yield [batch.column(0)[i].as_py(), *[np.frombuffer(batch.column(x)[i].as_py(), KINDS[x]) for x in names]]
 
-    The head's figures are sent (words' probabilities, contexts' customers and tables); rows of other words have them as columns p, tu and tc.
-    """
+
+def near_rows(states: Iterator, h: int) -> Iterator:
+    """NEAR: rows of (bucket, iu, iw, c, t, acc), and for SHARE of the head's contexts, then words, the customers who share tables (``less``)."""
+    import numpy as np
+    import pyarrow as pa
+
+    less = np.zeros(-(-2 * h // SHARE) * SHARE, np.int64)
+    names = [x.split()[0] for x in NEAR.split(", ")]
+    for bucket, iu, iw, c, t, acc in states:
+        some = np.flatnonzero(c > t)
+        for place in (iu[some], iw[some].astype(np.int64) + h):
+            np.add.at(less, place, (c - t)[some])
+        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *[packed(x, [len(x)]) for x in (iu, iw, c, t, acc)], pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary())], names=names)
+    shares = less.reshape(-1, SHARE)
+    used = np.flatnonzero(shares.any(axis=1))
+    none = [pa.nulls(len(used), pa.int32()), *[pa.nulls(len(used), pa.binary())] * 5]
+    yield pa.RecordBatch.from_arrays([*none, pa.array(used, pa.int32()), packed(shares[used].ravel(), np.full(len(used), SHARE))], names=names)
+
+
+def _placed(h: int):
+    """A mapInArrow function over (bucket, hu, hw, hc): NEAR for the pairs that occur twice or more, each at one table."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+
+        def states():
+            for bucket, iu, iw, c in arrays(batches, "hu", "hw", "hc"):
+                many = c > 1
+                yield bucket, iu[many], iw[many], c[many], np.ones(many.sum(), np.int64), np.zeros(many.sum())
+
+        return near_rows(states(), h)
+
+    return run
+
+
+def _summed(rows):
+    """The sums of a share over all tasks."""
+    import numpy as np
+    import pyarrow as pa
+
+    return pa.table({"share": rows["share"].slice(0, 1), "less": packed(unpacked(rows["less"], np.int64)[0].reshape(-1, SHARE).sum(axis=0), [SHARE])})
+
+
+def advanced(discount: float, sweep: int, kept: bool, p, cu, tu, iu, iw, c, t, acc):
+    """Tables after pairs were seated anew, and ``acc`` with the predictions of a kept state."""
+    if kept:
+        acc = acc + (c - discount * t) / (STRENGTH + cu) + (STRENGTH + discount * tu) / (STRENGTH + cu) * p
+    return seat(c, p, discount, STRENGTH, tu - t, _rng(sweep, c, t, iu, iw)) if sweep <= SWEEPS else t, acc
+
+
+def _advance_near(figures, discount: float, sweep: int, kept: bool):
+    """A mapInArrow function that advances the pairs of the head's words, (bucket, iu, iw, c, t, acc), to NEAR.  The head's figures are sent (words' probabilities, contexts' customers and tables)."""
+
+    def run(batches: Iterator) -> Iterator:
+        p, cu, tu = figures.value
+
+        def states():
+            for bucket, iu, iw, c, t, acc in arrays(batches, "iu", "iw", "c", "t", "acc"):
+                yield bucket, iu, iw, c, *advanced(discount, sweep, kept, p[iw], cu[iu], tu[iu], iu, iw, c, t, acc)
+
+        return near_rows(states(), len(p))
+
+    return run
+
+
+def _advance(figures, discount: float, sweep: int, kept: bool, names: list[str]):
+    """A mapInArrow function that does the same to pairs with rarer words; figures that the head lacks are columns p, tu and cu."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -375,12 +460,8 @@ def _advance(figures, discount: float, sweep: int, kept: bool, names: list[str])
             iu, iw, c, t, acc = (get(x) for x in ("iu", "iw", "c", "t", "acc"))
             if not len(c):
                 continue
-            p, cu, tu = head_p[iw], head_c[iu], head_t[iu]
-            if "p" in batch.schema.names:
-                p, cu, tu = np.where(iw < 0, get("p"), p), np.where(iu < 0, get("cu"), cu), np.where(iu < 0, get("tu"), tu)
-            if kept:
-                acc = acc + (c - discount * t) / (STRENGTH + cu) + (STRENGTH + discount * tu) / (STRENGTH + cu) * p
-            new = {"t": seat(c, p, discount, STRENGTH, tu - t, _rng(sweep, c, t, iu, iw)) if sweep <= SWEEPS else t, "acc": acc}
+            p, cu, tu = np.where(iw < 0, get("p"), head_p[iw]), np.where(iu < 0, get("cu"), head_c[iu]), np.where(iu < 0, get("tu"), head_t[iu])
+            new = dict(zip(("t", "acc"), advanced(discount, sweep, kept, p, cu, tu, iu, iw, c, t, acc), strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(new[x]) if x in new else batch.column(x) for x in names], names=names)
 
     return run
@@ -391,61 +472,61 @@ def unlisted(head: dict, iu, iw, discount: float):
     return (head["b"][iu] * head["p"][iw]).mean(axis=1), (1 - discount) / (STRENGTH + head["c"][iu])
 
 
-PRICED = "k long, c long, lp double, train double, held double"
+PRICED = "bucket int, k binary, c binary, lp binary, train binary, held binary"
+
+
+def priced(bucket: int, *columns):
+    """A row of PRICED."""
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *[packed(x, [len(x)]) for x in columns]], names=[x.split()[0] for x in PRICED.split(", ")])
 
 
 def _priced_pairs(sent, discount: float, kept: int):
-    """A mapInArrow function over (iu, iw, c, acc): PRICED, with what the pair adds to a score that was made without it."""
+    """A mapInArrow function over (bucket, iu, iw, c, acc): PRICED, with what the pairs add to a score that was made without them."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
 
         head = sent.value
-        for batch in batches:
-            iu, iw, c, acc = (x.to_numpy() for x in batch.columns)
+        for bucket, iu, iw, c, acc in arrays(batches, "iu", "iw", "c", "acc"):
             back, single = unlisted(head, iu, iw, discount)
             lp = np.log10(acc / kept)
-            yield _batch({"k": pair_hash(head["w"][iu], head["w"][iw]), "c": c, "lp": lp, "train": lp - np.log10(back + single), "held": lp - np.log10(back)})
+            yield priced(bucket, pair_hash(head["w"][iu], head["w"][iw]), c, lp, lp - np.log10(back + single), lp - np.log10(back))
 
     return run
 
 
 def _priced_singles(sent, discount: float):
-    """A mapInArrow function over (u, w, iu, iw), pairs seen once: PRICED, with nulls for pairs of rarer words."""
+    """A mapInArrow function over (bucket, hu, hw, hc): PRICED for the pairs seen once, without predictions."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
 
         head = sent.value
-        for batch in batches:
-            u, w, iu, iw = (x.to_numpy() for x in batch.columns)
+        for bucket, iu, iw, c in arrays(batches, "hu", "hw", "hc"):
+            iu, iw = iu[c == 1], iw[c == 1]
             back, single = unlisted(head, iu, iw, discount)
-            far, held = (iu < 0) | (iw < 0), np.log10(back + single) - np.log10(back)
-            yield _batch({"k": pair_hash(u, w), "c": np.ones_like(u), "lp": pa.nulls(len(u), pa.float64()), "train": pa.array(np.zeros(len(u)), mask=far), "held": pa.array(held, mask=far)})
+            yield priced(bucket, pair_hash(head["w"][iu], head["w"][iw]), np.ones(len(iu), np.int64), np.full(len(iu), np.nan), np.zeros(len(iu)), np.log10(back + single) - np.log10(back))
 
     return run
 
 
-def _dealt_pairs(buckets: int):
-    """A mapInArrow function over (k, train, held): rows of many pairs by bucket."""
+def _levels(batches: Iterator) -> Iterator:
+    """Rows (b, n, c) of :func:`levels` for each row (bucket, c) of PRICED."""
+    import numpy as np
 
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
+    for _, c in arrays(batches, "c"):
+        c, n = np.unique(c[c > 1], return_counts=True)
+        yield _batch({"b": np.floor(np.log(c) / np.log(2.0) * 16).astype(np.int64), "n": n, "c": c})
 
-        held, size = [], 0
 
-        def out():
-            return _batch(dict(zip(("bucket", "k", "train", "held"), dealt(buckets, *(np.concatenate(x) for x in zip(*held, strict=True))), strict=True)))
+def _listed(least: int):
+    """A mapInArrow function over (bucket, k, c, lp) of PRICED: a row (k, c, lp) for each pair that occurs so often."""
 
-        for batch in batches:
-            held.append([x.to_numpy() for x in batch.columns])
-            size += len(batch)
-            if size > WINDOW:
-                yield out()
-                held, size = [], 0
-        if size:
-            yield out()
+    def run(batches: Iterator) -> Iterator:
+        for _, k, c, lp in arrays(batches, "k", "c", "lp"):
+            yield _batch({"k": k[c >= least], "c": c[c >= least], "lp": lp[c >= least]})
 
     return run
 
@@ -481,11 +562,15 @@ def _returned(rows):
     return pa.table({"uid": uid, "score": np.bincount(at, gain, minlength=len(uid)).astype(np.float64)})
 
 
-def at_most(df: DataFrame, limit: int) -> int:
-    """The least count c so that at most ``limit`` rows have c or more."""
-    bins = df.filter("c > 0").groupBy(F.floor(F.log2("c") * 16).alias("b")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect()
+def levels(df: DataFrame) -> DataFrame:
+    """Rows (b, n, c): how many rows have a count of level b, and the least such count."""
+    return df.filter("c > 0").groupBy(F.floor(F.log2("c") * 16).alias("b")).agg(F.count("*").alias("n"), F.min("c").alias("c"))
+
+
+def at_most(bins: DataFrame, limit: int) -> int:
+    """The least count c so that at most ``limit`` rows have c or more, from their levels."""
     least, total = 1 << 62, 0
-    for r in sorted(bins, key=lambda r: -r.b):
+    for r in sorted(bins.collect(), key=lambda r: -r.b):
         total += r.n
         if total > limit:
             break
@@ -494,11 +579,11 @@ def at_most(df: DataFrame, limit: int) -> int:
 
 
 class Model:
-    """What training leaves: scalars, ``words`` (w, c, b<s>, p<s>) and ``pairs`` (k, c, lp) as written tables.
+    """What training leaves: scalars, ``words`` (w, c, b<s>, p<s>), ``near`` (PRICED) and ``far`` (k, c, lp) as written tables.
 
-    ``words`` has the start among its contexts.  For a kept sweep s, b is a context's share for the parent and p the parent's probability of a word.  ``pairs`` has
-    the predictions of pairs that occur twice or more, and those of the held-out texts that occur once without one.  For pairs of the head's words ``train`` and ``held``
-    are what they add to the score of a text of that fold.
+    ``words`` has the start among its contexts.  For a kept sweep s, b is a context's share for the parent and p the parent's probability of a word.  ``near`` has
+    the pairs of the head's words by bucket, ``far`` all others: the predictions of pairs that occur twice or more, and those of the held-out texts that occur
+    once without one.  In ``near``, ``train`` and ``held`` are what they add to the score of a text of that fold.
     """
 
     def __init__(self, docs: DataFrame):
@@ -514,16 +599,16 @@ class Model:
         self.n, self.v = facts.n or 0, facts.v
         self.even = 1.0 / (self.v + 1)
         flagged = docs.select((fold() == 1).alias("held_out"), "text")
-        least = at_most(vocab, HEAD)
+        least = at_most(levels(vocab), HEAD)
         head = vocab.filter(F.col("c") >= least).toArrow()
         words, c = np.append(head["w"].to_numpy(), START), np.append(head["c"].to_numpy(), facts.texts or 0)
         sent = docs.sparkSession.sparkContext.broadcast({"w": words, "k": words[:0]})
         parts = []
         for part in range(COUNTED):
-            found = flagged.mapInArrow(_count_pairs(self.buckets, part), "bucket int, u binary, w binary, c binary").groupBy("bucket").applyInArrow(lambda rows: _added_up(rows, sent), "u long, w long, c long, iu int, iw int")
+            found = flagged.mapInArrow(_count_pairs(self.buckets, part), "bucket int, u binary, w binary, c binary").groupBy("bucket").applyInArrow(lambda rows: _added_up(rows, sent), CELLS)
             parts.append(materialize(found, "counted"))
         cells = reduce(DataFrame.union, parts)
-        facts2 = cells.filter("c > 1").agg(F.sum("c").alias("n"), few[1]).first()
+        facts2 = cells.agg(F.sum(F.coalesce("n", F.when(F.col("c") > 1, F.col("c")))).alias("n"), F.sum(F.coalesce("n2", (F.col("c") == 2).cast("long"))).alias("n2")).first()
         self.discount = d = discount_of(self.n - (facts2.n or 0), facts2.n2 or 0)
         self._sample(docs.sparkSession, vocab, words, c, least, cells, d, discount_of(facts.n1 or 0, facts.n2 or 0), facts.n1 or 0, facts.texts or 0)
         discard(*parts)
@@ -538,9 +623,10 @@ class Model:
         tail = vocab.filter((F.col("c") < least) & (F.col("c") > 1))
         placed = cells.filter("c > 1")
         one, none = F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("acc")
-        near = materialize(placed.filter("iu >= 0 and iw >= 0").select("iu", "iw", "c", one, none), "near")
+        heads = cells.filter("bucket is not null").select("bucket", "hu", "hw", "hc")
+        near = materialize(heads.mapInArrow(_placed(h), NEAR), "near")
         contexts = vocab.select(F.col("w").alias("u"), F.col("c").alias("cu"))
-        far = placed.filter("iu < 0 or iw < 0").join(contexts.hint("shuffle_hash"), "u", "left")
+        far = placed.join(contexts.hint("shuffle_hash"), "u", "left")
         far = materialize(far.select("u", "w", "c", F.coalesce("cu", F.lit(texts)).alias("cu"), one, none, "iu", "iw"), "far")
         root, t = tail.select("w", "c", one), np.minimum(c, 1)
         t[start] = 0
@@ -549,10 +635,13 @@ class Model:
         for sweep in range(1, SWEEPS + 2):
             kept = sweep > BURN + 1
             # What customers share tables, by word and context: of the head in arrays, of others in tables.
-            less = {}
-            for side in ("iu", "iw"):
-                found = near.groupBy(side).agg(moved).union(far.filter(F.col(side) >= 0).groupBy(side).agg(moved)).toArrow()
-                less[side] = np.bincount(found[side].to_numpy(), found["less"].to_numpy(), minlength=h).astype(np.int64)
+            found = near.filter("share is not null").select("share", "less").groupBy("share").applyInArrow(_summed, "share int, less binary").toArrow()
+            both = np.zeros(-(-2 * h // SHARE) * SHARE, np.int64)
+            both.reshape(-1, SHARE)[found["share"].to_numpy()] = unpacked(found["less"], np.int64)[0].reshape(-1, SHARE)
+            less = {"iu": both[:h], "iw": both[h : 2 * h]}
+            for side in less:
+                found = far.filter(F.col(side) >= 0).groupBy(side).agg(moved).toArrow()
+                less[side] = less[side] + np.bincount(found[side].to_numpy(), found["less"].to_numpy(), minlength=h).astype(np.int64)
             # The parent's customers are the tables of all contexts.
             guests = c - less["iw"]
             guests[start] = 0
@@ -582,16 +671,16 @@ class Model:
             joined = far.withColumns({"ku": own("u"), "kw": own("w")}).join(root.select(F.col("w").alias("kw"), "p").hint("shuffle_hash"), "kw", "left")
             joined = joined.join(mine.select(F.col("u").alias("ku"), "tu").hint("shuffle_hash"), "ku", "left").select(*names, "p", "tu")
             old = near, far
-            near = materialize(near.mapInArrow(_advance(figures, d, sweep, kept, [x.split()[0] for x in NEAR.split(", ")]), NEAR), "near")
+            near = materialize(near.filter("bucket is not null").select("bucket", "iu", "iw", "c", "t", "acc").mapInArrow(_advance_near(figures, d, sweep, kept), NEAR), "near")
             far = materialize(joined.mapInArrow(_advance(figures, d, sweep, kept, names), FAR), "far")
             discard(*old)
         self.kept = len(head_p)
         self.head_words = {"w": words, "c": c, "b": np.stack(head_b, axis=1), "p": np.stack(head_p, axis=1)}
         sent = spark.sparkContext.broadcast(self.head_words | {"k": words[:0]})
-        none = F.lit(None).cast("double")
-        found = near.select("iu", "iw", "c", "acc").mapInArrow(_priced_pairs(sent, d, self.kept), PRICED)
-        found = found.union(cells.filter("c = 1").select("u", "w", "iu", "iw").mapInArrow(_priced_singles(sent, d), PRICED))
-        self.pairs = materialize(found.union(far.select(F.xxhash64("u", "w"), "c", F.log10(F.col("acc") / self.kept), none, none)), "pairs")
+        found = near.filter("bucket is not null").select("bucket", "iu", "iw", "c", "acc").mapInArrow(_priced_pairs(sent, d, self.kept), PRICED)
+        self.near = materialize(found.union(heads.mapInArrow(_priced_singles(sent, d), PRICED)), "near")
+        found = far.select(F.xxhash64("u", "w").alias("k"), "c", F.log10(F.col("acc") / self.kept).alias("lp"))
+        self.far = materialize(found.union(cells.filter("c = 1").select(F.xxhash64("u", "w"), "c", F.lit(None).cast("double"))), "far")
         discard(near, far)
         known = vocab.filter(F.col("c") < least)
         for b, q in shares:
@@ -605,23 +694,25 @@ class Model:
     def sweeps(self) -> range:
         return range(1, self.kept + 1)
 
+    def listed(self, least: int) -> DataFrame:
+        """(k, c, lp): the pairs that occur so often."""
+        return self.near.select("bucket", "k", "c", "lp").mapInArrow(_listed(least), "k long, c long, lp double").union(self.far.filter(F.col("c") >= least))
+
+    @property
+    def pairs(self) -> DataFrame:
+        """(k, c, lp): the pairs that have predictions."""
+        return self.listed(2)
+
     def head(self) -> dict:
         """The bounded tables that are sent to all tasks."""
-        pairs = self.pairs.filter("c > 1")
-        pairs = pairs.filter(F.col("c") >= at_most(pairs, PAIRS)).select("k", "lp").toArrow()
+        bins = self.near.select("bucket", "c").mapInArrow(_levels, "b long, n long, c long").union(levels(self.far.filter("c > 1")))
+        pairs = self.listed(at_most(bins.groupBy("b").agg(F.sum("n").alias("n"), F.min("c").alias("c")), PAIRS)).select("k", "lp").toArrow()
         return self.head_words | {"k": pairs["k"].to_numpy(), "lp": pairs["lp"].to_numpy()}
 
     @property
     def buckets(self) -> int:
         return 1 << max(6, int(self.n // BUCKET).bit_length())
 
-    def split(self) -> tuple[DataFrame, DataFrame]:
-        """The pairs of the head's words by bucket, and all others; ``pairs`` goes."""
-        near = self.pairs.filter("held is not null").select("k", "train", "held").mapInArrow(_dealt_pairs(self.buckets), "bucket int, k binary, train binary, held binary")
-        near = materialize(near, "near"), materialize(self.pairs.filter("held is null").select("k", "c", "lp"), "far")
-        discard(self.pairs)
-        return near
-
 
 _indexed: list = []
 
@@ -635,7 +726,9 @@ def indexes(head: dict) -> list:
     return _indexed[1:]
 
 
-SCORED = "uid long, held_out boolean, n_tokens long, known long, base double, score double, u long, w long, bucket int, window long, k binary, at binary, uids binary"
+SCORED = "uid long, held_out boolean, n_tokens long, known long, base double, score double, u long, w long, bucket int, window long, k binary, at binary, uids binary, kind int"
+#: Values of kind: sums of texts, what goes by window, and from RARE on the slices of pairs with rarer words.
+SUMS, WINDOWS, RARE = 0, 1, 2
 
 
 def _score(sent, n: int, v: int, discount: float, buckets: int, part: int):
@@ -666,9 +759,9 @@ def _score(sent, n: int, v: int, discount: float, buckets: int, part: int):
 
         def close():
             """The rows of the window."""
-            yield out(1, window=[window], uids=packed(np.concatenate(uids), [texts]))
+            yield out(1, window=[window], uids=packed(np.concatenate(uids), [texts]), kind=[WINDOWS])
             used, k, at = dealt(buckets, *(np.concatenate(x) for x in zip(*asked, strict=True)))
-            yield out(len(used), bucket=used, window=np.full(len(used), window), k=k, at=at)
+            yield out(len(used), bucket=used, window=np.full(len(used), window), k=k, at=at, kind=np.full(len(used), WINDOWS, np.int32))
 
         for whole in batches:
             for start in range(0, len(whole), 500):
@@ -694,8 +787,8 @@ def _score(sent, n: int, v: int, discount: float, buckets: int, part: int):
                     size += len(of)
                     if not here.all():
                         far = pa.array(row[~here])
-                        yield out(len(far), uid=batch.column(0).take(far), held_out=batch.column(1).take(far), u=u[~here], w=w[~here])
-                yield out(many, uid=batch.column(0), held_out=batch.column(1), n_tokens=tokens if part == 0 else np.zeros_like(tokens), known=sums[0].astype(np.int64), base=sums[1], score=sums[2])
+                        yield out(len(far), uid=batch.column(0).take(far), held_out=batch.column(1).take(far), u=u[~here], w=w[~here], kind=(RARE + (k[~here] & (FAR_JOINED - 1))).astype(np.int32))
+                yield out(many, uid=batch.column(0), held_out=batch.column(1), n_tokens=tokens if part == 0 else np.zeros_like(tokens), known=sums[0].astype(np.int64), base=sums[1], score=sums[2], kind=np.full(many, SUMS, np.int32))
                 uids.append(batch.column(0).to_numpy())
                 texts += many
                 if size > WINDOW or texts > WINDOW:
@@ -713,7 +806,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     with small_batches(spark), scope(spark) as keep:
         model = Model(docs)
         sent = spark.sparkContext.broadcast(model.head())
-        dealt_pairs, others = model.split()
+        dealt_pairs, others = model.near.select("bucket", "k", "train", "held"), model.far
         rows = docs.select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", (fold() == 1).alias("held_out"), "text")
         figures = [f"{x}{s}" for x in "bp" for s in model.sweeps]
         of = lambda side: model.words.select(F.col("w").alias(side), F.col("c").alias(f"{side}c"), *[F.col(f"{x}{s}").alias(f"{side}{x}{s}") for x in ("b" if side == "u" else "p") for s in model.sweeps])
@@ -723,16 +816,17 @@ def score_documents(docs: DataFrame) -> DataFrame:
         found = []
         for part in range(JOINED):
             here = rows.select("uid", "held_out", "text").mapInArrow(_score(sent, model.n, model.v, model.discount, model.buckets, part), SCORED)
-            here = materialize(here, "asked")
+            with folders_by(spark, "kind", 2 + FAR_JOINED):
+                here = materialize(here, "asked")
             # What the pairs asked for add, by window and then by text.
-            asks = here.filter("bucket is not null").select("bucket", "window", "k", "at").groupBy("bucket")
+            asks = here.filter(F.col("kind") == WINDOWS).filter("bucket is not null").select("bucket", "window", "k", "at").groupBy("bucket")
             gains = asks.cogroup(dealt_pairs.filter(F.col("bucket").bitwiseAND(JOINED - 1) == part).groupBy("bucket")).applyInArrow(_answered, "window long, at binary, gain binary")
-            gains = gains.unionByName(here.filter("uids is not null").select("window", "uids"), allowMissingColumns=True).groupBy("window").applyInArrow(_returned, "uid long, score double")
+            gains = gains.unionByName(here.filter(F.col("kind") == WINDOWS).filter("uids is not null").select("window", "uids"), allowMissingColumns=True).groupBy("window").applyInArrow(_returned, "uid long, score double")
             found.append(materialize(gains, "gains"))
-            own = here.filter("n_tokens is not null").select("uid", "n_tokens", "known", "base", "score")
+            own = here.filter(F.col("kind") == SUMS).select("uid", "n_tokens", "known", "base", "score")
             found.append(materialize(own.groupBy("uid").agg(*[F.sum(x).alias(x) for x in own.columns[1:]]), "sums"))
             for slice in range(part, FAR_JOINED, JOINED):
-                rare = here.filter("u is not null").filter(F.xxhash64("u", "w").bitwiseAND(FAR_JOINED - 1) == slice)
+                rare = here.filter(F.col("kind") == RARE + slice)
                 far = rare.select("uid", "held_out", "u", "w").join(of("w").hint("shuffle_hash"), "w", "left").join(of("u").hint("shuffle_hash"), "u", "left")
                 far = far.select("uid", F.xxhash64("u", "w").alias("k"), F.log10(back + F.when(F.col("held_out"), 0.0).otherwise(single)).alias("alt"), F.log10(back + single).alias("one"), F.col("wc").isNotNull().cast("long").alias("known"), base.alias("base"))
                 far = far.join(others.filter(F.col("k").bitwiseAND(FAR_JOINED - 1) == slice).hint("shuffle_hash"), "k", "left")
@@ -740,7 +834,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 found.append(materialize(far.groupBy("uid").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum(score).alias("score")), "sums"))
             discard(here)
         # Rows that share doc_id and text were added up: each has its part.
-        listed = rows.select("uid", "doc_id", "held_out")
+        listed = keep(materialize(rows.select("uid", "doc_id", "held_out"), "listed"))
         totals = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found).groupBy("uid").agg(*[F.sum(x).alias(x) for x in ("n_tokens", "known", "base", "score")])
         times = listed.groupBy("uid").agg(F.count("*").alias("m"))
         totals = keep(materialize(totals.join(times, "uid"), "totals"))
