@@ -168,3 +168,21 @@ def test_shingles_of_all_scripts_meet():
     for x, y in zip(made, made[1:], strict=False):
         y = x[3:] + y
         assert lines.cut(x) == plain(x) and len(lines.numbers(x)) == len(plain(x)) and len(lines.numbers(x) & lines.numbers(y)) == len(plain(x) & plain(y))
+
+
+def test_shingles_as_numbers_are_exact(monkeypatch):
+    """Lines of any characters compare as their sets of shingles do, also when what is remembered is forgotten."""
+    rng = random.Random(5)
+    kinds = ["abcdefgh ", "abc\xe9\xff ", "ab\0\x01", "ab\u0100\u4e2d\U0001f600", "abcde\ud800"]
+    texts = ["", "a", "abcdefg", "\0" * 8, "\x01" + "\0" * 7, "\0" * 9, "\u4e2d" * 8]
+    for n in range(300):
+        line = "".join(rng.choice(kinds[n % len(kinds)]) for _ in range(rng.randrange(1, 80)))
+        texts += [line, line + line[-rng.randrange(1, 9) :], line[:40] + rng.choice(kinds[3]) + line[40:]]
+    pairs = [(i, j) for i in range(0, len(texts) - 3) for j in (i + 1, i + 2, i + 3, rng.randrange(len(texts)))]
+    want = [lines.similar(lines.cut(texts[i]), lines.cut(texts[j])) for i, j in pairs]
+    assert 100 < sum(want) < len(want) - 100
+    for held in (lines.HELD, 500):
+        monkeypatch.setattr(lines, "HELD", held)
+        shingled = lines.Shingled()
+        assert [shingled.similar(i, texts[i], j, texts[j]) for i, j in pairs] == want
+    assert all(x.dtype == "uint64" for x in shingled.held.values())

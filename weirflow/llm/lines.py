@@ -38,6 +38,8 @@ SEED = 42
 PIECE = 250_000
 SEEN = 500_000
 BLOCK = 500
+#: Shingles that a task remembers, eight bytes each.
+HELD = 4_000_000
 LINES = "doc_id {id}, th long, n_lines int, no array<int>, h array<long>, fh array<long>, sigs array<binary>"
 
 
@@ -167,7 +169,7 @@ def cut(line: str) -> frozenset[str]:
 
 
 def numbers(line: str) -> frozenset:
-    """The same with eight characters up to U+00FF as the number that their bytes make: faster to make, slower to intersect."""
+    """The same with eight characters up to U+00FF as the number that their bytes make."""
     import numpy as np
 
     if len(line) < CHARS:
@@ -189,28 +191,59 @@ def similar(x: frozenset, y: frozenset) -> bool:
 
 
 class Shingled:
-    """Shingles of lines by hash; forgets all when they are over a million."""
+    """Shingles of lines by hash as sorted numbers, which are exact; forgets all when they are over HELD.
 
-    def __init__(self, make=cut):
-        self.make, self.held, self.size = make, {}, 0
+    Those of :func:`numbers` from 2**56 stand for themselves.  Any other shingle gets the next number below when it is first met.
+    """
 
-    def of(self, h: int, line: str) -> frozenset[str]:
-        if h not in self.held:
-            if self.size > 1_000_000:
-                self.held, self.size = {}, 0
-            self.held[h] = self.make(line)
-            self.size += len(self.held[h])
-        return self.held[h]
+    def __init__(self):
+        self.held, self.named, self.size = {}, {}, 0
+
+    def of(self, h: int, line: str):
+        import numpy as np
+
+        found = self.held.get(h)
+        if found is None:
+            try:
+                raw = line.encode("latin-1") if len(line) >= CHARS and "\0" not in line else b""
+            except UnicodeEncodeError:
+                raw = b""
+            if raw:
+                found = np.ndarray((len(raw) - CHARS + 1,), "<u8", raw, strides=(1,)).copy()
+            else:
+                found = np.array([x if isinstance(x, int) and x >> 56 else self.named.setdefault(x, len(self.named)) for x in numbers(line)], np.uint64)
+            found.sort()
+            new = found[1:] != found[:-1]
+            if not new.all():
+                found = found[np.concatenate(([True], new))]
+            self.held[h] = found
+            self.size += len(found)
+        return found
+
+    def similar(self, i: int, x: str, j: int, y: str) -> bool:
+        """Whether the exact Jaccard of lines x and y with hashes i and j reaches SIMILAR, as :func:`similar` has it."""
+        import numpy as np
+
+        if self.size > HELD:  # not between the two, as numbers are given anew
+            self.held, self.named, self.size = {}, {}, 0
+        a, b = self.of(i, x), self.of(j, y)
+        small, large = (len(a), len(b)) if len(a) < len(b) else (len(b), len(a))
+        if small * SIMILAR[1] < large * SIMILAR[0]:
+            return False
+        both = np.concatenate((a, b))
+        both.sort(kind="stable")  # two sorted runs are merged
+        common = int(np.count_nonzero(both[1:] == both[:-1]))
+        return common * SIMILAR[1] >= (small + large - common) * SIMILAR[0]
 
 
 def _verify(batches: Iterator) -> Iterator:
     """The pairs (a, b) among rows (a, b, x, y) whose lines x and y are similar."""
     import pyarrow as pa
 
-    shingled = Shingled(numbers)
+    shingled = Shingled()
     for batch in batches:
         a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        keep = [similar(shingled.of(i, x), shingled.of(j, y)) for i, j, x, y in zip(a, b, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        keep = [shingled.similar(i, x, j, y) for i, j, x, y in zip(a, b, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -228,15 +261,16 @@ def forest(band: int, side, hashes, comps, sigs, line_at, shingled: Shingled) ->
             parent[i] = i = parent[parent[i]]
         return i
 
-    links = []
+    links, names = [], hashes.tolist()
+    bands = np.ascontiguousarray(sigs).view(np.uint64)  # ROWS times 16 bits
     for i in range(len(hashes) - 1):
         open_ = (comps[i + 1 :] != comps[i]) & ((side[i + 1 :] != side[i]) | (side[i] == 2))
         at = np.flatnonzero(open_) + i + 1
-        first = (sigs[at] == sigs[i]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+        first = (bands[at] == bands[i]).argmax(axis=1)
         for j in at[first == band].tolist():
             if (a := root(comps[i])) == (b := root(comps[j])):
                 continue
-            if similar(shingled.of(hashes[i], line_at(i)), shingled.of(hashes[j], line_at(j))):
+            if shingled.similar(names[i], line_at(i), names[j], line_at(j)):
                 parent[b] = a
                 links.append((int(comps[i]), int(comps[j])))
     return links
